@@ -1,0 +1,12 @@
+"""Registered queries."""
+
+from postweave.plans.registry import Query
+
+
+def all_queries() -> dict[str, Query]:
+    from postweave.plans import text_queries
+
+    return {**text_queries.QUERIES}
+
+
+__all__ = ["Query", "all_queries"]
