@@ -293,3 +293,181 @@ def _squeeze_to_one(c: str) -> str:
     for ch in "abcdefghijklmnopqrstuvwxyz ":
         c = rr(c, (f"{ch}{{2,}}", ch))
     return c
+
+
+SPACED = [" a b c-d 가 나 다", " 안 . 녕 하세요 (b c)", " R&D & x", " [a] 가.나.다", ""]
+
+QUERIES: dict[str, Query] = {
+    # generic blocks
+    "regex_rules": step(
+        on(" the 먼데"),
+        lambda c: regex_chain(c, [("([a-z])tion", r"\1shun"), ("th([aeiou])", r"d\1"), ("[.,]+", ";")]),
+        lambda c: rr(c, ("([a-z])tion", r"\1shun"), ("th([aeiou])", r"d\1"), ("[.,]+", ";")),
+    ),
+    "dictionary_replace": step(
+        on(" 홧팅 배뎃", " 뎃글 쥰내"),
+        lambda c: dict_replace(c, [*WORDS, ("the", "THE"), ("there", "X"), ("and", "&"), ("an", "N")]),
+        lambda c: dict_sql(c, [*WORDS, ("the", "THE"), ("there", "X"), ("and", "&"), ("an", "N")]),
+    ),
+    "squeeze_spaces": step(
+        on("   aaa", " bbbb  "),
+        lambda c: squeeze(c, "[a-z ]", min_run=2, keep=1),
+        lambda c: _squeeze_to_one(c),
+    ),
+    "collapse_tag_runs": step(
+        on(" [num] [num]  [num] x", " [num]", " a[num][num]b"),
+        lambda c: collapse_tag(c, "[num]"),
+        lambda c: rr(c, (r"(?:\[num\]\s*)+", "[num]")),
+    ),
+    "rewrite_matches": step(
+        on(" end"),
+        lambda c: rewrite_matches(c, "[a-z]*tion", lambda m: F.concat(F.upper(m), F.length(m))),
+        lambda c: rewrite_sql(c, "[a-z]*tion", "upper(x) || length(x)"),
+    ),
+    "named_rewrite": step(
+        on(" sing"),
+        _named_rewrite,
+        lambda c: rewrite_sql(c, "[a-z]+ing", "'<' || upper(x) || '>'"),
+    ),
+    "sort_run_characters": step(
+        on("?.,!~"), lambda c: sort_chars(c, "~.,?!"), lambda c: repeat_count_sql(c, "~.,?!")
+    ),
+    "strip_text": step(
+        "'  ' || text || chr(10) || chr(9) || ' '", strip, lambda c: rr(c, (r"\A\s+|\s+\z", ""))
+    ),
+    "compose_jamo": step(
+        on(" ㄷㅐㅎㅏㄴㅁㅣㄴㄱㅜㄱ", " ㅋㅋㅋ 가ㄱ ㄱㅏ", " ㅇㅣㄱㅓㄹ ㅂㅗㅏ요", " 꺄ㅠㅠ ㄸㅗ"),
+        hangul.compose,
+        lambda c: compose_sql(f"replace({c}, 'ㅗㅏ', 'ㅘ')"),
+    ),
+    "decompose_syllables": step(
+        on(" 대한민국 값", " 가나다 까치", " 뷁 a"),
+        hangul.decompose,
+        lambda c: rewrite_sql(
+            c,
+            S,
+            f"'{INITIALS}'[((unicode(x) - 44032) // 588 + 1)] || chr(12623 + ((unicode(x) - 44032) % 588) // 28) "
+            f"|| CASE WHEN (unicode(x) - 44032) % 28 > 0 THEN '{FINALS}'[((unicode(x) - 44032) % 28)] ELSE '' END",
+        ),
+    ),
+    # nickname steps
+    "clean_nickname": step(f"lower({NICKNAMES})", steps.clean_nickname, nickname_sql),
+    "drop_trailing_digits": step(
+        f"lower({NICKNAMES}) || source", steps.drop_trailing_digits, lambda c: rr(c, ("[0-9]+$", ""))
+    ),
+    "drop_isolated_letter": step(
+        "'가a나b다' || " + choose("doc_id", ["가a나", "가A양", "가b컵x힣", "aa가", "c가"]) + " || source",
+        steps.drop_isolated_letter,
+        isolated_letter_sql,
+    ),
+    "default_nickname": step(
+        "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN source WHEN 2 THEN '가나' WHEN 3 THEN source || '가' ELSE '가a' END",
+        steps.default_nickname,
+        default_nickname_sql,
+    ),
+    "normalize_nicknames": Query(_normalize_nicknames, _nickname_chain_sql()),
+    # comment steps, in chain order
+    "lower_columns": Query(
+        _lower_columns,
+        f"SELECT id, lower(nickname) AS nickname, lower(comment) AS comment FROM ({POSTS_SQL})",
+    ),
+    "unify_spaces": step(
+        "replace(text, ' ', '\u2002') || '\u2003\u2007x\u2008'",
+        steps.unify_spaces,
+        lambda c: rr(c, ("[\u2002\u2003\u2007\u2008]+", " ")),
+    ),
+    "drop_invisible": step(
+        on(" **a*b", " \u200b가\u200d나\ufeff", " \U0001f44d\U0001f3fb\U0001f3ff x\ufe0f", ""),
+        steps.drop_invisible,
+        lambda c: rr(
+            c,
+            (
+                r"[\x{1F3FB}-\x{1F3FF}\x{FE0F}\x{0674}\x{1160}\x{200B}-\x{200D}\x{FEFF}\x{2060}]+",
+                "",
+            ),
+            (r"\*+", ""),
+        ),
+    ),
+    "unify_marks": step(
+        on(" ㅋ   ㅋ 와！", " 뭐？❓…", " ㅠ  a"),
+        lambda c: steps.unify_marks(c, RULES.punct),
+        lambda c: rr(c, *RULES.punct, (rf"({J})\s+", r"\1 ")),
+    ),
+    "fold_unicode": step(
+        on(" ①ｅ ㅋㅋ", " ﬁn e\u0301 é\u0323", " ㄱㅏㅇ ㅠㅠ", ""),
+        lambda c: steps.fold_unicode(c, jamo_restoration()),
+        # The corpus holds no other character that folding changes.
+        lambda c: compose_sql(
+            rr(c, ("①", "1"), ("ｅ", "e"), ("ﬁ", "fi"), ("e\u0301", "é"), ("\u0323", ""))
+        ),
+    ),
+    "unify_letters": step(
+        on(" ɑⲁ оо ㄷㅇm", " c0m CㅇM", " 漢字 中 x", ""),
+        lambda c: steps.unify_letters(c, RULES.single_en),
+        lambda c: rr(c, *RULES.single_en, ("(?i)[cㄷ][o0ㅇ]m", "com"), (r"[\x{4E00}-\x{9FFF}]+", "")),
+    ),
+    "squeeze_long_runs": step(
+        on(" aaaa 1000 5 000 ㅋㅋㅋㅋ", " !!!! ???", " 5aaaa 5aaa 11111", " zzz"),
+        steps.squeeze_long_runs,
+        lambda c: squeeze_sql(c, 3),
+    ),
+    "fix_words": step(
+        on(" 홧팅 쥰내 뎈", " 먼데 몬데 배뎃", " 안녕  하세요", " ㄱ  ㅅ 욬"),
+        lambda c: steps.fix_words(c, RULES),
+        words_sql,
+    ),
+    "rules_added_later": Query(_more_rules, _more_rules_sql()),
+    "tidy_jamo": step(
+        on(" ㅋ ㅋ 1 ㅋ!ㅋ 가", " ㅜ ㅜ ㅜ 가1나11다", " 앜ㅋㅋ 가ㅎㅎ 핫ㅎ", " ㅏㅑ ㄱㅏ ㄴ ㅇㅣㄴ", ""),
+        steps.tidy_jamo,
+        tidy_jamo_sql,
+    ),
+    "close_jamo_gaps": step(
+        on(" ㅋ ㅋ 1 ㅋ!ㅋ 가", " ㅠ?!ㅠ", " ㅋ 가"),
+        steps.close_jamo_gaps,
+        lambda c: rr(c, *[(rf"({J})[\s0-9?!]+({J})", r"\1\2")] * 2),
+    ),
+    "drop_ones_between_syllables": step(
+        on(" 가1나1다11라", " 가1 나", " 1가1"),
+        steps.drop_ones_between_syllables,
+        lambda c: rr(c, *[(f"({S})1+({S})", r"\1\2")] * 2),
+    ),
+    "split_laughter": step(on(" 앜ㅋㅋ 가ㅋㅋ", " 핳ㅎㅎㅋ", " 낯ㅊ 닽ㅌㅌ", ""), steps.split_laughter, laughter_sql),
+    "sort_marks": step(on(" wow!!??", " ok.,", " ok~~,!", " a,,b..c?!?!", " .,"), steps.sort_marks, marks_sql),
+    "shorten_vowels": step(
+        on(" 가아아아 가아", " 너어어 애애애", " 교오오 쵸ㅛㅛ", " 히이이이 그으으", " 네에에엥", ""),
+        steps.shorten_vowels,
+        vowels_sql,
+    ),
+    "unify_crying": step(on(" 후쿠쿠 쿠쿠", " 푸쿠 큐ㅠㅠ", " 쿠푸쿠 휴ㅜ", ""), steps.unify_crying, crying_sql),
+    "tag_symbols": step(
+        on(" https://a.b/c?d :) x", " me@site.co.kr :-)", " 🎉🎊 ❤💕", " hahaHAHA 하하하 ^_^", ""),
+        lambda c: steps.tag_symbols(c, RULES),
+        symbols_sql,
+    ),
+    "keep_known_chars": step(
+        on(" [[a]] ❤☆aaaaaa", " 1111 5555aaaaa ~~~~~", " ㅋㅋㅋㅋㅋ   ", ""),
+        steps.keep_known_chars,
+        known_chars_sql,
+    ),
+    "join_spaced_letters": step(on(*SPACED), lambda c: steps.join_spaced_letters(strip(c)), None),
+    "drop_i_between_syllables": step(
+        on(" 가ㅣ나다ㅣ라", " 가ㅣㅣ나", " 가ㅣ나ㅣ다ㅣ라"),
+        steps.drop_i_between_syllables,
+        lambda c: rr(c, *[(f"({S})ㅣ({S})", r"\1\2")] * 2),
+    ),
+    "tag_structured": step(
+        on(" 2024-01-02 10:30", " 1,000원 5 kg", " 10km 3.14", ""),
+        lambda c: steps.tag_structured(c, RULES),
+        lambda c: rr(c, *RULES.base, *RULES.extern),
+    ),
+    "tidy_marks": step(on(" 3.14 , a .b", " 1,000 ! ?x", " a ^ b . . c", " 1.2.3 ,4"), steps.tidy_marks, tidy_marks_sql),
+    "collapse_tags": step(
+        on(" [num] [num] x", " [x][x] [num]  [x]", ""),
+        lambda c: steps.collapse_tags(c, RULES.tags),
+        lambda c: rr(c, (r"(?:\[num\]\s*)+", "[num]"), (r"(?:\[x\]\s*)+", "[x]")),
+    ),
+    "laugh_z": step(on(" zzzz", " pizza zz", ""), steps.laugh_z, lambda c: rr(c, ("z{2,}", "ㅋㅋ"))),
+    "upper_tags": step(on(" hi [text_emoji] [a1] [x]", " [[num]]", ""), steps.upper_tags, upper_tags_sql),
+    "normalize_posts": Query(_normalize_posts),
+}
