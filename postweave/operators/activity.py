@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,12 +11,28 @@ from pyspark.sql import functions as F
 BUCKET_SECONDS = 86_400
 
 
-def live_keys(events: DataFrame, key: str, ts: str, now: datetime | Column, ttl_seconds: float) -> DataFrame:
+def live_keys(
+    events: DataFrame, key: str, ts: str, now: datetime | Column, ttl_seconds: float
+) -> DataFrame:
     """Keys whose latest event is less than ``ttl_seconds`` before ``now``."""
-    at = now if isinstance(now, Column) else F.lit(now)
+    at = (now if isinstance(now, Column) else F.lit(now)).cast(events.schema[ts].dataType)
     latest = events.groupBy(key).agg(F.max(ts).alias("last_seen"))
-    age = F.unix_micros(at.cast("timestamp")) - F.unix_micros("last_seen")
-    return latest.where(age < int(ttl_seconds * 1_000_000))
+    return latest.where(at - F.col("last_seen") < _interval(ttl_seconds))
+
+
+def _interval(seconds: float) -> Column:
+    return F.make_dt_interval(secs=F.lit(Decimal(str(seconds))).cast("decimal(18,6)"))
+
+
+def _bucket(events: DataFrame, ts: str, seconds: int) -> Column:
+    """Number of the time bucket; the same for timestamps with and without zone."""
+    kind = events.schema[ts].dataType.simpleString()
+    since = f"({ts} - CAST('1970-01-01 00:00:00' AS {kind}))"
+    whole = (
+        f"extract(DAY FROM {since}) * 86400L + extract(HOUR FROM {since}) * 3600 "
+        f"+ extract(MINUTE FROM {since}) * 60 + floor(extract(SECOND FROM {since}))"
+    )
+    return F.floor(F.expr(whole) / seconds)
 
 
 def activity_sessions(
@@ -33,14 +50,12 @@ def activity_sessions(
     last session of a bucket can go on in a neighbour; just those are merged per
     key, at most two rows per bucket.
     """
-    gap = int(gap_seconds * 1_000_000)
-    at = F.unix_micros(ts)
     rows = events.where(F.col(ts).isNotNull()).select(
-        F.col(key), at.alias("__t"), F.floor(at / (bucket_seconds * 1_000_000)).alias("__bucket")
+        F.col(key), F.col(ts).alias("__t"), _bucket(events, ts, bucket_seconds).alias("__bucket")
     )
     in_bucket = Window.partitionBy(key, "__bucket").orderBy("__t")
     local = (
-        rows.withColumn("__new", _starts("__t", "__t", in_bucket, gap))
+        rows.withColumn("__new", _starts("__t", "__t", in_bucket, gap_seconds))
         .withColumn("__no", F.sum("__new").over(in_bucket))
         .groupBy(key, "__bucket", "__no")
         .agg(F.min("__t").alias("__start"), F.max("__t").alias("__end"), F.count("*").alias("n"))
@@ -50,21 +65,22 @@ def activity_sessions(
     slotted = local.withColumn("__slot", F.when(edge, F.lit(None)).otherwise(F.col("__bucket")))
     in_slot = Window.partitionBy(key, "__slot").orderBy("__start")
     return (
-        slotted.withColumn("__new", _starts("__start", "__end", in_slot, gap))
+        slotted.withColumn("__new", _starts("__start", "__end", in_slot, gap_seconds))
         .withColumn("__no", F.sum("__new").over(in_slot))
         .groupBy(key, "__slot", "__no")
         .agg(
-            F.timestamp_micros(F.min("__start")).alias("session_start"),
-            F.timestamp_micros(F.max("__end")).alias("session_end"),
+            F.min("__start").alias("session_start"),
+            F.max("__end").alias("session_end"),
             F.sum("n").alias("n_events"),
         )
         .select(key, "session_start", "session_end", "n_events")
     )
 
 
-def _starts(start: str, end: str, window, gap: int) -> Column:
+def _starts(start: str, end: str, window, gap_seconds: float) -> Column:
     before = F.lag(end).over(window)
-    return F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0)
+    pause = F.col(start) - before
+    return F.when(before.isNull() | (pause > _interval(gap_seconds)), 1).otherwise(0)
 
 
 def idle_intervals(
@@ -75,9 +91,7 @@ def idle_intervals(
     The session before is looked up inside a time bucket; the first session of a
     bucket takes the latest end of the buckets before it, one row per bucket.
     """
-    bucketed = sessions.withColumn(
-        "__bucket", F.floor(F.unix_micros("session_start") / (bucket_seconds * 1_000_000))
-    )
+    bucketed = sessions.withColumn("__bucket", _bucket(sessions, "session_start", bucket_seconds))
     by_bucket = Window.partitionBy(key).orderBy("__bucket")
     earlier = (
         bucketed.groupBy(key, "__bucket")

@@ -4,9 +4,9 @@ from postweave.plans.registry import Query
 
 
 def all_queries() -> dict[str, Query]:
-    from postweave.plans import text_queries
+    from postweave.plans import table_queries, text_queries
 
-    return {**text_queries.QUERIES}
+    return {**table_queries.QUERIES, **text_queries.QUERIES}
 
 
 __all__ = ["Query", "all_queries"]

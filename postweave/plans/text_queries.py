@@ -394,11 +394,11 @@ QUERIES: dict[str, Query] = {
         lambda c: rr(c, *RULES.punct, (rf"({J})\s+", r"\1 ")),
     ),
     "fold_unicode": step(
-        on(" ①ｅ ㅋㅋ", " ﬁn e\u0301 é\u0323", " ㄱㅏㅇ ㅠㅠ", ""),
+        on(" ①ｅ ㅋㅋ", " ﬁn e\u0301 é\u0335", " ㄱㅏㅇ ㅠㅠ", ""),
         lambda c: steps.fold_unicode(c, jamo_restoration()),
         # The corpus holds no other character that folding changes.
         lambda c: compose_sql(
-            rr(c, ("①", "1"), ("ｅ", "e"), ("ﬁ", "fi"), ("e\u0301", "é"), ("\u0323", ""))
+            rr(c, ("①", "1"), ("ｅ", "e"), ("ﬁ", "fi"), ("e\u0301", "é"), ("\u0335", ""))
         ),
     ),
     "unify_letters": step(
