@@ -49,7 +49,7 @@ class LexiconScorer(Scorer):
     def __init__(self, weights: DataFrame, n_classes: int, inline_tokens: int = INLINE_TOKENS):
         self.n_classes = n_classes
         self.weights = weights.select("token", "class_id", "weight")
-        self._vectors: dict[str, list[int]] | None = None
+        self.vectors: dict[str, list[int]] | None = None
         # One row per (token, class): reads no further than the bound.
         rows = self.weights.limit(inline_tokens * n_classes + 1).collect()
         if len(rows) <= inline_tokens * n_classes:
@@ -57,21 +57,23 @@ class LexiconScorer(Scorer):
             for token, class_id, weight in rows:
                 vectors.setdefault(token, [0] * n_classes)[class_id] += weight
             if len(vectors) <= inline_tokens:
-                self._vectors = vectors
+                self.vectors = vectors
 
     @property
     def inline(self) -> bool:
-        return self._vectors is not None
+        return self.vectors is not None
 
     def window_probs(self, windows: Column) -> Column:
-        if self._vectors is None:
+        if self.vectors is None:
             raise ValueError("lexicon too large to score inside the row")
-        vectors = self._vectors
+        vectors = self.vectors
         known = list(vectors)
 
+        def among(window: Column, wanted: list[str]) -> Column:
+            return F.filter(window, lambda t: t.isin(wanted))
+
         def logits(window: Column) -> Column:
-            hits = F.filter(window, lambda t: t.isin(known)) if known else F.slice(window, 1, 0)
-            return let(hits, lambda found: F.array(*[total(found, k) for k in range(self.n_classes)]))
+            return let(among(window, known), lambda found: F.array(*[total(found, k) for k in range(self.n_classes)]))
 
         def total(found: Column, class_id: int) -> Column:
             # Tokens of equal weight share a set, looked up by hash.
@@ -80,7 +82,7 @@ class LexiconScorer(Scorer):
                 if vector[class_id]:
                     by_weight.setdefault(vector[class_id], []).append(token)
             parts = [
-                F.size(F.filter(found, lambda t, s=tokens: t.isin(s))) * F.lit(weight)
+                F.size(among(found, tokens)) * F.lit(weight)
                 for weight, tokens in by_weight.items()
             ]
             return reduce(lambda a, b: a + b, parts, F.lit(0))
@@ -153,10 +155,10 @@ class ArrowScorer(Scorer):
     ):
         self.n_classes = n_classes
 
-        @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             model = make_model()
-            for rows in batches:
+            for rows, _ in batches:
                 per_row = [[] if row is None else [" ".join(w) for w in row] for row in rows]
                 texts = [text for row in per_row for text in row]
                 parts = [
@@ -165,13 +167,18 @@ class ArrowScorer(Scorer):
                 probs = np.concatenate(parts) if parts else np.empty((0, n_classes))
                 ends = np.cumsum([len(row) for row in per_row])
                 yield pd.Series(
-                    [list(map(list, probs[end - len(row) : end])) for end, row in zip(ends, per_row)]
+                    [
+                        probs[end - len(row) : end].mean(axis=0).tolist() if row else None
+                        for end, row in zip(ends, per_row)
+                    ]
                 )
 
         self._score = score
 
-    def window_probs(self, windows: Column) -> Column:
-        return self._score(windows)
+    def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:
+        # Naming the column twice keeps the optimizer from folding the window
+        # expression into the call: it must be a column of its own there.
+        return df.withColumn(out, self._score(F.col(windows), F.size(windows)))
 
 
 class MLScorer(Scorer):

@@ -4,9 +4,10 @@ from postweave.plans.registry import Query
 
 
 def all_queries() -> dict[str, Query]:
-    from postweave.plans import table_queries, text_queries
+    from postweave.plans import classify_queries, stream_queries, table_queries, text_queries
 
-    return {**table_queries.QUERIES, **text_queries.QUERIES}
+    parts = (classify_queries, table_queries, text_queries, stream_queries)
+    return {name: query for part in parts for name, query in part.QUERIES.items()}
 
 
 __all__ = ["Query", "all_queries"]
