@@ -9,6 +9,7 @@ from postweave.functions.windows import TOKEN
 from postweave.session import BROADCAST_ROWS, broadcast_if_small
 
 SALTS = 32
+LOOKUP_SLOTS = 64
 
 
 def lookup_join(
@@ -29,9 +30,16 @@ def lookup_join(
     table, small = broadcast_if_small(table, max_rows)
     if small:
         return left.join(table, on, how)
+    return salted_join(left, table, on, how, salt_by or left.columns)
+
+
+def salted_join(
+    left: DataFrame, table: DataFrame, on: list[str], how: str, salt_by: list[str]
+) -> DataFrame:
+    """The shuffle form of ``lookup_join``."""
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     picked = left.withColumn(
-        "__salt", F.pmod(F.xxhash64(*(salt_by or left.columns)), F.lit(SALTS)).cast("int")
+        "__salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")
     )
     return picked.join(salted, [*on, "__salt"], how).drop("__salt")
 
@@ -56,7 +64,8 @@ def lookup_tokens(
     the text is rebuilt there, everything else in it untouched.
     """
     cut = F.regexp_extract_all(text, F.lit(rf"{TOKEN}|[\p{{Z}}\s]+"), F.lit(0))
-    tokens = df.select(key, F.explode(cut).alias("token")).distinct()
+    # Distinct inside the row: no shuffle for it.
+    tokens = df.select(key, F.explode(F.array_distinct(cut)).alias("token"))
     found = lookup_join(
         tokens,
         lexicon.select("token", "replacement"),
@@ -65,11 +74,22 @@ def lookup_tokens(
         salt_by=[key],
         max_rows=max_rows,
     )
-    table = found.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "replacement"))).alias("__found")
+    # Found pairs by hash: looking a token up in one long map would read all of it.
+    slots = F.lit(LOOKUP_SLOTS)
+    slot_of = lambda t: F.pmod(F.xxhash64(t), slots).cast("int")
+    pairs = found.groupBy(key).agg(F.collect_list(F.struct("token", "replacement")).alias("pairs"))
+    table = pairs.select(
+        key,
+        F.transform(
+            F.sequence(F.lit(0), slots - 1),
+            lambda i: F.map_from_entries(F.filter("pairs", lambda p: slot_of(p["token"]) == i)),
+        ).alias("__found"),
     )
     rebuilt = F.array_join(
-        F.transform(cut, lambda t: F.coalesce(F.element_at("__found", t), t)), ""
+        F.transform(
+            cut, lambda t: F.coalesce(F.element_at(F.col("__found")[slot_of(t)], t), t)
+        ),
+        "",
     )
     return (
         df.join(table, key, "left")

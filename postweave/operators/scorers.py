@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from postweave.functions.text import let
 from postweave.functions.vectors import mean_vector, mean_vectors, softmax
-from postweave.operators.lookup import lookup_join
+from postweave.operators.lookup import salted_join
+from postweave.session import broadcast_if_small
 
 # Lexicons up to this many tokens are part of the plan; larger ones are a join.
 INLINE_TOKENS = 1_000
@@ -92,10 +93,10 @@ class LexiconScorer(Scorer):
     def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:
         if self.inline:
             return super().mean_probs(df, key, windows, out)
-        numbered = df.select(key, F.posexplode(windows).alias("window_no", "tokens"))
-        scores = score_tokens(numbered, self.weights, [key, "window_no"])
+        numbered = window_rows(df, [key], windows)
+        hits = token_hits(numbered, self.weights, [key, "window_no"])
         sums = (
-            window_vectors(scores, [key, "window_no"], self.n_classes)
+            window_vectors(hits, [key, "window_no"], self.n_classes)
             .groupBy(key)
             .agg(
                 F.array(*[F.sum(F.col("probs")[k]) for k in range(self.n_classes)]).alias("__sums"),
@@ -114,28 +115,48 @@ class LexiconScorer(Scorer):
         )
 
 
-def score_tokens(windows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    """Weight sums ``(keys, class_id, score)`` of token windows.
+def window_rows(df: DataFrame, keys: list[str], windows: str) -> DataFrame:
+    """One row per window of an array column: keys, ``window_no``, ``tokens``.
+
+    The outer form with a filter behind it: for the inner form Spark infers
+    ``size(windows) > 0``, pushes it to the scan and so cuts all windows twice.
+    """
+    rows = df.select(*keys, F.posexplode_outer(windows).alias("window_no", "tokens"))
+    return rows.where(F.col("window_no").isNotNull())
 
-    Equal tokens of a window are counted before they meet the weights, so what
-    may be shuffled is one row per distinct token and window.
+
+def token_hits(windows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, class_id, score)`` for the tokens of windows that have a weight.
+
+    Small weights are broadcast and tokens without one end in the task that read
+    them.  For large weights equal tokens of a window are counted first, so that
+    what is shuffled is one row per distinct token and window, salted.
     """
-    counted = (
-        windows.select(*keys, F.explode("tokens").alias("token"))
-        .groupBy(*keys, "token")
-        .agg(F.count("*").alias("n"))
+    tokens = windows.select(*keys, F.explode("tokens").alias("token"))
+    table, small = broadcast_if_small(weights)
+    if small:
+        return tokens.join(table, "token").select(*keys, "class_id", F.col("weight").alias("score"))
+    counted = tokens.groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    return salted_join(counted, weights, ["token"], "inner", keys).select(
+        *keys, "class_id", (F.col("n") * F.col("weight")).alias("score")
     )
-    hits = lookup_join(counted, weights, ["token"], "inner", salt_by=keys)
-    return hits.groupBy(*keys, "class_id").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
 
 
-def window_vectors(scores: DataFrame, keys: list[str], n_classes: int) -> DataFrame:
-    """Probability vector per window with at least one score."""
+def score_tokens(windows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """Weight sums ``(keys, class_id, score)`` of token windows."""
+    hits = token_hits(windows, weights, keys)
+    return hits.groupBy(*keys, "class_id").agg(F.sum("score").alias("score"))
+
+
+def window_vectors(hits: DataFrame, keys: list[str], n_classes: int) -> DataFrame:
+    """Probability vector per window with at least one hit: one shuffle of sums."""
     logits = [
         F.coalesce(F.sum(F.when(F.col("class_id") == k, F.col("score"))), F.lit(0))
         for k in range(n_classes)
     ]
-    return scores.groupBy(*keys).agg(softmax(F.array(*logits)).alias("probs"))
+    return hits.groupBy(*keys).agg(F.array(*logits).alias("logits")).select(
+        *keys, softmax(F.col("logits")).alias("probs")
+    )
 
 
 class ArrowScorer(Scorer):
@@ -216,9 +237,9 @@ class MLScorer(Scorer):
     def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        rows = df.select(
-            key, F.explode(windows).alias("__window")
-        ).select(key, F.array_join("__window", " ").alias("__text"))
+        rows = window_rows(df, [key], windows).select(
+            key, F.array_join("tokens", " ").alias("__text")
+        )
         scored = self.model.transform(rows).select(
             key, vector_to_array("probability").alias("__probs")
         )
