@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postweave.functions.text import let, rewrite_matches
+from postweave.functions.text import char_class, let, rewrite_matches
 
 # Jamo in Unicode syllable order, and the compound forms.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -30,14 +30,14 @@ COMPOUND_FINALS = {
 }
 
 SYLLABLE = "가-힣"
-JAMO = "ㄱ-ㅎㅏ-ㅣ"
+JAMO = "ㄱ-ㅣ"
 FIRST_SYLLABLE = 0xAC00
 FIRST_VOWEL = 0x314F
 
+_VOWEL = char_class(VOWELS)
 COMPOSABLE = (
-    # The range first: it rejects most characters at once.
-    f"(?=[ㄱ-ㅎ])[{INITIALS}](?:{'|'.join(COMPOUND_VOWELS)}|[{VOWELS}])"
-    f"(?:(?:{'|'.join(COMPOUND_FINALS)}|[{FINALS}])(?![{VOWELS}]))?"
+    f"{char_class(INITIALS)}(?:{'|'.join(COMPOUND_VOWELS)}|{_VOWEL})"
+    f"(?:(?:{'|'.join(COMPOUND_FINALS)}|{char_class(FINALS)})(?!{_VOWEL}))?"
 )
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from postweave.functions import hangul
 from postweave.functions.hangul import JAMO, SYLLABLE, open_syllables
 from postweave.functions.text import (
+    NOT_PLAIN,
+    char_class,
     collapse_tag,
     dict_replace,
     key_pattern,
@@ -52,14 +54,14 @@ STRETCHED = {
 _LETTER_BEFORE = rf"[\w{SYLLABLE}{JAMO}!?%&^\-+=~,./<>;:'\"]"
 _LETTER_AFTER = rf"[\w{SYLLABLE}{JAMO}!?%^\-+=~,./<>;:'\"]"
 _BETWEEN = r"[\s!?^@.,ㅣ~❤]+"
-_IN_CHUNK = rf"[a-z{SYLLABLE}{JAMO}!?%^()\[\]{{}}\-+=~,./<>;:'\"\w]"
+_IN_CHUNK = rf"(?:[a-z]++|[{SYLLABLE}]++|[{JAMO}!?%^()\[\]{{}}\-+=~,./<>;:'\"\w]++)++"
 _AFTER_CHUNK = r"[ !?@.,❤\s]"
 # A stand-alone character and its separators before another one, or else a chunk;
 # tried only where the last match ended, so matches cover a prefix of the text.
 _SPACED = (
-    rf"(?U)\G(?:\b({_LETTER_BEFORE})\b{_BETWEEN}(?=\b{_LETTER_AFTER}\b)|(\s*{_IN_CHUNK}+{_AFTER_CHUNK}*))"
+    rf"(?U)\G(?:\b({_LETTER_BEFORE})\b{_BETWEEN}(?=\b{_LETTER_AFTER}\b)|(\s*+{_IN_CHUNK}{_AFTER_CHUNK}*+))"
 )
-_CHUNK = rf"(?U)\G\s*+({_IN_CHUNK}++(?:{_AFTER_CHUNK}*[!?@.,❤])?)\s*+"
+_CHUNK = rf"(?U)\G\s*+({_IN_CHUNK}(?:{_AFTER_CHUNK}*[!?@.,❤])?)\s*+"
 
 
 # --- nickname -------------------------------------------------------------
@@ -113,7 +115,7 @@ def unify_spaces(c: Column) -> Column:
 
 def drop_invisible(c: Column) -> Column:
     """Drop skin tones, variation and joining marks, then every ``*``."""
-    invisible = r"[\x{1F3FB}-\x{1F3FF}\uFE0F\u0674\u1160\u200B\u200C\u200D\uFEFF\u2060]+"
+    invisible = NOT_PLAIN + r"[\x{1F3FB}-\x{1F3FF}\uFE0F\u0674\u1160\u200B\u200C\u200D\uFEFF\u2060]+"
     return F.regexp_replace(F.regexp_replace(c, invisible, ""), r"\*+", "")
 
 
@@ -187,7 +189,7 @@ def split_laughter(c: Column) -> Column:
             F.when(same, hangul.without_final(head)).otherwise(head), F.lit(" "), run, F.lit(" ")
         )
 
-    return rewrite_matches(c, f"[{SYLLABLE}][ㅋㅎㅌㅊ]+", split_one)
+    return rewrite_matches(c, f"[{SYLLABLE}]{char_class('ㅋㅎㅌㅊ')}+", split_one)
 
 
 def space_jamo(c: Column) -> Column:
@@ -195,7 +197,7 @@ def space_jamo(c: Column) -> Column:
 
 
 def drop_lone_vowels(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{LONE_VOWELS}]+", "")
+    return F.regexp_replace(c, f"{char_class(LONE_VOWELS)}+", "")
 
 
 def tidy_jamo(c: Column) -> Column:
@@ -225,7 +227,8 @@ def shorten_vowels(c: Column) -> Column:
 
     def shorten(text: Column) -> Column:
         shortened = _without_trails(text)
-        return F.when(text.rlike(f"[{''.join(STRETCHED.values())}]{{2}}"), shortened).otherwise(text)
+        some_trail = char_class("".join(STRETCHED.values()))
+        return F.when(text.rlike(f"{some_trail}{{2}}"), shortened).otherwise(text)
 
     return let(c, shorten)
 
@@ -234,7 +237,8 @@ def _without_trails(c: Column) -> Column:
     for vowels, trail in STRETCHED.items():
         # The few trail characters are looked for first; the long syllable class
         # is only tried in front of them.
-        c = F.regexp_replace(c, f"(?=[{trail}])(?<=[{open_syllables(vowels)}])[{trail}]{{2,}}", "")
+        before = char_class(open_syllables(vowels))
+        c = F.regexp_replace(c, f"(?=[{trail}])(?<={before})[{trail}]{{2,}}", "")
     return c
 
 
@@ -287,7 +291,7 @@ def keep_known_chars(c: Column) -> Column:
     """Single brackets, known characters only, runs of four or more cut, stripped;
     a missing comment becomes ``[EMPTY]``."""
     c = F.regexp_replace(F.regexp_replace(c, r"\[+", "["), r"\]+", "]")
-    c = F.regexp_replace(c, f"(?U)[^{KEPT_CHARS}]+", "")
+    c = F.regexp_replace(c, f"(?U){NOT_PLAIN}[^{KEPT_CHARS}]+", "")
     c = squeeze(c, SQUEEZED_CHARS, min_run=4, keep=2, not_after=r"\d")
     return F.coalesce(strip(c), F.lit(EMPTY_COMMENT))
 

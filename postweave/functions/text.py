@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 # (?U): \w \s \d \b are Unicode as in Python.  (?d): "." stops at "\n" only.
 JAVA_FLAGS = "(?Ud)"
 
+# Ahead of a class that holds neither: rejects most characters of most texts.
+NOT_PLAIN = "(?![a-z ])(?![가-힣])"
+
 _GROUP_REF = re.compile(r"\\(?:g<(\d+)>|(\d{1,2}))|\\(.)|(.)", re.S)
 
 
@@ -98,6 +101,46 @@ def rewrite_matches(c: Column, pattern: str, fn: Callable[[Column], Column]) ->
     return let(c, rewritten)
 
 
+# Java tests the parts of a class, and the branches of an alternation, one after
+# the other, and a class of three or more ranges is several times slower than one
+# of two.  So frequent characters get a cheap test of their own ahead of such a
+# class, and above this many parts they are put into groups behind a range test.
+GROUP = 8
+
+
+def char_ranges(chars: Iterable[str]) -> list[tuple[str, str]]:
+    """Characters as sorted ranges of neighbouring code points."""
+    ranges: list[list[int]] = []
+    for code in sorted({ord(ch) for ch in chars}):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return [(chr(first), chr(last)) for first, last in ranges]
+
+
+def _range(first: str, last: str) -> str:
+    return java_quote(first) if first == last else f"{java_quote(first)}-{java_quote(last)}"
+
+
+def char_class(chars: Iterable[str]) -> str:
+    """Pattern for one of ``chars``, cheap for many of them too."""
+    return _grouped([(r[0], r[1], _range(*r)) for r in char_ranges(chars)], "[{}]", "")
+
+
+def _grouped(parts: list[tuple[str, str, str]], form: str, joint: str) -> str:
+    """``(first, last, pattern)`` parts in order, in groups behind range tests."""
+    if len(parts) <= GROUP:
+        return form.format(joint.join(pattern for _, _, pattern in parts))
+    size = max(GROUP, -(-len(parts) // GROUP))
+    branches = []
+    for start in range(0, len(parts), size):
+        group = parts[start : start + size]
+        inner = _grouped(group, form, joint)
+        branches.append(f"(?=[{_range(group[0][0], group[-1][1])}]){inner}")
+    return f"(?:{'|'.join(branches)})"
+
+
 def _factored(keys: Sequence[str]) -> str:
     """Alternation of ``keys`` with shared prefixes written once.
 
@@ -108,13 +151,12 @@ def _factored(keys: Sequence[str]) -> str:
     for key in keys:
         if key:
             heads.setdefault(key[0], []).append(key[1:])
-    branches = []
-    for head, tails in heads.items():
+    parts = []
+    for head in sorted(heads):
+        tails = heads[head]
         rest = _factored(tails)
-        if rest and (len(tails) > 1 or "" in tails):
-            rest = f"(?:{rest})" + ("?" if "" in tails else "")
-        branches.append(java_quote(head) + rest)
-    return "|".join(branches)
+        parts.append((head, head, java_quote(head) + rest + ("?" if rest and "" in tails else "")))
+    return _grouped(parts, "(?:{})", "|") if parts else ""
 
 
 def key_pattern(keys: Iterable[str]) -> str | None:
@@ -127,10 +169,9 @@ def key_pattern(keys: Iterable[str]) -> str | None:
             kept.append(key)
             seen.add(key)
     # Among the kept keys a longer one always comes before its own prefixes, so
-    # the longest match is the first match.  First characters go ahead as a class:
-    # most positions are rejected by one test.
-    heads = "".join(java_quote(head) for head in dict.fromkeys(key[0] for key in kept))
-    return f"(?=[{heads}])(?:{_factored(kept)})" if kept else None
+    # the longest match is the first match.  First characters go ahead: most
+    # positions are rejected by them.
+    return f"(?={char_class(key[0] for key in kept)}){_factored(kept)}" if kept else None
 
 
 def dict_replace(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
@@ -156,8 +197,11 @@ def squeeze(
     ``chars`` is a one-character pattern; a run does not start right after
     ``not_after``.
     """
-    guard = f"(?<!{not_after})" if not_after else ""
-    pattern = f"{JAVA_FLAGS}{guard}({chars})\\1{{{min_run - 1},}}"
+    # The repetition is tested first: it fails at once almost everywhere.
+    first = "(.)" if chars == "." else "((?s:.))"
+    member = "" if chars == "." else f"(?<={chars})"
+    guard = f"(?<!{not_after}(?s:.))" if not_after else ""
+    pattern = f"{JAVA_FLAGS}{first}(?=\\1{{{min_run - 1}}}){member}{guard}\\1+"
     return F.regexp_replace(c, pattern, "$1" * keep)
 
 

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postweave.functions.hangul import FINALS, INITIALS, VOWELS
+from postweave.functions.text import char_ranges
 
-# Characters NFKC leaves alone in any context of themselves.
-_STABLE = r"\x00-\x7F\u00C0-\u00FF가-힣"
+# Ranges NFKC leaves alone in any context of themselves.
+_STABLE = [(0x00, 0x7F), (0xC0, 0xFF), (0xAC00, 0xD7A3)]
 
 
 def jamo_restoration() -> dict[str, str]:
@@ -47,13 +48,16 @@ def map_chars(c: Column, table: Mapping[str, str]) -> Column:
 
 def needs_folding(c: Column, table: Mapping[str, str]) -> Column:
     """Rows with a character folding could change, given the table applied after it."""
-    stable = _STABLE
+    stable = {chr(code) for first, last in _STABLE for code in range(first, last + 1)}
     restored = all(table.get(k) == v for k, v in jamo_restoration().items())
     if restored and not any("\u3131" <= key <= "\u3163" for key in table):
         # Folded and mapped back.  Compound finals stay out: they would join a
         # syllable before them.
-        stable += INITIALS + VOWELS
-    return c.rlike(f"[^{stable}]")
+        stable |= set(INITIALS + VOWELS)
+    kept = "".join(
+        rf"\x{{{ord(first):X}}}-\x{{{ord(last):X}}}" for first, last in char_ranges(stable)
+    )
+    return c.rlike(rf"(?![\x00-\x7F])(?![가-힣])[^{kept}]")
 
 
 def fold_column(df: DataFrame, name: str, table: Mapping[str, str]) -> DataFrame:

@@ -16,7 +16,10 @@ DELIMITERS = ".,!?^~"
 
 BEGIN, END = "[CLS]", "[SEP]"
 WORD_CHARS = r"\p{L}\p{M}\p{N}_"
-TOKEN = rf"\[[A-Z_]+\]|[{WORD_CHARS}]+|[^{WORD_CHARS}\p{{Z}}\s]"
+# A tag, a word, or one mark.  (Frequent letters first: they are tried in order.)
+TOKEN = (
+    rf"\[[A-Z_]+\]|(?:[a-z]++|[가-힣]++|[{WORD_CHARS}]++)++|(?! )[^{WORD_CHARS}\p{{Z}}\s]"
+)
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ their number, and turns them into literal patterns of the plan.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 from pathlib import Path
@@ -15,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.functions.text import JAVA_FLAGS, key_pattern, strip
+from postweave.functions.text import JAVA_FLAGS, char_class, key_pattern, strip
 from postweave.functions.unicode_fold import jamo_restoration
 
 DATA = Path(__file__).resolve().parent.parent / "data"
@@ -175,6 +176,14 @@ def _tags(files: DataFrame) -> DataFrame:
     )
 
 
+def cheap_emoji_set(pattern: str) -> str:
+    """An ``emoji_set`` pattern of ``flatten_rules`` with its many characters as ranges."""
+    if not (pattern.startswith("(?:[") and pattern.endswith("])+")):
+        return pattern
+    chars = re.sub(r"\\(.)", r"\1", pattern[4:-3], flags=re.S)
+    return f"(?:{char_class(chars)})+" if chars else pattern
+
+
 @dataclass(frozen=True)
 class RuleSet:
     """Rules by group, in order: what the steps take."""
@@ -209,7 +218,10 @@ class RuleSet:
             raise ValueError(f"more than {RULE_LIMIT} rules; use lookup_tokens for a lexicon")
         groups: dict[str, Pairs] = {}
         for row in sorted(rows, key=lambda r: (r["group"], r["ord"])):
-            groups.setdefault(row["group"], []).append((row["pattern"], row["replacement"]))
+            pattern = row["pattern"]
+            if row["group"] == "emoji_set":
+                pattern = cheap_emoji_set(pattern)
+            groups.setdefault(row["group"], []).append((pattern, row["replacement"]))
         unknown = set(groups) - set(cls.__dataclass_fields__)
         if unknown:
             raise ValueError(f"unknown rule groups: {sorted(unknown)}")
