@@ -21,7 +21,7 @@ from postweave.plans.corpus import COMMENT, NICKNAME, documents, documents_sql,
 from postweave.plans.registry import Query
 from postweave.plans.table_queries import VISIBLE_SQL, token_list_sql, window_list_sql, windows_sql
 from postweave.plans.text_queries import tidy_marks_sql
-from postweave.session import scratch_path
+from postweave.session import literal_rows, scratch_path
 from postweave.sources.results import write_results
 
 # Fixed values of this module: label -> {token: weight}.
@@ -50,7 +50,7 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weight_table(spark: SparkSession, labels: DataFrame, head: str) -> DataFrame:
     source = COMMENT_WEIGHTS if head == "comment" else NICKNAME_WEIGHTS
     rows = [(label, token, w) for label, tokens in source.items() for token, w in tokens.items()]
-    weights = spark.createDataFrame(rows, "label STRING, token STRING, weight INT")
+    weights = literal_rows(spark, ["label", "token", "weight"], rows)
     classes = labels.where(F.col("head") == head).select("label", "class_id")
     return weights.join(classes, "label").select("token", "class_id", "weight")
 

@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postweave.operators.normalize import normalize
-from postweave.plans.classify_queries import (
-    HEADS_SQL,
-    flat_heads,
-    label_table,
-    scorers,
-)
+from postweave.functions.steps import fix_words
 from postweave.operators.classify import classify_heads
+from postweave.plans.classify_queries import HEADS_SQL, flat_heads, label_table, scorers
 from postweave.plans.corpus import COMMENT, NICKNAME
 from postweave.plans.registry import Query
 from postweave.plans.table_queries import GAP_SECONDS, SESSIONS_SQL
 from postweave.plans.text_queries import RULES
-from postweave.session import scratch_path
+from postweave.session import literal_rows, scratch_path
 from postweave.sources.rules import RuleSet, load_rules, rules_json
 from postweave.streaming.activity import stream_last_seen, stream_sessions
 from postweave.streaming.posts import Refreshed, run_refreshing_stream, run_stream, stream_posts
@@ -70,15 +65,12 @@ def _stream_normalize_classify(spark, sf_dir):
 
 def _stream_refreshed_rules(spark, sf_dir):
     rules_path = scratch_path(spark, "live-rules")
-    spark.createDataFrame(
-        [(rules_json({"incorrect": {"sentence": [["[aeiou]+", "_"]]}}),)], "value STRING"
-    ).coalesce(1).write.text(rules_path)
+    text = rules_json({"incorrect": {"sentence": [["[aeiou]+", "_"]]}})
+    literal_rows(spark, ["value"], [(text,)]).write.text(rules_path)
     rules = Refreshed(spark, rules_path, lambda s, p: RuleSet.collect(load_rules(s, p)))
     posts = _documents(spark, sf_dir).selectExpr("doc_id AS id", "source AS nickname", "text AS comment")
 
     def transform(batch, current):
-        from postweave.functions.steps import fix_words
-
         return batch.select("id", fix_words(F.lower("comment"), current).alias("comment"))
 
     sink, checkpoint = scratch_path(spark, "rules-sink"), scratch_path(spark, "rules-state")

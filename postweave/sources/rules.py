@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from postweave.functions.text import JAVA_FLAGS, char_class, key_pattern, strip
 from postweave.functions.unicode_fold import jamo_restoration
+from postweave.session import literal_rows
 
 DATA = Path(__file__).resolve().parent.parent / "data"
 RULE_SCHEMA = "`group` STRING, ord INT, `key` STRING, pattern STRING, replacement STRING"
@@ -247,7 +248,7 @@ def restoring_jamo(spark: SparkSession) -> DataFrame:
     rows = [
         ("single_ko", i, old, old, new) for i, (old, new) in enumerate(jamo_restoration().items())
     ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return literal_rows(spark, ["group", "ord", "key", "pattern", "replacement"], rows)
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
@@ -258,7 +259,7 @@ def default_rules(spark: SparkSession) -> DataFrame:
 
     def text_of(name: str) -> DataFrame:
         text = (DATA / name).read_text(encoding="utf-8")
-        return spark.createDataFrame([(text,)], "value STRING")
+        return literal_rows(spark, ["value"], [(text,)])
 
     def parsed(name: str, schema: str) -> DataFrame:
         return text_of(name).select(F.from_json("value", schema).alias("file")).select("file.*")
