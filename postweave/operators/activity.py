@@ -8,7 +8,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 86_400
+# Short enough that one bucket of a key with a third of a very large log is
+# still one task's work.
+BUCKET_SECONDS = 600
 
 
 def live_keys(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from postweave.functions import steps
 from postweave.functions.text import squeeze
 from postweave.functions.windows import MAX_TOKENS, WindowOptions, window_table
-from postweave.operators.catalogue import catalogues
+from postweave.operators.catalogue import catalogues, categories
 from postweave.operators.classify import classify, classify_heads, combine_heads
 from postweave.operators.scorers import ArrowScorer, LexiconScorer, MLScorer, score_tokens
 from postweave.plans.corpus import COMMENT, NICKNAME, documents, documents_sql, table
@@ -22,7 +22,7 @@ from postweave.plans.registry import Query
 from postweave.plans.table_queries import VISIBLE_SQL, token_list_sql, window_list_sql, windows_sql
 from postweave.plans.text_queries import tidy_marks_sql
 from postweave.session import literal_rows, scratch_path
-from postweave.sources.results import write_results
+from postweave.sources.results import RESULT_SCHEMA, write_results
 
 # Fixed values of this module: label -> {token: weight}.
 COMMENT_WEIGHTS = {
@@ -50,7 +50,7 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weight_table(spark: SparkSession, labels: DataFrame, head: str) -> DataFrame:
     source = COMMENT_WEIGHTS if head == "comment" else NICKNAME_WEIGHTS
     rows = [(label, token, w) for label, tokens in source.items() for token, w in tokens.items()]
-    weights = literal_rows(spark, ["label", "token", "weight"], rows)
+    weights = literal_rows(spark, "label STRING, token STRING, weight INT", rows)
     classes = labels.where(F.col("head") == head).select("label", "class_id")
     return weights.join(classes, "label").select("token", "class_id", "weight")
 
@@ -236,8 +236,8 @@ def _written(spark, sf_dir):
     labels = label_table(spark, sf_dir)
     path = scratch_path(spark, "results")
     done = classify_heads(posts_lower(spark, sf_dir), scorers(spark, labels), labels)
-    write_results(done, path)
-    return flat_heads(spark.read.parquet(path))
+    write_results(done, path, categories(labels), fmt="json")
+    return flat_heads(spark.read.schema(RESULT_SCHEMA).json(f"{path}/results"))
 
 
 def _heads_sql() -> str:

@@ -66,7 +66,7 @@ def _stream_normalize_classify(spark, sf_dir):
 def _stream_refreshed_rules(spark, sf_dir):
     rules_path = scratch_path(spark, "live-rules")
     text = rules_json({"incorrect": {"sentence": [["[aeiou]+", "_"]]}})
-    literal_rows(spark, ["value"], [(text,)]).write.text(rules_path)
+    literal_rows(spark, "value STRING", [(text,)]).write.text(rules_path)
     rules = Refreshed(spark, rules_path, lambda s, p: RuleSet.collect(load_rules(s, p)))
     posts = _documents(spark, sf_dir).selectExpr("doc_id AS id", "source AS nickname", "text AS comment")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a broadcast side may hold.  Beyond it callers use a shuffle join.
 BROADCAST_ROWS = 200_000
@@ -21,6 +23,9 @@ SETTINGS = {
     # Whole texts travel to the Arrow step: batches bounded by bytes, not rows.
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
+    # Chains are hundreds of column calls; looking up the Python line of each one
+    # takes longer than planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Sessions are merged inside a task before a stream shuffles them.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -56,11 +61,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def literal_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
-    """A few rows as literals of the plan: unlike ``createDataFrame`` on a list,
+def literal_rows(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
+    """A few rows as one literal of the plan: unlike ``createDataFrame`` on a list,
     reading them starts no Python worker."""
-    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+    kind = T.StructType.fromDDL(schema)
+    text = json.dumps([dict(zip(kind.names, row)) for row in rows], ensure_ascii=False)
+    parsed = F.from_json(F.lit(text), T.ArrayType(kind))
+    return spark.range(0, 1, 1, 1).select(F.inline(parsed))
 
 
 def is_small(
@@ -88,7 +95,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     Large inputs have more file splits than cores and pass through untouched;
     only an input with fewer splits is redistributed, by hash of its unique key,
-    which lands a re-run task's rows where the first run put them.
+    which lands a re-run task's rows where the first run put them.  For scans:
+    counting the splits of a plan with a shuffle would run it.
     """
     if df.isStreaming:
         return df

@@ -14,12 +14,15 @@ RESULT_SCHEMA = (
 def write_results(
     df: DataFrame,
     path: str,
+    categories: DataFrame | None = None,
     fmt: str = "parquet",
     mode: str = "errorifexists",
     partition_by: list[str] | None = None,
 ) -> None:
-    """Write result rows; ``categories`` go next to them as their own table."""
+    """Write result rows to ``<path>/results`` and category lists to ``<path>/categories``."""
     writer = df.write.format(fmt).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    writer.save(f"{path}/results")
+    if categories is not None:
+        categories.write.format(fmt).mode(mode).save(f"{path}/categories")

@@ -248,7 +248,7 @@ def restoring_jamo(spark: SparkSession) -> DataFrame:
     rows = [
         ("single_ko", i, old, old, new) for i, (old, new) in enumerate(jamo_restoration().items())
     ]
-    return literal_rows(spark, ["group", "ord", "key", "pattern", "replacement"], rows)
+    return literal_rows(spark, RULE_SCHEMA, rows)
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
@@ -259,7 +259,7 @@ def default_rules(spark: SparkSession) -> DataFrame:
 
     def text_of(name: str) -> DataFrame:
         text = (DATA / name).read_text(encoding="utf-8")
-        return literal_rows(spark, ["value"], [(text,)])
+        return literal_rows(spark, "value STRING", [(text,)])
 
     def parsed(name: str, schema: str) -> DataFrame:
         return text_of(name).select(F.from_json("value", schema).alias("file")).select("file.*")

@@ -140,7 +140,7 @@ def test_scorers_agree_with_each_other_and_by_hand(spark):
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120))) for _ in range(120)]
     df = spark.createDataFrame(list(enumerate(texts)), "id INT, nickname STRING").repartition(3)
     weights = spark.createDataFrame(WEIGHTS, "token STRING, class_id INT, weight INT")
-    labels = literal_rows(spark, ["head", "class_id", "label"], [("nickname", 0, "yes"), ("nickname", 1, "no")])
+    labels = literal_rows(spark, "head STRING, class_id INT, label STRING", [("nickname", 0, "yes"), ("nickname", 1, "no")])
 
     def make():
         def predict(batch):
@@ -169,7 +169,7 @@ def test_scorers_agree_with_each_other_and_by_hand(spark):
 def test_unscored_rows_survive(spark):
     df = spark.createDataFrame([(1, None), (2, "good")], "id INT, comment STRING")
     weights = spark.createDataFrame(WEIGHTS, "token STRING, class_id INT, weight INT")
-    labels = literal_rows(spark, ["head", "class_id", "label"], [("comment", 0, "yes"), ("comment", 1, "no")])
+    labels = literal_rows(spark, "head STRING, class_id INT, label STRING", [("comment", 0, "yes"), ("comment", 1, "no")])
     for scorer in (LexiconScorer(weights, 2), LexiconScorer(weights, 2, inline_tokens=0)):
         got = {r["id"]: r["comment_result"]["predicted"] for r in classify(df, scorer, labels, "comment").collect()}
         assert got == {1: None, 2: "yes"}
@@ -287,7 +287,7 @@ def test_stream_equals_batch_and_rules_refresh(spark, tmp_path):
     posts.repartition(2).write.parquet(str(tmp_path / "in"))
     weights = spark.createDataFrame(WEIGHTS, "token STRING, class_id INT, weight INT")
     labels = literal_rows(
-        spark, ["head", "class_id", "label"],
+        spark, "head STRING, class_id INT, label STRING",
         [(h, k, label) for h in ("nickname", "comment") for k, label in enumerate(("yes", "no"))],
     )
     scorers = {h: LexiconScorer(weights, 2) for h in ("nickname", "comment")}
