@@ -1,6 +1,6 @@
 """Run registered queries against their SQL on the same parquet files.
 
-``python -m tests.compare [--sf DIR] [name ...]``
+``python -m tests.compare [--sf DIR] [--plain] [name ...]``
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import os
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -81,9 +82,15 @@ def main():
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.001")
+    parser.add_argument("--plain", action="store_true", help="a session with Spark's defaults")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark, con = local_session(8), connect(args.sf)
+    if args.plain:
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(8)
+    con = connect(args.sf)
     failed = []
     for name, query in all_queries().items():
         if args.names and name not in args.names:
