@@ -35,7 +35,8 @@ DEFAULT_NICKNAME = "[DEFAULT_NICK]"
 TEXT_FACE = "[TEXT_EMOJI]"
 
 # Characters kept by the misc step, marks and order of the
-# punctuation step, vowels dropped when alone, stretched-vowel groups.
+# punctuation step, vowels dropped when alone, stretched-vowel groups.  Frequent
+# ranges come first: they are tried in order.
 KEPT_CHARS = rf"a-z {SYLLABLE}{JAMO}!?%&^()\[\]{{}}\-+=~,./<>;:'\"\s\w"
 SQUEEZED_CHARS = rf"[a-zA-Z{SYLLABLE}{JAMO}!?%^()\[\]{{}}\-_+=~,./<>;:'\"\s]"
 PUNCT_ORDER = "~.,?!"
@@ -48,7 +49,6 @@ STRETCHED = {
     "ㅣ": "ㅣ이",
     "ㅡ": "ㅡ으",
 }
-# (Frequent ranges first: they are tried in order.)
 # The two single-character classes, the chunk class and the
 # trailing marks of the spaced-letter step.
 _LETTER_BEFORE = rf"[\w{SYLLABLE}{JAMO}!?%&^\-+=~,./<>;:'\"]"

@@ -19,7 +19,7 @@ from postweave.operators.classify import classify, classify_heads, combine_heads
 from postweave.operators.scorers import ArrowScorer, LexiconScorer, MLScorer, score_tokens
 from postweave.plans.corpus import COMMENT, NICKNAME, documents, documents_sql, table
 from postweave.plans.registry import Query
-from postweave.plans.table_queries import VISIBLE_SQL, token_list_sql, window_list_sql, windows_sql
+from postweave.plans.table_queries import VISIBLE_SQL, token_list_sql, windows_sql
 from postweave.plans.text_queries import tidy_marks_sql
 from postweave.session import literal_rows, scratch_path
 from postweave.sources.results import RESULT_SCHEMA, write_results

@@ -22,8 +22,6 @@ from postweave.functions.text import (
 )
 from postweave.operators.normalize import nickname_chain, normalize
 from postweave.plans.corpus import (
-    COMMENT,
-    NICKNAME,
     POSTS_SQL,
     choose,
     decorated,

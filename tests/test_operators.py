@@ -14,7 +14,6 @@ from postweave.functions.windows import (
     is_long,
     sentences,
     text_windows,
-    tokens,
     window_spans,
     windows,
 )
