@@ -26,7 +26,7 @@ from postweave.llm.common import read_table, slices, written
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked in one task, about.
-RANKED = 100_000
+RANKED = 10_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
