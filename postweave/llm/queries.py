@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from postweave.llm.near_dedup import op1_minhash_near_dedup
 from postweave.llm.packing import op4_best_fit_packing
 from postweave.llm.token_counts import op7_token_counts
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_token_counts": op7_token_counts,
 }
