@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from postweave.llm.mixing import OP10_SQL, op10_mix_sources
 from postweave.llm.near_dedup import op1_minhash_near_dedup
 from postweave.llm.packing import op4_best_fit_packing
 from postweave.llm.token_counts import op7_token_counts
@@ -10,6 +11,9 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_token_counts": op7_token_counts,
+    "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_mix_sources": OP10_SQL,
+}
