@@ -5,10 +5,12 @@ from __future__ import annotations
 from postweave.llm.mixing import OP10_SQL, op10_mix_sources
 from postweave.llm.near_dedup import op1_minhash_near_dedup
 from postweave.llm.packing import op4_best_fit_packing
+from postweave.llm.quality_rules import op3_quality_rules
 from postweave.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op10_mix_sources": op10_mix_sources,
