@@ -7,18 +7,17 @@ a chunk, that is its six forms with one place left open, therefore gives every
 such pair a common key.  At the threshold itself a pair escapes all 14 chunks
 with probability 0.47 ** 14, about 2 in 100,000, and more alike pairs far less.
 
-Equal sets are one class before any key is made.  Within the class
+Equal sets are one class before any key is made.  Among the class
 representatives of a bucket no pairs are enumerated at first: all are compared
-with one hub, links become components, and only a bucket that still holds
-several components gets another hub, later, when few are left, its pairs across
-components.  Every pair with a common key ends up compared or in one component,
-so components lose no link.  Links are confirmed on full sets.
+with one hub and links become components.  Only in a bucket that still holds
+several components are pairs across them compared, by longer sketches inside the
+join.  Every pair with a common key ends up compared or in one component, so
+components lose no link.  Links are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +31,8 @@ from postweave.llm.words import mix
 from postweave.session import broadcast_if_small
 
 CHUNKS, PLACES = 14, 6
-#: Pairs across components may be this many times the class representatives; beyond
-#: it another round of hubs comes first.
-PAIRS_PER_SET = 4
+#: Bits of the longer sketches that are made where one hub did not settle a bucket.
+SKETCH = 2048
 
 _SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, signature binary"
 
@@ -129,8 +127,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = 75, width: int =
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sets = written(texts.mapInArrow(collect_sets, "id long, shingles binary"), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    left, small = broadcast_if_small(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    right = F.broadcast(right) if small else right
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return both.mapInArrow(compare, "a long, b long").distinct()
 
@@ -166,47 +165,70 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH) -> D
 def linked(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
     """``node, component`` of the class representatives that have a link."""
     every = keys(sets)
-    shared = every.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
-    open_keys = written(every.join(shared, F.col("key") == F.col("k")).select("key", "id"), "keys")
-    size = sets.count()
-    links: list[DataFrame] = []
-    named = None
-    while True:
-        spread = open_keys.withColumn("component", F.col("id"))
-        if named is not None:
-            spread = (
-                open_keys.join(named, F.col("id") == F.col("node"), "left")
-                .select("key", "id", F.coalesce("component", "id").alias("component"))
-            )
-        # Keys whose members are not yet all in one component.
-        mixed = spread.groupBy(F.col("key").alias("k")).agg(
-            F.min("id").alias("hub"),
-            F.count("*").alias("n"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-        ).where("low <> high")
-        spread = written(
-            spread.join(mixed, F.col("key") == F.col("k")).select("key", "id", "component", "hub", "n"), "open"
-        )
-        pairs = spread.where("id = hub").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-        if not pairs:
-            break
-        last = pairs <= PAIRS_PER_SET * size
-        if last:
-            other = spread.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-            asked = spread.join(other, "key").where("id < b and component <> other")
-            asked = asked.select(F.col("id").alias("a"), "b").distinct()
-        else:
-            # The hub meets all members and leaves the bucket.
-            asked = spread.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-            open_keys = spread.where("id <> hub").select("key", "id")
-        links.append(written(confirmed(written(asked, "pairs"), docs, percent, width), "links"))
-        named = written(components(reduce(DataFrame.union, links)), "named")
-        if last:
-            break
-    if named is None:
-        named = sets.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    return named
+    shared = every.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("hub"))
+    shared = shared.where("n > 1")
+    members = written(every.join(shared, F.col("key") == F.col("k")).select("key", "id", "hub"), "keys")
+    spokes = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = written(confirmed(written(spokes.distinct(), "spokes"), docs, percent, width), "links")
+    named = written(components(links), "named")
+    spread = members.join(named, F.col("id") == F.col("node"), "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component")
+    )
+    # Keys whose members are not yet all in one component.
+    mixed = spread.groupBy(F.col("key").alias("k")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    mixed = mixed.where("low <> high").select("k")
+    spread = written(spread.join(mixed, F.col("key") == F.col("k")).drop("k"), "open")
+    pairs = written(_across(spread, docs, percent, width), "pairs")
+    more = confirmed(pairs, docs, percent, width)
+    return components(links.union(more))
+
+
+def _across(spread: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """``a, b``: pairs of one key in two components, unless their sketches or sizes rule a
+    link out.
+
+    A sketch is one bit of each of 2048 min-hashes, compared by native bit counts
+    inside the join, so only what passes becomes a row; a pair is passed on at the
+    first key it shares.
+    """
+    own = spread.groupBy(F.col("id").alias("own")).agg(F.collect_list("key").alias("keys"))
+    few, _ = broadcast_if_small(written(own.select("own"), "unsettled"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(few, F.col("doc_id") == F.col("own"), "left_semi")
+    words = SKETCH // 64
+    schema = "sid long, size long, " + ", ".join(f"w{i} long" for i in range(words))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes, edges = shingle_sets(part.column(1), width)
+                full = np.diff(edges) > 0
+                bits = (signatures(hashes, edges, SKETCH) & 1).astype(np.uint8)
+                packed = np.packbits(bits, axis=1).view(np.int64).reshape(-1, words)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).filter(pa.array(full)), pa.array(np.diff(edges)[full])]
+                    + [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(words)],
+                    names=["sid", "size", *(f"w{i}" for i in range(words))],
+                )
+
+    sketched = texts.mapInArrow(sketch, schema).dropDuplicates(["sid"])
+    own = own.join(sketched, F.col("own") == F.col("sid")).drop("sid")
+    rows = written(spread.join(own, F.col("id") == F.col("own")).drop("own"), "sketched")
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(words)), F.lit(0))
+    alike = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    sizes = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
+    condition = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
+    condition &= (F.col("x.component") != F.col("y.component")) & sizes & (apart <= _apart(percent)) & alike
+    return x.join(y, condition).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _apart(percent: int) -> int:
+    """Bits in which sketches of sets at the threshold differ, at 5.5 standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(SKETCH * p + 5.5 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
