@@ -6,16 +6,19 @@ from postweave.llm.mixing import OP10_SQL, op10_mix_sources
 from postweave.llm.near_dedup import op1_minhash_near_dedup
 from postweave.llm.packing import op4_best_fit_packing
 from postweave.llm.quality_rules import op3_quality_rules
+from postweave.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from postweave.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": OP6_SQL,
     "op10_mix_sources": OP10_SQL,
 }
