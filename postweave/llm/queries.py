@@ -5,6 +5,7 @@ from __future__ import annotations
 from postweave.llm.mixing import OP10_SQL, op10_mix_sources
 from postweave.llm.near_dedup import op1_minhash_near_dedup
 from postweave.llm.packing import op4_best_fit_packing
+from postweave.llm.quality_model import op9_quality_model
 from postweave.llm.quality_rules import op3_quality_rules
 from postweave.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from postweave.llm.token_counts import op7_token_counts
@@ -15,10 +16,12 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
+    "op9_quality_model": op9_quality_model,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
+    "op9_quality_model": op9_quality_model,
     "op10_mix_sources": OP10_SQL,
 }
