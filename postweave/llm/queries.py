@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from postweave.llm.language_id import op2_language_id
 from postweave.llm.mixing import OP10_SQL, op10_mix_sources
 from postweave.llm.near_dedup import op1_minhash_near_dedup
 from postweave.llm.packing import op4_best_fit_packing
@@ -12,6 +13,7 @@ from postweave.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_substring_dedup": op6_substring_dedup,
