@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postweave.session import scratch_path
 
 #: Text bytes handled at once inside a task; bounds the arrays made from them.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Separators of words, for a Java pattern.
 WORD_GAP = r"[\x20\x09-\x0D]+"

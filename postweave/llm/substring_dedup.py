@@ -20,7 +20,7 @@ a third of all rows is one entry per batch of texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from postweave.llm.common import SLICE_BYTES, read_table, slices, written
 from postweave.llm.recompression import anchors, symbols
 from postweave.llm.words import mix, window_starts, windows, words
+from postweave.session import broadcast_if_small
 
 WIDTH = 13
 ROUNDS, PHRASE = 1, 3
 #: Text bytes whose names meet in one task, about.
 RANGE_BYTES = 16 << 20
 
-_PACKED = "bucket int, settled boolean, keys binary, docs binary"
+_PACKED = "bucket int, settled boolean, keys binary, docs binary, spots binary"
 _FOUND = "doc long, keys binary"
 
 
@@ -49,12 +50,35 @@ def _phrases(w, at: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
     return anchors(symbols(w.hash, w.owner, ROUNDS), hashes, at, width, PHRASE)
 
 
-def _packed(keys: np.ndarray, docs: np.ndarray, buckets: int, whole: bool) -> pa.RecordBatch:
-    """Rows that let ``keys`` of a batch meet those of others.
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    names = ("bucket", "settled", "keys", "docs", "spots")
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    columns = zip(*rows) if rows else ((),) * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
-    Keys of several documents are settled here: for all of them if ``whole``, else for
-    all but the smallest.
-    """
+
+def _ranged(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, buckets: int) -> list[tuple]:
+    """A row per range of names."""
+    bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    keys, docs, spots, bucket = keys[order], docs[order], spots[order], bucket[order]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() if len(bucket) else []
+    return [
+        (int(bucket[a]), False, keys[a:b].tobytes(), docs[a:b].tobytes(), spots[a:b].tobytes())
+        for a, b in zip(edges, [*edges[1:], len(bucket)])
+    ]
+
+
+def _settled(keys: np.ndarray, docs: np.ndarray, buckets: int) -> list[tuple]:
+    """What needs no meeting goes along with some range, another one for each batch."""
+    if not len(keys):
+        return []
+    return [(int(mix(keys[:1])[0] % np.uint64(buckets)), True, keys.tobytes(), docs.tobytes(), b"")]
+
+
+def _revealing(keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Phrases of a batch, each with its smallest document; those that several documents of
+    the batch have are revealed to all of them here."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
@@ -62,50 +86,67 @@ def _packed(keys: np.ndarray, docs: np.ndarray, buckets: int, whole: bool) -> pa
     keys, docs = keys[new], docs[new]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
-    settled = ~first
-    if whole:
-        settled = settled | np.append(settled[1:], False)
-    rows = [(0, True, keys[settled].tobytes(), docs[settled].tobytes())] if settled.any() else []
-    keys, docs = keys[first], docs[first]
-    bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    keys, docs, bucket = keys[order], docs[order], bucket[order]
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-    for a, b in zip(edges, [*edges[1:], len(bucket)]):
-        rows.append((int(bucket[a]), False, keys[a:b].tobytes(), docs[a:b].tobytes()))
-    if rows and rows[0][1]:
-        # Settled rows go along with some range, another one for each batch.
-        rows[0] = (int(keys[0] % np.uint64(buckets)), *rows[0][1:])
-    return pa.RecordBatch.from_pylist(
-        [dict(zip(("bucket", "settled", "keys", "docs"), r)) for r in rows],
-        schema=pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary())]),
-    )
+    shared = ~first | ~np.append(first[1:], True)
+    no_spots = np.zeros(int(first.sum()), np.uint32)
+    met = [(*row[:4], b"") for row in _ranged(keys[first], docs[first], no_spots, buckets)]
+    return _rows(_settled(keys[shared], docs[shared], buckets) + met)
+
+
+def _runs(docs: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring windows of a document as runs: first window and length in one number."""
+    order = np.lexsort((spots, docs))
+    docs, spots = docs[order], spots[order].astype(np.int64)
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (spots[1:] > spots[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(docs)) - 1
+    runs = (spots[first] << 32) | (spots[last] - spots[first] + 1) if len(docs) else spots
+    return runs.astype(np.uint64), docs[first]
+
+
+def _verifying(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Windows of a batch in their smallest document; in its other documents they are late."""
+    order = np.lexsort((docs, keys))
+    keys, docs, spots = keys[order], docs[order], spots[order]
+    late = docs > _least(keys, docs)
+    runs, owners = _runs(docs[late], spots[late])
+    return _rows(_settled(runs, owners, buckets) + _ranged(keys[~late], docs[~late], spots[~late], buckets))
+
+
+def _least(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The smallest document of each key, of both sorted by key and document."""
+    again = np.zeros(len(keys), bool)
+    again[1:] = keys[1:] == keys[:-1]
+    return docs[np.maximum.accumulate(np.where(again, 0, np.arange(len(keys))))] if len(keys) else docs
+
 
+def _joined(group: pa.Table, settled: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    some = group.filter(pa.compute.equal(group.column("settled"), settled))
+    kinds = (("keys", np.uint64), ("docs", np.int64), ("spots", np.uint32))
+    return tuple(np.frombuffer(b"".join(some.column(c).to_pylist()), k) for c, k in kinds)
 
-def _met(whole: bool) -> Callable[[pa.Table], pa.Table]:
-    """Meet the entries of one range: keys of several batches, for all of them if ``whole``,
-    else for all but the smallest id."""
-
-    def meet(group: pa.Table) -> pa.Table:
-        settled = group.column("settled").to_numpy()
-        keys = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
-        docs = [np.frombuffer(x, np.int64) for x in group.column("docs").to_pylist()]
-        open_keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, s in zip(keys, settled) if not s)])
-        open_docs = np.concatenate([np.zeros(0, np.int64), *(d for d, s in zip(docs, settled) if not s)])
-        order = np.lexsort((open_docs, open_keys))
-        k, d = open_keys[order], open_docs[order]
-        again = np.zeros(len(k), bool)
-        again[1:] = k[1:] == k[:-1]
-        if whole:
-            hit = again | np.append(again[1:], False)
-        else:
-            least = d[np.maximum.accumulate(np.where(again, 0, np.arange(len(k))))] if len(k) else d
-            hit = d > least
-        k = np.concatenate([k[hit], *(x for x, s in zip(keys, settled) if s)])
-        d = np.concatenate([d[hit], *(x for x, s in zip(docs, settled) if s)])
-        return _per_document(k, d)
-
-    return meet
+
+def _revealed(group: pa.Table) -> pa.Table:
+    """Phrases of one range that documents of several batches have."""
+    keys, docs, _ = _joined(group, False)
+    order = np.argsort(keys)
+    keys, docs = keys[order], docs[order]
+    again = np.zeros(len(keys), bool)
+    again[1:] = keys[1:] == keys[:-1]
+    again[:-1] |= again[1:]
+    known, owners, _ = _joined(group, True)
+    return _per_document(np.concatenate([keys[again], known]), np.concatenate([docs[again], owners]))
+
+
+def _verified(group: pa.Table) -> pa.Table:
+    """Runs of windows of one range that also start in a document with a smaller id."""
+    keys, docs, spots = _joined(group, False)
+    order = np.lexsort((docs, keys))
+    keys, docs, spots = keys[order], docs[order], spots[order]
+    late = docs > _least(keys, docs)
+    runs, owners = _runs(docs[late], spots[late])
+    known, known_owners, _ = _joined(group, True)
+    return _per_document(np.concatenate([runs, known]), np.concatenate([owners, known_owners]))
 
 
 def _per_document(keys: np.ndarray, docs: np.ndarray) -> pa.Table:
@@ -117,7 +158,7 @@ def _per_document(keys: np.ndarray, docs: np.ndarray) -> pa.Table:
     return pa.table({"doc": pa.array(docs[edges]), "keys": pa.array(data, pa.binary())})
 
 
-def _gathered(parts: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All keys of a column of lists of packed keys, and the row of each."""
     found, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, some in enumerate(parts.to_pylist()):
@@ -128,7 +169,7 @@ def _gathered(parts: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def late_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc, parts``: hashes of the windows of each document that also start in one with a
+    """``doc, parts``: runs of the windows of each document that also start in one with a
     smaller id, in packed parts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -140,36 +181,36 @@ def late_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 w = words(part.column(1))
                 at, hashes = _windows(w, width)
                 ids = part.column(0).to_numpy()[w.owner[at]]
-                yield _packed(_phrases(w, at, hashes, width), ids, buckets, True)
+                yield _revealing(_phrases(w, at, hashes, width), ids, buckets)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=2 * SLICE_BYTES):
                 w = words(part.column(1))
                 at, hashes = _windows(w, width)
-                shared, _ = _gathered(part.column(2), w.owner)
+                shared, _ = _gathered(part.column(2))
                 open_ = np.isin(_phrases(w, at, hashes, width), shared)
                 ids = part.column(0).to_numpy()[w.owner[at]]
-                yield _packed(hashes[open_], ids[open_], buckets, False)
+                spots = (at - w.first[w.owner[at]]).astype(np.uint32)
+                yield _verifying(hashes[open_], ids[open_], spots[open_], buckets)
 
-    phrases = texts.mapInArrow(reveal, _PACKED).groupBy("bucket").applyInArrow(_met(True), _FOUND)
+    phrases = texts.mapInArrow(reveal, _PACKED).groupBy("bucket").applyInArrow(_revealed, _FOUND)
     phrases = phrases.groupBy("doc").agg(F.collect_list("keys").alias("parts"))
     candidates = texts.join(phrases, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "parts")
-    late = candidates.mapInArrow(verify, _PACKED).groupBy("bucket").applyInArrow(_met(False), _FOUND)
+    late = candidates.mapInArrow(verify, _PACKED).groupBy("bucket").applyInArrow(_verified, _FOUND)
     return written(late.groupBy("doc").agg(F.collect_list("keys").alias("parts")), "late")
 
 
 def _kept(part: pa.RecordBatch, text: int, parts: int, width: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words, removed words and the kept words joined by one space, of each row."""
     w = words(part.column(text))
-    at, hashes = _windows(w, width)
-    late, rows = _gathered(part.column(parts), w.owner)
-    salt = np.uint64(0xD6E8FEB86659FD93)
-    mine = mix(hashes + mix(w.owner[at].astype(np.uint64) + salt))
-    hit = at[np.isin(mine, mix(late + mix(rows.astype(np.uint64) + salt)))] if len(late) else at[:0]
+    runs, rows = _gathered(part.column(parts))
+    begin = w.first[rows] + (runs >> np.uint64(32)).astype(np.int64)
+    stop = begin + (runs & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1 + width
     cover = np.zeros(len(w.hash) + 1, np.int64)
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, hit + width, -1)
+    # Never past the row's own words, whatever text the runs were found in.
+    np.add.at(cover, np.minimum(begin, w.first[rows + 1]), 1)
+    np.add.at(cover, np.minimum(stop, w.first[rows + 1]), -1)
     keep = np.cumsum(cover[:-1]) == 0
     owner = w.owner
     n = len(w.first) - 1
@@ -196,6 +237,7 @@ def _kept(part: pa.RecordBatch, text: int, parts: int, width: int) -> tuple[np.n
 
 def _with_late(docs: DataFrame, width: int) -> DataFrame:
     late = late_windows(docs, width).select(F.col("doc").alias("__doc"), F.col("parts").alias("__parts"))
+    late, _ = broadcast_if_small(late)
     return docs.join(late, F.col("doc_id").cast("long") == F.col("__doc"), "left")
 
 
