@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its texts pass ``limit`` bytes; a longer text is a slice of its own."""
     lengths = batch.column(column).cast(pa.large_binary())
-    sizes = pa.compute.fill_null(pa.compute.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, size in enumerate(sizes):
         if i > begin and held + size > limit:

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def _least(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def _joined(group: pa.Table, settled: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    some = group.filter(pa.compute.equal(group.column("settled"), settled))
+    some = group.filter(pc.equal(group.column("settled"), settled))
     kinds = (("keys", np.uint64), ("docs", np.int64), ("spots", np.uint32))
     return tuple(np.frombuffer(b"".join(some.column(c).to_pylist()), k) for c, k in kinds)
 
@@ -274,7 +275,7 @@ def strip_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for part in slices(batch):
                 _, removed, texts = _kept(part, at, len(own), width)
                 columns = part.columns[: len(own)]
-                columns[at] = pa.compute.if_else(pa.array(removed > 0), texts, columns[at])
+                columns[at] = pc.if_else(pa.array(removed > 0), texts, columns[at])
                 yield pa.RecordBatch.from_arrays(columns, names=own)
 
     return _with_late(docs, width).select(*own, "__parts").mapInArrow(strip, docs.schema)

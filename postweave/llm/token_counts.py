@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from postweave.llm import segments
@@ -96,9 +97,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, huge: int = HUGE
 
 def _counted(part: pa.RecordBatch, path: str, limit: int, huge: int) -> pa.RecordBatch:
     texts = part.column(1).fill_null("")
-    n_bytes = pa.compute.binary_length(texts.cast(pa.large_binary())).to_numpy(zero_copy_only=False)
+    n_bytes = pc.binary_length(texts.cast(pa.large_binary())).to_numpy(zero_copy_only=False)
     long = n_bytes > huge
-    short = pa.compute.if_else(pa.array(~long), texts, pa.scalar("", texts.type))
+    short = pc.if_else(pa.array(~long), texts, pa.scalar("", texts.type))
     sizes, first, _ = segments.encoder(path, False).encode(segments.at_white_space(short))
     n_tokens = segments.per_text(sizes, first)
     for i in np.flatnonzero(long):
