@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from postweave.llm.language_id import op2_language_id
+from postweave.llm.lm_scores import op8_lm_scores
 from postweave.llm.mixing import OP10_SQL, op10_mix_sources
 from postweave.llm.near_dedup import op1_minhash_near_dedup
 from postweave.llm.packing import op4_best_fit_packing
@@ -18,12 +19,14 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_lm_scores": op8_lm_scores,
     "op9_quality_model": op9_quality_model,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
+    "op8_lm_scores": op8_lm_scores,
     "op9_quality_model": op9_quality_model,
     "op10_mix_sources": OP10_SQL,
 }
