@@ -159,6 +159,20 @@ def _per_document(keys: np.ndarray, docs: np.ndarray) -> pa.Table:
     return pa.table({"doc": pa.array(docs[edges]), "keys": pa.array(data, pa.binary())})
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a document from all ranges, joined where they touch."""
+    for batch in batches:
+        out = []
+        for parts in batch.column(1).to_pylist():
+            runs = np.sort(np.frombuffer(b"".join(parts), np.uint64)).astype(np.int64)
+            begin, stop = runs >> 32, (runs >> 32) + (runs & 0xFFFFFFFF)
+            reach = np.maximum.accumulate(stop)
+            first = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+            last = np.append(first[1:], len(runs)) - 1
+            out.append(((begin[first] << 32) | (reach[last] - begin[first])).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc", "keys"])
+
+
 def _gathered(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All keys of a column of lists of packed keys, and the row of each."""
     found, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -170,8 +184,8 @@ def _gathered(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def late_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc, parts``: runs of the windows of each document that also start in one with a
-    smaller id, in packed parts."""
+    """``doc, keys``: packed runs of the windows of each document that also start in one with
+    a smaller id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size // RANGE_BYTES)
@@ -199,7 +213,8 @@ def late_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     phrases = phrases.groupBy("doc").agg(F.collect_list("keys").alias("parts"))
     candidates = texts.join(phrases, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "parts")
     late = candidates.mapInArrow(verify, _PACKED).groupBy("bucket").applyInArrow(_verified, _FOUND)
-    return written(late.groupBy("doc").agg(F.collect_list("keys").alias("parts")), "late")
+    late = late.groupBy("doc").agg(F.collect_list("keys").alias("parts"))
+    return written(late.mapInArrow(_merged, _FOUND), "late")
 
 
 def _kept(part: pa.RecordBatch, text: int, parts: int, width: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -237,7 +252,7 @@ def _kept(part: pa.RecordBatch, text: int, parts: int, width: int) -> tuple[np.n
 
 
 def _with_late(docs: DataFrame, width: int) -> DataFrame:
-    late = late_windows(docs, width).select(F.col("doc").alias("__doc"), F.col("parts").alias("__parts"))
+    late = late_windows(docs, width).select(F.col("doc").alias("__doc"), F.array("keys").alias("__parts"))
     late, _ = broadcast_if_small(late)
     return docs.join(late, F.col("doc_id").cast("long") == F.col("__doc"), "left")
 
