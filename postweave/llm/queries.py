@@ -6,6 +6,7 @@ from postweave.llm.language_id import op2_language_id
 from postweave.llm.lm_scores import op8_lm_scores
 from postweave.llm.mixing import OP10_SQL, op10_mix_sources
 from postweave.llm.near_dedup import op1_minhash_near_dedup
+from postweave.llm.nearest import op5_nearest_neighbours
 from postweave.llm.packing import op4_best_fit_packing
 from postweave.llm.quality_model import op9_quality_model
 from postweave.llm.quality_rules import op3_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_lm_scores": op8_lm_scores,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_substring_dedup": OP6_SQL,
     "op8_lm_scores": op8_lm_scores,
     "op9_quality_model": op9_quality_model,
