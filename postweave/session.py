@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -31,7 +29,9 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", name: str = "postweave") -> SparkSession:
+def local_session(
+    cores: int | str = "*", name: str = "postweave", scratch: str | None = None
+) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -40,6 +40,8 @@ def local_session(cores: int | str = "*", name: str = "postweave") -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -50,14 +52,12 @@ def local_session(cores: int | str = "*", name: str = "postweave") -> SparkSessi
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where it is
-    unset, as on one machine, a temporary folder is used.
+    The cluster names that folder in ``spark.checkpoint.dir``; where it is unset the
+    warehouse, which is shared too, holds it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = os.path.join(tempfile.gettempdir(), "postweave")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

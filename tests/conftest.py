@@ -6,8 +6,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "tests")
+def spark(tmp_path_factory):
+    session = local_session(4, "tests", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
