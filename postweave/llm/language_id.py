@@ -146,25 +146,24 @@ def gradients(net: Network, data: np.ndarray, real: np.ndarray, target: np.ndarr
 
 
 def train(
-    labels: list[str], stretches: list[bytes], target: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.02
+    labels: list[str], stretches: list[bytes], target: np.ndarray, steps: int = 240, batch: int = 256, rate: float = 0.02
 ) -> Network:
-    """Fit a network by Adam; the order of the stretches decides nothing but the batches."""
+    """Fit a network by Adam, in as many steps whatever the number of stretches."""
     net, rng = new_network(labels), np.random.default_rng(11)
     data, real = laid_out(stretches)
     first = [np.zeros_like(w) for w in net.weights]
     second = [np.zeros_like(w) for w in net.weights]
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(stretches))
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            _, grads = gradients(net, data[:, some], real[:, some], target[some])
-            step += 1
-            pace = rate / (1 + epoch) * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
-            for w, g, m, v in zip(net.weights, grads, first, second):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w -= pace * m / (np.sqrt(v) + 1e-6)
+    order: list[int] = []
+    for step in range(1, steps + 1):
+        if len(order) < min(batch, len(stretches)):
+            order.extend(rng.permutation(len(stretches)).tolist())
+        some, order = np.array(order[:batch]), order[batch:]
+        _, grads = gradients(net, data[:, some], real[:, some], target[some])
+        pace = rate / (1 + 4 * step / steps) * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+        for w, g, m, v in zip(net.weights, grads, first, second):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w -= pace * m / (np.sqrt(v) + 1e-6)
     return net
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from postweave.llm.language_id import op2_language_id
 from postweave.llm.lm_scores import op8_lm_scores
 from postweave.llm.mixing import OP10_SQL, op10_mix_sources
-from postweave.llm.near_dedup import op1_minhash_near_dedup
+from postweave.llm.near_dedup import OP1_SQL, op1_minhash_near_dedup
 from postweave.llm.nearest import op5_nearest_neighbours
 from postweave.llm.packing import op4_best_fit_packing
 from postweave.llm.quality_model import op9_quality_model
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1_SQL,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_substring_dedup": OP6_SQL,
     "op8_lm_scores": op8_lm_scores,
