@@ -36,7 +36,7 @@ from postweave.session import broadcast_if_small
 WIDTH = 13
 ROUNDS, PHRASE = 1, 3
 #: Text bytes whose names meet in one task, about.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 1 << 20
 
 _PACKED = "bucket int, settled boolean, keys binary, docs binary, spots binary"
 _FOUND = "doc long, keys binary"
@@ -188,7 +188,7 @@ def late_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     a smaller id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, size // RANGE_BYTES)
+    buckets = 1 + size // RANGE_BYTES
 
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
