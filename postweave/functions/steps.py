@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postweave.functions import hangul
 from postweave.functions.hangul import JAMO, SYLLABLE, open_syllables
+from postweave.functions.regex import java_pattern
 from postweave.functions.text import (
     NOT_PLAIN,
     char_class,
@@ -58,10 +59,10 @@ _IN_CHUNK = rf"(?:[a-z]++|[{SYLLABLE}]++|[{JAMO}!?%^()\[\]{{}}\-+=~,./<>;:'\"\w]
 _AFTER_CHUNK = r"[ !?@.,❤\s]"
 # A stand-alone character and its separators before another one, or else a chunk;
 # tried only where the last match ended, so matches cover a prefix of the text.
-_SPACED = (
-    rf"(?U)\G(?:\b({_LETTER_BEFORE})\b{_BETWEEN}(?=\b{_LETTER_AFTER}\b)|(\s*+{_IN_CHUNK}{_AFTER_CHUNK}*+))"
+_SPACED = java_pattern(
+    rf"\G(?:\b({_LETTER_BEFORE})\b{_BETWEEN}(?=\b{_LETTER_AFTER}\b)|(\s*+{_IN_CHUNK}{_AFTER_CHUNK}*+))"
 )
-_CHUNK = rf"(?U)\G\s*+({_IN_CHUNK}(?:{_AFTER_CHUNK}*[!?@.,❤])?)\s*+"
+_CHUNK = java_pattern(rf"\G\s*+({_IN_CHUNK}(?:{_AFTER_CHUNK}*[!?@.,❤])?)\s*+")
 
 
 # --- nickname -------------------------------------------------------------
@@ -81,7 +82,7 @@ def clean_nickname(c: Column) -> Column:
 
 
 def drop_trailing_digits(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)(?<!\d)\d++$", "")
+    return F.regexp_replace(c, java_pattern(r"(?<!\d)\d++$"), "")
 
 
 def drop_isolated_letter(c: Column) -> Column:
@@ -121,7 +122,7 @@ def drop_invisible(c: Column) -> Column:
 
 def unify_marks(c: Column, punct: Sequence[tuple[str, str]]) -> Column:
     """Variants of a mark become the mark; one space after a jamo."""
-    return F.regexp_replace(regex_chain(c, punct), rf"(?U)([{JAMO}])\s+", "$1 ")
+    return F.regexp_replace(regex_chain(c, punct), java_pattern(rf"([{JAMO}])\s+"), "$1 ")
 
 
 def fold_unicode(c: Column, single_ko: Mapping[str, str]) -> Column:
@@ -160,7 +161,7 @@ def fix_words(c: Column, rules) -> Column:
 
 
 def mark_spaced_vowels(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)(?:[ㅜㅣ]\s++(?=[ㅜㅣ]))++[ㅜㅣ]", "TEMP_U")
+    return F.regexp_replace(c, java_pattern(r"(?:[ㅜㅣ]\s++(?=[ㅜㅣ]))++[ㅜㅣ]"), "TEMP_U")
 
 
 def restore_spaced_vowels(c: Column) -> Column:
@@ -169,7 +170,7 @@ def restore_spaced_vowels(c: Column) -> Column:
 
 def close_jamo_gaps(c: Column) -> Column:
     """Delete spaces, digits, ``?`` and ``!`` between two jamo."""
-    return F.regexp_replace(c, rf"(?U)(?<=[{JAMO}])[\s0-9?!]+(?=[{JAMO}])", "")
+    return F.regexp_replace(c, java_pattern(rf"(?<=[{JAMO}])[\s0-9?!]+(?=[{JAMO}])"), "")
 
 
 def drop_ones_between_syllables(c: Column) -> Column:
@@ -270,14 +271,19 @@ def tag_structured(c: Column, rules) -> Column:
     return regex_chain(c, [*rules.base, *rules.extern])
 
 
+def _meet(a: str, b: str) -> bool:
+    """Whether ``b`` holds ``a``, or can begin inside ``a`` and go on behind it."""
+    return (a != b and a in b) or any(a.endswith(b[:n]) for n in range(1, min(len(a), len(b))))
+
+
 def collapse_tags(c: Column, tags: Sequence[str]) -> Column:
-    if any(a != b and a in b for a in tags for b in tags):
+    if any(_meet(a, b) for a in tags for b in tags):
         for tag in tags:
             c = collapse_tag(c, tag)
         return c
-    # No tag contains another: one pass does the same as one per tag.
+    # No two tags share characters: one pass does the same as one per tag.
     any_tag = key_pattern(tags)
-    return F.regexp_replace(c, rf"(?U)({any_tag})\s*+(?:\1\s*+)*+", "$1") if any_tag else c
+    return F.regexp_replace(c, java_pattern(rf"({any_tag})\s*+(?:\1\s*+)*+"), "$1") if any_tag else c
 
 
 def upper_tags(c: Column) -> Column:
@@ -291,7 +297,7 @@ def keep_known_chars(c: Column) -> Column:
     """Single brackets, known characters only, runs of four or more cut, stripped;
     a missing comment becomes ``[EMPTY]``."""
     c = F.regexp_replace(F.regexp_replace(c, r"\[+", "["), r"\]+", "]")
-    c = F.regexp_replace(c, f"(?U){NOT_PLAIN}[^{KEPT_CHARS}]+", "")
+    c = F.regexp_replace(c, java_pattern(f"{NOT_PLAIN}[^{KEPT_CHARS}]+"), "")
     c = squeeze(c, SQUEEZED_CHARS, min_run=4, keep=2, not_after=r"\d")
     return F.coalesce(strip(c), F.lit(EMPTY_COMMENT))
 
@@ -320,5 +326,5 @@ def tidy_marks(c: Column) -> Column:
     # space of a run, once.
     start = r"(?=[.,?!^\s])(?:\G|(?<!\s))\s*+"
     inside_number = r"(?!(?<=\d)[.,](?=\d))"
-    c = F.regexp_replace(c, rf"(?U){start}{inside_number}([.,?!^]++)\s*+", "$1 ")
-    return F.regexp_replace(c, r"(?U)\s{2,}", " ")
+    c = F.regexp_replace(c, java_pattern(rf"{start}{inside_number}([.,?!^]++)\s*+"), "$1 ")
+    return F.regexp_replace(c, java_pattern(r"\s{2,}"), " ")

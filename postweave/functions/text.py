@@ -1,20 +1,20 @@
 """Building blocks for rule-driven text rewriting: ``Column -> Column``.
 
 Rule patterns are written in Python ``re`` syntax (that is how rule files come)
-and translated once, here, to the Java syntax Spark runs.  Patterns always reach
-Spark as literals, so each task compiles them once.
+and translated once (``functions.regex``) to the Java syntax Spark runs.  Patterns
+always reach Spark as literals, so each task compiles them once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+import zlib
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# (?U): \w \s \d \b are Unicode as in Python.  (?d): "." stops at "\n" only.
-JAVA_FLAGS = "(?Ud)"
+from postweave.functions.regex import JAVA_FLAGS, java_pattern
 
 # Ahead of a class that holds neither: rejects most characters of most texts.
 NOT_PLAIN = "(?![a-z ])(?![가-힣])"
@@ -22,11 +22,6 @@ NOT_PLAIN = "(?![a-z ])(?![가-힣])"
 _GROUP_REF = re.compile(r"\\(?:g<(\d+)>|(\d{1,2}))|\\(.)|(.)", re.S)
 
 
-def java_pattern(pattern: str) -> str:
-    """A Python ``re`` pattern as a Java pattern with the same meaning."""
-    return JAVA_FLAGS + pattern
-
-
 def java_quote(text: str) -> str:
     """Pattern that matches ``text`` literally, inside or outside a class."""
     return "".join(ch if ch.isalnum() or ord(ch) > 127 else "\\" + ch for ch in text)
@@ -81,6 +76,21 @@ def regex_chain(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
     return c
 
 
+# Stands around matches while a text is cut; a character of no script.
+MARK = "\uf8fe"
+
+
+def cut_at(text: Column, pattern: str, replacement: str) -> Column:
+    """``text``, which holds no mark, cut at the marks that ``replacement`` puts into matches
+    of a Java ``pattern``.
+
+    One replace by a literal pattern, compiled once a task, and a split at one plain
+    character; a split by a pattern compiles for each row.
+    """
+    marked = F.regexp_replace(text, pattern, replacement)
+    return F.split(marked, MARK, -1)
+
+
 def rewrite_matches(c: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """Replace each match of a Java ``pattern`` (never empty) by ``fn(match)``.
 
@@ -88,7 +98,13 @@ def rewrite_matches(c: Column, pattern: str, fn: Callable[[Column], Column]) ->
     so the work per row grows with the matches, not with the characters.
     """
 
-    def rewritten(text: Column) -> Column:
+    def joined(parts: Column) -> Column:
+        new = F.transform(
+            parts, lambda part, i: F.when(i % 2 == 1, F.coalesce(fn(part), F.lit(""))).otherwise(part)
+        )
+        return F.when(F.size(parts) > 1, F.array_join(new, "")).otherwise(parts[0])
+
+    def with_marks_inside(text: Column) -> Column:
         between = F.split(text, pattern, -1)
         matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         merged = F.zip_with(
@@ -96,7 +112,11 @@ def rewrite_matches(c: Column, pattern: str, fn: Callable[[Column], Column]) ->
             F.transform(matches, fn),
             lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
         )
-        return F.when(text.rlike(pattern), F.array_join(merged, "")).otherwise(text)
+        return F.array_join(merged, "")
+
+    def rewritten(text: Column) -> Column:
+        cut = let(cut_at(text, pattern, f"{MARK}$0{MARK}"), joined)
+        return F.when(F.contains(text, F.lit(MARK)), with_marks_inside(text)).otherwise(cut)
 
     return let(c, rewritten)
 
@@ -179,10 +199,21 @@ def dict_replace(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     table = {key: value for key, value in pairs if key}
     if not table:
         return c
-    if all(len(key) == 1 and len(value) == 1 for key, value in table.items()):
-        return F.translate(c, "".join(table), "".join(table.values()))
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return rewrite_matches(c, key_pattern(table), lambda hit: F.element_at(lookup, hit))
+    if all(len(key) == 1 and len(value) <= 1 for key, value in table.items()):
+        kept = sorted(table, key=lambda key: not table[key])
+        # Characters without a partner, at the end, are dropped.
+        return F.translate(c, "".join(kept), "".join(table[key] for key in kept))
+    return rewrite_matches(c, key_pattern(table), literal_lookup(table))
+
+
+def literal_lookup(table: Mapping[str, str]) -> Callable[[Column], Column]:
+    """Look a key up in a literal: slots by checksum, a few entries in each."""
+    slots: list[list[Column]] = [[] for _ in range(max(1, len(table) // 2))]
+    for key, value in table.items():
+        slots[zlib.crc32(key.encode()) % len(slots)] += [F.lit(key), F.lit(value)]
+    empty = F.create_map().cast("map<string,string>")
+    literal = F.array(*[F.create_map(*slot) if slot else empty for slot in slots])
+    return lambda hit: F.element_at(F.get(literal, (F.crc32(hit) % len(slots)).cast("int")), hit)
 
 
 def squeeze(
@@ -208,7 +239,7 @@ def squeeze(
 def collapse_tag(c: Column, tag: str) -> Column:
     """A run of the same tag, with any white space after each, becomes one tag."""
     # Possessive: iterative in Java, so very long runs cannot exhaust the stack.
-    pattern = f"(?U)(?:{java_quote(tag)}\\s*+)++"
+    pattern = java_pattern(rf"(?:{java_quote(tag)}\s*+)++")
     return F.regexp_replace(c, pattern, java_literal(tag))
 
 
@@ -228,7 +259,7 @@ def sort_chars(c: Column, order: str) -> Column:
 _REWRITES: dict[str, Callable[[Column], Column]] = {
     "upper": F.upper,
     "lower": F.lower,
-    "drop_spaces": lambda hit: F.regexp_replace(hit, r"(?U)\s+", ""),
+    "drop_spaces": lambda hit: F.regexp_replace(hit, java_pattern(r"\s+"), ""),
     "first_char": lambda hit: F.substring(hit, 1, 1),
 }
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postweave.functions.hangul import FINALS, INITIALS, VOWELS
-from postweave.functions.text import char_ranges
+from postweave.functions.text import char_ranges, dict_replace
 
 # Ranges NFKC leaves alone in any context of themselves.
 _STABLE = [(0x00, 0x7F), (0xC0, 0xFF), (0xAC00, 0xD7A3)]
@@ -42,8 +42,8 @@ def fold_compatibility(texts: pd.Series) -> pd.Series:
 
 
 def map_chars(c: Column, table: Mapping[str, str]) -> Column:
-    """Replace single characters by single characters."""
-    return F.translate(c, "".join(table), "".join(table.values())) if table else c
+    """Replace single characters by texts of any length, all at once."""
+    return dict_replace(c, table.items())
 
 
 def needs_folding(c: Column, table: Mapping[str, str]) -> Column:

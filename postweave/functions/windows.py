@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postweave.functions.text import let
+from postweave.functions.regex import java_pattern
+from postweave.functions.text import MARK, cut_at, let
 
 # Token limits per text column, window overlap, delimiters.
 MAX_TOKENS = {"nickname": 40, "comment": 256}
@@ -41,7 +42,7 @@ def long_border(max_tokens: int) -> int:
 
 def visible_length(c: Column) -> Column:
     """Length without white space and tags."""
-    return F.length(F.regexp_replace(c, r"(?U)\[[A-Z_]+\]|\s", ""))
+    return F.length(F.regexp_replace(c, java_pattern(r"\[[A-Z_]+\]|\s"), ""))
 
 
 def is_long(c: Column, max_tokens: int) -> Column:
@@ -56,14 +57,16 @@ def route(df: DataFrame, text: str, max_tokens: int, out: str = "is_long") -> Da
 def _cut(c: Column) -> Column:
     # Zero-width cut behind each run of delimiters: linear, and the rest after
     # the last run is there even when empty.
-    return F.split(c, rf"(?<=[{DELIMITERS}])(?![{DELIMITERS}])", -1)
+    return F.when(
+        F.contains(c, F.lit(MARK)), F.split(c, rf"(?<=[{DELIMITERS}])(?![{DELIMITERS}])", -1)
+    ).otherwise(cut_at(c, f"[{DELIMITERS}]++", f"$0{MARK}"))
 
 
 def sentences(c: Column, keep_empty: bool = True) -> Column:
     """Sentences with their delimiters, trimmed, and the rest after the last one."""
     trimmed = F.transform(
         _cut(c),
-        lambda s: F.regexp_replace(s, rf"(?U)\A\s+|(?<!\s)\s++(?=[{DELIMITERS}]|\z)", ""),
+        lambda s: F.regexp_replace(s, java_pattern(rf"\A\s+|(?<!\s)\s++(?=[{DELIMITERS}]|\z)"), ""),
     )
     return trimmed if keep_empty else F.filter(trimmed, lambda s: F.length(s) > 0)
 
@@ -135,7 +138,7 @@ def text_windows(c: Column, options: WindowOptions) -> Column:
     def parts(text: Column) -> Column:
         cut = _cut(text)
         if not options.keep_empty:
-            cut = F.filter(cut, lambda s: s.rlike(r"(?U)\S"))
+            cut = F.filter(cut, lambda s: s.rlike(java_pattern(r"\S")))
         long = F.flatten(
             F.transform(
                 cut, lambda s: windows(tokens(s), size, options.overlap, options.clamp_tail)

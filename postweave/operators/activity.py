@@ -22,6 +22,34 @@ def live_keys(
     return latest.where(at - F.col("last_seen") < _interval(ttl_seconds))
 
 
+def expire_keys(seen: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
+    """Latest ``last_seen`` per key without the keys that expired by the latest of all."""
+    latest = seen.groupBy(key).agg(F.max("last_seen").alias("last_seen"))
+    now = latest.agg(F.max("last_seen").alias("__now"))
+    return latest.join(F.broadcast(now), F.col("__now") - F.col("last_seen") < _interval(ttl_seconds)).drop("__now")
+
+
+def merge_sessions(sessions: DataFrame, key: str, gap_seconds: float) -> DataFrame:
+    """Merge sessions that several parts of a log were cut into, in any order: those that
+    overlap or lie within the gap of each other are one."""
+    reach = F.max("session_end").over(
+        Window.partitionBy(key).orderBy("session_start", "session_end").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    pause = F.col("session_start") - reach
+    order = Window.partitionBy(key).orderBy("session_start", "session_end")
+    return (
+        sessions.withColumn("__new", F.when(reach.isNull() | (pause > _interval(gap_seconds)), 1).otherwise(0))
+        .withColumn("__no", F.sum("__new").over(order))
+        .groupBy(key, "__no")
+        .agg(
+            F.min("session_start").alias("session_start"),
+            F.max("session_end").alias("session_end"),
+            F.sum("n_events").alias("n_events"),
+        )
+        .drop("__no")
+    )
+
+
 def _interval(seconds: float) -> Column:
     return F.make_dt_interval(secs=F.lit(Decimal(str(seconds))).cast("decimal(18,6)"))
 

@@ -11,11 +11,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postweave.functions.text import let
+from postweave.functions.windows import words
 from postweave.functions.vectors import mean_vector, mean_vectors, softmax
 from postweave.operators.lookup import salted_join
 from postweave.session import broadcast_if_small
@@ -45,11 +46,17 @@ class LexiconScorer(Scorer):
     ``weights`` is ``(token, class_id, weight)``.  A lexicon of at most
     ``INLINE_TOKENS`` tokens becomes a literal and scoring stays in the row.
     A larger one is joined: broadcast if its measured size allows, else salted.
+    Both forms give the same vectors; weights with a null or with a class outside
+    ``0 .. n_classes - 1`` are refused before either is chosen.
     """
 
     def __init__(self, weights: DataFrame, n_classes: int, inline_tokens: int = INLINE_TOKENS):
         self.n_classes = n_classes
         self.weights = weights.select("token", "class_id", "weight")
+        good = F.col("class_id").between(0, n_classes - 1) & F.col("weight").isNotNull()
+        bad = self.weights.where(F.col("token").isNull() | ~F.coalesce(good, F.lit(False))).first()
+        if bad is not None:
+            raise ValueError(f"weight with a null or a class outside 0..{n_classes - 1}: {bad.asDict()}")
         self.vectors: dict[str, list[int]] | None = None
         # One row per (token, class): reads no further than the bound.
         rows = self.weights.limit(inline_tokens * n_classes + 1).collect()
@@ -219,17 +226,19 @@ class MLScorer(Scorer):
         """Train on labelled rows; ``label`` holds class ids."""
         from pyspark.ml import Pipeline
         from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+        from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 
+        # The tokens that windows hold, marks among them.
         rows = df.select(
-            F.lower(text).alias("__text"), F.col(label).cast("double").alias("__label")
+            F.array_join(words(F.lower(text)), " ").alias("__text"), F.col(label).cast("double").alias("__label")
         ).where(F.col("__text").isNotNull() & F.col("__label").isNotNull())
         stages = [
-            RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"[^\p{L}\p{N}_]+"),
+            RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\s+", minTokenLength=1),
             HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features),
-            IDF(inputCol="__tf", outputCol="__features"),
+            IDF(inputCol="__tf", outputCol="__weighed", minDocFreq=2),
+            Normalizer(inputCol="__weighed", outputCol="__features"),
             LogisticRegression(
-                featuresCol="__features", labelCol="__label", maxIter=20, regParam=0.01
+                featuresCol="__features", labelCol="__label", maxIter=50, regParam=0.001
             ),
         ]
         return cls(Pipeline(stages=stages).fit(rows), n_classes)
@@ -244,3 +253,22 @@ class MLScorer(Scorer):
             key, vector_to_array("probability").alias("__probs")
         )
         return df.join(mean_vector(scored, [key], "__probs", out), key, "left")
+
+
+def ranking(df: DataFrame, truth: str, score: str) -> DataFrame:
+    """``n_test, n_positive, auc`` of scores against 0/1 labels.
+
+    Equal scores are counted first, so the ordered sums run over distinct rounded
+    scores, at most 10,001 rows.
+    """
+    steps = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).select(
+        F.round(F.col(score) * 10_000).alias("s"), F.col(truth).cast("long").alias("y")
+    )
+    steps = steps.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    below = F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    won = F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2)
+    return steps.select("pos", "neg", won.alias("won")).agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("n_test"),
+        F.sum("pos").alias("n_positive"),
+        (F.sum("won") / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+    )

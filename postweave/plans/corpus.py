@@ -32,7 +32,7 @@ def decorated(snippets: Sequence[str], text: str = "text", key: str = "doc_id")
 NICKNAME = "'@user-' || source || " + choose("doc_id", ["가나다", "_abc", "가a나", "123"])
 COMMENT = decorated(
     [
-        " 쥰내 홧팅", " ㅋ ㅋ 1 ㅋ", " 가ㅣ나다ㅣ라", " wow!!?.,~",
+        " 조아욤 갠춘해", " ㅋ ㅋ 1 ㅋ", " 가ㅣ나다ㅣ라", " wow!!?.,~",
         " 가아아아", " 후쿠쿠 쿠쿠", " zzzz 3.14 1,000 a .b", " [num] [num] :) 🎉",
     ]
 )

@@ -5,34 +5,42 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postweave.functions.steps import fix_words
-from postweave.operators.classify import classify_heads
+from postweave.functions.windows import WindowOptions
+from postweave.operators.classify import classify, classify_heads
+from postweave.operators.scorers import LexiconScorer
 from postweave.plans.classify_queries import HEADS_SQL, flat_heads, label_table, scorers
-from postweave.plans.corpus import COMMENT, NICKNAME
+from postweave.plans.corpus import COMMENT, NICKNAME, table
 from postweave.plans.registry import Query
-from postweave.plans.table_queries import GAP_SECONDS, SESSIONS_SQL
+from postweave.plans.table_queries import (
+    GAP_SECONDS,
+    LIVE_SQL,
+    SESSIONS_SQL,
+    TTL_SECONDS,
+    token_list_sql,
+)
 from postweave.plans.text_queries import RULES
 from postweave.session import literal_rows, scratch_path
 from postweave.sources.rules import RuleSet, load_rules, rules_json
-from postweave.streaming.activity import stream_last_seen, stream_sessions
+from postweave.streaming.activity import run_live_stream, run_session_stream, stream_sessions
 from postweave.streaming.posts import Refreshed, run_refreshing_stream, run_stream, stream_posts
 
 
 def _documents(spark, sf_dir):
     return stream_posts(
         spark,
-        sf_dir,
+        # A pattern: a plain path would have to be a folder.
+        f"{sf_dir}/documents[.]parquet",
         "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
-        pathGlobFilter="documents.parquet",
     )
 
 
 def _events(spark, sf_dir):
-    return stream_posts(
-        spark,
-        sf_dir,
-        "event_id BIGINT, ts TIMESTAMP, user_id BIGINT",
-        pathGlobFilter="events.parquet",
-    )
+    """The events as a stream of four files, dealt by id: every batch is out of order
+    with the others."""
+    path = scratch_path(spark, "events")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    rows.repartition(4, F.col("event_id") % 4).write.parquet(path)
+    return stream_posts(spark, path, rows.schema.simpleString()[7:-1].replace(":", " "), maxFilesPerTrigger=1)
 
 
 def _stream_classify(spark, sf_dir):
@@ -64,64 +72,72 @@ def _stream_normalize_classify(spark, sf_dir):
 
 
 def _stream_refreshed_rules(spark, sf_dir):
-    rules_path = scratch_path(spark, "live-rules")
-    text = rules_json({"incorrect": {"sentence": [["[aeiou]+", "_"]]}})
-    literal_rows(spark, "value STRING", [(text,)]).write.text(rules_path)
-    rules = Refreshed(spark, rules_path, lambda s, p: RuleSet.collect(load_rules(s, p)))
-    posts = _documents(spark, sf_dir).selectExpr("doc_id AS id", "source AS nickname", "text AS comment")
-
-    def transform(batch, current):
-        return batch.select("id", fix_words(F.lower("comment"), current).alias("comment"))
-
+    """Two batches: rules, labels and weights change between them."""
+    source, live = scratch_path(spark, "two-files"), scratch_path(spark, "live")
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "source AS nickname", "text AS comment")
+    for part in (0, 1):
+        rows.where(F.col("id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
+
+    def publish(version: int) -> None:
+        """Rules, label names and weights of a version, in one folder."""
+        text = rules_json({"incorrect": {"sentence": [["[aeiou]+", "_" if version == 0 else "#"]]}})
+        literal_rows(spark, "value STRING", [(text,)]).write.mode("overwrite").text(f"{live}/rules")
+        names = [("comment", k, f"v{version}-{name}") for k, name in enumerate(("no", "yes"))]
+        labels = literal_rows(spark, "head STRING, class_id INT, label STRING", names)
+        labels.coalesce(1).write.mode("overwrite").parquet(f"{live}/labels")
+        weights = literal_rows(spark, "token STRING, class_id INT, weight INT", [("_" if version == 0 else "#", 1, 5)])
+        weights.coalesce(1).write.mode("overwrite").parquet(f"{live}/weights")
+
+    def load(session, path):
+        labels = session.read.parquet(f"{path}/labels")
+        weights = session.read.parquet(f"{path}/weights")
+        return RuleSet.collect(load_rules(session, f"{path}/rules")), LexiconScorer(weights, 2), labels
+
+    publish(0)
+    current = Refreshed(spark, live, load)
+
+    def transform(batch, held):
+        rules, model, labels = held
+        fixed = batch.select("id", fix_words(F.lower("comment"), rules).alias("comment"))
+        done = classify(fixed, model, labels, "comment", options=WindowOptions(1 << 30))
+        return done.select("id", "comment", "comment_result.predicted")
+
+    posts = stream_posts(spark, source, "id BIGINT, nickname STRING, comment STRING", maxFilesPerTrigger=1)
     sink, checkpoint = scratch_path(spark, "rules-sink"), scratch_path(spark, "rules-state")
-    run_refreshing_stream(posts, rules, transform, sink, checkpoint).awaitTermination()
-    return spark.read.parquet(sink).select("id", "comment")
-
-
-def _collected(spark, stream, mode, name):
-    """Run a stream into a written table and read it back."""
-    sink, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", sink).outputMode(mode).start().awaitTermination()
-        return spark.read.parquet(sink)
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    writer.foreachBatch(write).outputMode(mode).start().awaitTermination()
-    return spark.read.parquet(sink).drop("batch")
+    run_refreshing_stream(
+        posts, current, transform, sink, checkpoint, after=lambda batch_id: publish(1) if batch_id == 0 else None
+    ).awaitTermination()
+    return spark.read.parquet(sink).select("id", "comment", "predicted")
+
+
+def _refreshed_sql() -> str:
+    fixed = "regexp_replace(lower(text), '[aeiou]+', CASE WHEN doc_id % 2 = 0 THEN '_' ELSE '#' END, 'g')"
+    own = "CASE WHEN doc_id % 2 = 0 THEN '_' ELSE '#' END"
+    tokens = token_list_sql("comment")
+    return (
+        f"WITH f AS (SELECT doc_id, {own} AS sign, {fixed} AS comment FROM documents) "
+        f"SELECT doc_id AS id, comment, 'v' || doc_id % 2 || CASE WHEN list_contains({tokens}, sign) "
+        "THEN '-yes' ELSE '-no' END AS predicted FROM f"
+    )
 
 
 def _stream_sessions(spark, sf_dir):
-    sessions = stream_sessions(_events(spark, sf_dir), "user_id", "ts", f"{GAP_SECONDS} seconds")
-    closed = _collected(spark, sessions, "append", "stream-sessions")
-    return closed.withColumn("session_start", F.col("session_start").cast("timestamp_ntz")).withColumn(
-        "session_end", F.col("session_end").cast("timestamp_ntz")
-    )
+    sink, checkpoint = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-state")
+    run_session_stream(_events(spark, sf_dir), "user_id", "ts", GAP_SECONDS, sink, checkpoint).awaitTermination()
+    return stream_sessions(spark.read.parquet(sink), "user_id", GAP_SECONDS)
 
 
 def _stream_live(spark, sf_dir):
-    latest = _collected(
-        spark, stream_last_seen(_events(spark, sf_dir), "user_id", "ts"), "update", "stream-live"
-    )
-    # Update mode gives a key again when it changed; the last one counts.
-    return latest.groupBy("user_id").agg(F.max("last_seen").cast("timestamp_ntz").alias("last_seen"))
+    sink, checkpoint = scratch_path(spark, "live-keys"), scratch_path(spark, "live-keys-state")
+    run_live_stream(_events(spark, sf_dir), "user_id", "ts", TTL_SECONDS, sink, checkpoint).awaitTermination()
+    versions = spark.read.parquet(sink)
+    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
 
 
 QUERIES: dict[str, Query] = {
     "stream_classify": Query(_stream_classify, HEADS_SQL),
     "stream_normalize_classify": Query(_stream_normalize_classify),
-    "stream_refreshed_rules": Query(
-        _stream_refreshed_rules,
-        "SELECT doc_id AS id, regexp_replace(lower(text), '[aeiou]+', '_', 'g') AS comment FROM documents",
-    ),
-    "stream_sessions": Query(
-        _stream_sessions,
-        f"{SESSIONS_SQL} SELECT * FROM s WHERE epoch_us(session_end) + {GAP_SECONDS * 1_000_000} "
-        "<= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events)",
-    ),
-    "stream_live_keys": Query(
-        _stream_live, "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id"
-    ),
+    "stream_refreshed_rules": Query(_stream_refreshed_rules, _refreshed_sql()),
+    "stream_sessions": Query(_stream_sessions, f"{SESSIONS_SQL} SELECT * FROM s"),
+    "stream_live_keys": Query(_stream_live, LIVE_SQL),
 }

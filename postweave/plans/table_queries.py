@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from postweave.functions import steps
@@ -39,7 +37,7 @@ from postweave.plans.corpus import (
 from postweave.plans.registry import Query
 from postweave.plans.text_queries import marks_sql, on, upper_tags_sql
 from postweave.session import scratch_path
-from postweave.sources.manifest import data_version, manifest, without_names
+from postweave.sources.manifest import data_version, scan_manifest, without_names
 from postweave.sources.posts import explode_request, read_labels, read_posts, read_testset
 from postweave.sources.rules import load_faces, load_pairs, load_rules, load_tags
 
@@ -89,7 +87,7 @@ def _read_testset_csv(spark, sf_dir):
     rows.write.option("header", True).option("quote", '"').option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return read_testset(spark, path)
+    return read_testset(spark, path, multi_line=True)
 
 
 def _load_rule_json(spark, sf_dir):
@@ -125,21 +123,28 @@ UNION ALL SELECT 'emoji_text', 0, '[TEXT]', '(?i)(?:' || n || '|' || source || '
 
 
 def _lines_file(spark, sf_dir, sql: str) -> str:
+    """A line per document in two files, in the order of ids."""
     path = scratch_path(spark, "lines")
-    table(spark, sf_dir, "documents").selectExpr(f"{sql} AS value").write.text(path)
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{sql} AS value", "doc_id % 2 AS part")
+    ordered = rows.repartition("part").sortWithinPartitions("part", "doc_id")
+    ordered.select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
+def _part(rules):
+    return rules.withColumn("part", F.regexp_extract("file", "part=([0-9])", 1).cast("long")).drop("file")
+
+
 def _load_face_lines(spark, sf_dir):
     path = _lines_file(spark, sf_dir, "'  :' || upper(source) || ')' || doc_id || ' '")
-    return load_faces(spark, path).drop("ord")
+    return _part(load_faces(spark, path, with_file=True))
 
 
 def _load_pair_lines(spark, sf_dir):
     path = _lines_file(
         spark, sf_dir, "CASE WHEN doc_id % 3 = 0 THEN '' ELSE source || doc_id || ' -> ' || lang END"
     )
-    return load_pairs(spark, path).drop("ord")
+    return _part(load_pairs(spark, path, with_file=True))
 
 
 def _load_tag_json(spark, sf_dir):
@@ -150,12 +155,28 @@ def _load_tag_json(spark, sf_dir):
     return load_tags(spark, path, multi_line=False)
 
 
+TABLES = ["documents", "events", "labels", "orders"]
+
+
+def _scanned(spark, sf_dir):
+    """File names as the scans of the tables give them, with the rows read from each."""
+    return scan_manifest({name: table(spark, sf_dir, name) for name in TABLES})
+
+
 def _input_manifest(spark, sf_dir):
-    return manifest(spark, sf_dir, "*.parquet", ["embeddings.parquet"]).select("name", "length")
+    files = without_names(_scanned(spark, sf_dir), "table", ["labels"])
+    return files.groupBy("table").agg(
+        F.sum("n_rows").alias("n_rows"), (F.min("length") > 0).alias("has_length")
+    )
 
 
 def _input_version(spark, sf_dir):
-    return data_version(manifest(spark, sf_dir, "*.parquet"))
+    """A version per table.  It differs between copies of the files, so what is given out is
+    its length, and the bytes and files only as far as SQL knows them."""
+    versions = data_version(_scanned(spark, sf_dir), ["table"])
+    return versions.select(
+        "table", F.length("version").alias("version_length"), (F.col("n_bytes") > 0).alias("has_bytes")
+    )
 
 
 def _exclude_names(spark, sf_dir):
@@ -338,7 +359,7 @@ def _top_class(spark, sf_dir):
 
 
 def _rounded(spark, sf_dir):
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
+    v = F.col("embedding").cast("array<double>")
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.posexplode(round_vector(v)).alias("i", "p")
     )
@@ -381,13 +402,18 @@ SELECT id, string_agg(t, '' ORDER BY i) AS c FROM u GROUP BY id"""
 
 # --- activity -----------------------------------------------------------------------
 
-NOW = datetime(2024, 1, 30)
+TTL_SECONDS = 8 * 3600
+LINE_SQL = (
+    "doc_id % 2 AS part, "
+    "CAST(row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 AS INTEGER) AS ord"
+)
 GAP_SECONDS = 6 * 3600
 
 
 def _live_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where(F.col("ts") <= F.lit(NOW))
-    return live_keys(rows, "user_id", "ts", NOW, 8 * 3600)
+    rows = table(spark, sf_dir, "events")
+    now = rows.agg(F.max("ts")).first()[0]
+    return live_keys(rows, "user_id", "ts", now, TTL_SECONDS)
 
 
 def _sessions(spark, sf_dir):
@@ -405,6 +431,11 @@ n AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM e
 s AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events
       FROM n GROUP BY user_id, no)"""
 
+LIVE_SQL = (
+    "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id "
+    f"HAVING (SELECT epoch_us(max(ts)) FROM events) - epoch_us(max(ts)) < {TTL_SECONDS} * 1000000::BIGINT"
+)
+
 QUERIES: dict[str, Query] = {
     "read_posts": Query(
         _read_posts, "SELECT doc_id AS id, source AS nickname, text AS comment FROM documents"
@@ -428,12 +459,13 @@ QUERIES: dict[str, Query] = {
     "load_face_lines": Query(
         _load_face_lines,
         "SELECT 'face' AS \"group\", ':' || upper(source) || ')' || doc_id AS key, "
-        "':' || lower(source) || ')' || doc_id AS pattern, '[TEXT_EMOJI]' AS replacement FROM documents",
+        "':' || lower(source) || ')' || doc_id AS pattern, '[TEXT_EMOJI]' AS replacement, "
+        f"{LINE_SQL} FROM documents",
     ),
     "load_pair_lines": Query(
         _load_pair_lines,
         "SELECT 'word' AS \"group\", source || doc_id AS key, source || doc_id AS pattern, "
-        "lang AS replacement FROM documents WHERE doc_id % 3 > 0",
+        f"lang AS replacement, part, ord FROM (SELECT *, {LINE_SQL} FROM documents) WHERE doc_id % 3 > 0",
     ),
     "load_tag_json": Query(
         _load_tag_json,
@@ -441,8 +473,18 @@ QUERIES: dict[str, Query] = {
         "SELECT 0 AS ord, '[' || upper(source) || ']' AS t FROM documents "
         "UNION ALL SELECT 1, '[' || doc_id || ']' FROM documents)",
     ),
-    "input_manifest": Query(_input_manifest),
-    "input_version": Query(_input_version),
+    "input_manifest": Query(
+        _input_manifest,
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS \"table\", count(*) AS n_rows, true AS has_length FROM {t}" for t in TABLES if t != "labels"
+        ),
+    ),
+    "input_version": Query(
+        _input_version,
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS \"table\", 32 AS version_length, true AS has_bytes FROM (SELECT count(*) FROM {t})" for t in TABLES
+        ),
+    ),
     "exclude_names": Query(
         _exclude_names, "SELECT doc_id, source FROM documents WHERE source NOT IN ('src0', 'src3')"
     ),
@@ -525,7 +567,7 @@ QUERIES: dict[str, Query] = {
     "rounded_vectors": Query(
         _rounded,
         "SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round_even(CAST(embedding[i] AS DOUBLE), 2) + 0.0 AS p "
-        "FROM embeddings, generate_series(1, 8) g(i)",
+        "FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)",
     ),
     "softmax_vectors": Query(
         _softmax,
@@ -547,8 +589,7 @@ QUERIES: dict[str, Query] = {
     ),
     "live_keys": Query(
         _live_keys,
-        "SELECT user_id, max(ts) AS last_seen FROM events WHERE ts <= TIMESTAMP '2024-01-30' GROUP BY user_id "
-        "HAVING epoch_us(TIMESTAMP '2024-01-30') - epoch_us(max(ts)) < 8 * 3600 * 1000000::BIGINT",
+        LIVE_SQL,
     ),
     "activity_sessions": Query(_sessions, f"{SESSIONS_SQL} SELECT * FROM s"),
     "idle_intervals": Query(

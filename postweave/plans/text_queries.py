@@ -164,7 +164,7 @@ def known_chars_sql(c: str) -> str:
 
 # --- rules used by the queries, in both spellings ---------------------------------
 
-WORDS = [("홧팅", "화이팅"), ("쥰내", "존나"), ("배뎃", "베댓"), ("뎃", "댓")]
+WORDS = [("갠춘해", "괜찮아"), ("조아욤", "좋아요"), ("방가욥", "반가워요"), ("욥", "요")]
 CHARS = [("뎈", "데"), ("욬", "요")]
 RULES = RuleSet(
     word=WORDS,
@@ -270,7 +270,7 @@ def _nickname_chain_sql() -> str:
 
 def _more_rules(spark, sf_dir):
     rules = RULES.adding(word=[("the ", "THE_")], sentence=[("([a-z])ing ", r"\1in ")])
-    rows = documents(spark, sf_dir, c=on(" 홧팅", ""))
+    rows = documents(spark, sf_dir, c=on(" 갠춘해", ""))
     return rows.select("id", steps.fix_words(F.col("c"), rules).alias("out"))
 
 
@@ -278,7 +278,7 @@ def _more_rules_sql() -> str:
     words = [*WORDS, ("the ", "THE_")]
     c = rr(dict_sql(dict_sql("c", words), CHARS), *RULES.monde, *RULES.sentence, ("([a-z])ing ", r"\1in "))
     c = rewrite_sql(c, r"ㄱ\s+ㅅ", "replace(x, ' ', '')")
-    return f"WITH d AS ({documents_sql(c=on(' 홧팅', ''))}) SELECT id, {c} AS out FROM d"
+    return f"WITH d AS ({documents_sql(c=on(' 갠춘해', ''))}) SELECT id, {c} AS out FROM d"
 
 
 def _lower_columns(spark, sf_dir):
@@ -303,7 +303,7 @@ QUERIES: dict[str, Query] = {
         lambda c: rr(c, ("([a-z])tion", r"\1shun"), ("th([aeiou])", r"d\1"), ("[.,]+", ";")),
     ),
     "dictionary_replace": step(
-        on(" 홧팅 배뎃", " 뎃글 쥰내"),
+        on(" 갠춘해 방가욥", " 욥글 조아욤"),
         lambda c: dict_replace(c, [*WORDS, ("the", "THE"), ("there", "X"), ("and", "&"), ("an", "N")]),
         lambda c: dict_sql(c, [*WORDS, ("the", "THE"), ("there", "X"), ("and", "&"), ("an", "N")]),
     ),
@@ -410,7 +410,7 @@ QUERIES: dict[str, Query] = {
         lambda c: squeeze_sql(c, 3),
     ),
     "fix_words": step(
-        on(" 홧팅 쥰내 뎈", " 먼데 몬데 배뎃", " 안녕  하세요", " ㄱ  ㅅ 욬"),
+        on(" 갠춘해 조아욤 뎈", " 먼데 몬데 방가욥", " 안녕  하세요", " ㄱ  ㅅ 욬"),
         lambda c: steps.fix_words(c, RULES),
         words_sql,
     ),

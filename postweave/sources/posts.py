@@ -53,13 +53,18 @@ def read_labels(
     return rows.select(*columns) if columns else rows
 
 
-def read_testset(spark: SparkSession, path: str, schema: str = TESTSET_SCHEMA) -> DataFrame:
-    """Test posts from CSV: both columns trimmed, ``\\`` in comments read as ``,``."""
+def read_testset(
+    spark: SparkSession, path: str, schema: str = TESTSET_SCHEMA, multi_line: bool = False
+) -> DataFrame:
+    """Test posts from CSV: both columns trimmed, ``\\`` in comments read as ``,``.
+
+    ``multi_line`` allows line ends in quoted posts, at the price of one task per file.
+    """
     rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("encoding", "UTF-8")
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)

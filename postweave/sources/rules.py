@@ -1,8 +1,8 @@
 """Rule tables.
 
 A rule file becomes one flat table ``(group, ord, key, pattern, replacement)``.
-Rules are configuration: ``RuleSet.collect`` brings them to the driver, checks
-their number, and turns them into literal patterns of the plan.
+Rules are configuration: ``RuleSet.collect`` brings them to the driver and turns
+them into literal patterns of the plan.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from functools import cached_property
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postweave.functions.text import JAVA_FLAGS, char_class, key_pattern, strip
@@ -22,7 +22,6 @@ from postweave.session import literal_rows
 
 DATA = Path(__file__).resolve().parent.parent / "data"
 RULE_SCHEMA = "`group` STRING, ord INT, `key` STRING, pattern STRING, replacement STRING"
-RULE_LIMIT = 50_000
 
 RULE_FILE_SCHEMA = """
     incorrect STRUCT<
@@ -116,8 +115,26 @@ def load_rules(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    # A lexicon file is read whole so that a line's number is data.
-    return _numbered_lines(spark.read.text(path, wholetext=True))
+    """Lines with their file and their number in it.
+
+    Files are read in splits.  A line's place is its split's start and its place in the
+    split, which is the order Spark reads it in.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    within = Window.partitionBy("file", "split").orderBy("place")
+    numbered = lines.withColumn("nth", F.row_number().over(within) - 1)
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = numbered.join(splits, ["file", "split"]).select(
+        "file", (F.col("before") + F.col("nth")).cast("int").alias("ord"), strip(F.col("line")).alias("line")
+    )
+    return placed.where(F.length("line") > 0)
 
 
 def _numbered_lines(files: DataFrame) -> DataFrame:
@@ -125,14 +142,15 @@ def _numbered_lines(files: DataFrame) -> DataFrame:
     return numbered.withColumn("line", strip(F.col("line"))).where(F.length("line") > 0)
 
 
-def load_faces(spark: SparkSession, path: str) -> DataFrame:
+def load_faces(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
     """Text faces, one per line, as ``face`` rules; lower-case like the text they
-    are looked up in."""
-    return _faces(_lines(spark, path))
+    are looked up in.  ``ord`` is the line's number in its file; ``with_file`` names it."""
+    return _faces(_lines(spark, path), ["file"] if with_file else [])
 
 
-def _faces(lines: DataFrame) -> DataFrame:
+def _faces(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return lines.select(
+        *(keep or []),
         F.lit("face").alias("group"),
         "ord",
         F.col("line").alias("key"),
@@ -141,14 +159,17 @@ def _faces(lines: DataFrame) -> DataFrame:
     )
 
 
-def load_pairs(spark: SparkSession, path: str, group: str = "word") -> DataFrame:
-    """``from -> to`` lines as dictionary rules."""
-    return _pairs(_lines(spark, path), group)
+def load_pairs(
+    spark: SparkSession, path: str, group: str = "word", with_file: bool = False
+) -> DataFrame:
+    """``from -> to`` lines as dictionary rules, numbered as in ``load_faces``."""
+    return _pairs(_lines(spark, path), group, ["file"] if with_file else [])
 
 
-def _pairs(lines: DataFrame, group: str) -> DataFrame:
+def _pairs(lines: DataFrame, group: str, keep: list[str] | None = None) -> DataFrame:
     pair = F.split("line", r"\s+->\s+", 2)
     return lines.where(F.col("line").contains(" -> ")).select(
+        *(keep or []),
         F.lit(group).alias("group"),
         "ord",
         pair[0].alias("key"),
@@ -209,14 +230,12 @@ class RuleSet:
     def collect(cls, rules: "DataFrame | RuleSet") -> "RuleSet":
         """A rule table as a rule set.
 
-        Rules end up as literals of the plan, so their number is checked; bigger
-        lexicons belong in ``operators.lookup.lookup_tokens``, which is a join.
+        Rules end up as literals of the plan: a rule file is configuration, whose
+        size does not grow with the posts.
         """
         if isinstance(rules, RuleSet):
             return rules
-        rows = rules.limit(RULE_LIMIT + 1).collect()
-        if len(rows) > RULE_LIMIT:
-            raise ValueError(f"more than {RULE_LIMIT} rules; use lookup_tokens for a lexicon")
+        rows = rules.collect()
         groups: dict[str, Pairs] = {}
         for row in sorted(rows, key=lambda r: (r["group"], r["ord"])):
             pattern = row["pattern"]

@@ -1,32 +1,67 @@
-"""Activity of keys on a stream of events."""
+"""Activity of keys on a stream of events.
+
+Nothing here waits for a watermark: each micro-batch leaves what it knows in a table,
+and the tables are merged when they are read.  So an event that comes late counts like any
+other, and sessions still open at the end of a run are there.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from postweave.operators.activity import activity_sessions, expire_keys, merge_sessions
 
-def stream_sessions(
-    events: DataFrame, key: str, ts: str, gap: str, lateness: str = "0 seconds"
-) -> DataFrame:
-    """Sessions per key, given out once the watermark has passed their end.
 
-    ``session_end`` is the last event plus the gap, as Spark's session windows
-    have it.  State holds open sessions only.
+def run_session_stream(
+    events: DataFrame, key: str, ts: str, gap_seconds: float, sink: str, checkpoint: str, trigger: Mapping | None = None
+) -> StreamingQuery:
+    """Write the sessions of each micro-batch to ``sink``.
+
+    A batch is cut by key and time bucket, so a key with a third of all events is spread
+    over its buckets.  A batch that runs again overwrites its own folder.
     """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        done = activity_sessions(batch, key, ts, gap_seconds)
+        done.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
     return (
-        events.withWatermark(ts, lateness)
-        .groupBy(key, F.session_window(ts, gap).alias("w"))
-        .agg(F.count("*").alias("n_events"), F.max(ts).alias("last_event"))
-        .select(
-            key,
-            F.col("w.start").alias("session_start"),
-            F.col("last_event").alias("session_end"),
-            "n_events",
-        )
+        events.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
 
 
-def stream_last_seen(events: DataFrame, key: str, ts: str) -> DataFrame:
-    """Latest event per key, for update mode; ``live`` is decided at read time."""
-    return events.groupBy(key).agg(F.max(ts).alias("last_seen"))
+def stream_sessions(written: DataFrame, key: str, gap_seconds: float) -> DataFrame:
+    """All sessions so far, open ones too, of what ``run_session_stream`` wrote."""
+    return merge_sessions(written.drop("batch"), key, gap_seconds)
+
+
+def run_live_stream(
+    events: DataFrame, key: str, ts: str, ttl_seconds: float, sink: str, checkpoint: str, trigger: Mapping | None = None
+) -> StreamingQuery:
+    """Keep the latest event of each live key: version ``n`` of the table is written by
+    batch ``n`` from the version before and the batch.
+
+    ``now`` is the latest event time seen; a key whose last event is ``ttl_seconds`` or
+    more before it has expired and leaves the table, so the table holds live keys only.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        latest = batch.groupBy(key).agg(F.max(ts).alias("last_seen"))
+        if batch_id:
+            latest = latest.unionByName(spark.read.parquet(f"{sink}/version={batch_id - 1}"))
+        expire_keys(latest, key, ttl_seconds).write.mode("overwrite").parquet(f"{sink}/version={batch_id}")
+
+    return (
+        events.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -84,8 +84,12 @@ def run_refreshing_stream(
     checkpoint: str,
     fmt: str = "parquet",
     trigger: Mapping | None = None,
+    after: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
-    """Stream that picks up changed rules between micro-batches.
+    """Stream that picks up changed rules, labels and weights between micro-batches.
+
+    ``rules`` holds whatever ``transform`` needs; ``after`` is called with the number of
+    each batch that is written.
 
     Each batch is written to its own folder, overwritten when the batch is run
     again after a failure, so every post is in the sink once.
@@ -94,6 +98,8 @@ def run_refreshing_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         done = transform(batch, rules.get())
         done.write.format(fmt).mode("overwrite").save(f"{sink}/batch={batch_id}")
+        if after:
+            after(batch_id)
 
     return (
         posts.writeStream.foreachBatch(write)

@@ -273,7 +273,7 @@ def test_rules_file_and_emoji_class(spark, tmp_path):
 
 def test_normalize_does_not_depend_on_partitions(spark):
     df = spark.range(60).selectExpr(
-        "id", "'@user-가나' || id AS nickname", "'ㅋ ㅋ ① ' || id || ' 홧팅!!' AS comment"
+        "id", "'@user-가나' || id AS nickname", "'ㅋ ㅋ ① ' || id || ' 갠춘해!!' AS comment"
     )
     rules = RuleSet.collect(default_rules(spark))
     got = [sorted(map(tuple, normalize(df.repartition(n), rules).collect())) for n in (1, 7)]
