@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from postweave.llm.words import _hashes, raw, words
 
 #: Distinct segments kept per Python worker before the memory of them starts anew.
-MEMORY = 1_500_000
+MEMORY = 800_000
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13, 28, 29, 30, 31]] = True

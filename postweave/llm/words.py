@@ -101,13 +101,29 @@ def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     return Words(data, start, end, _hashes(data, start, end), first)
 
 
+#: Bytes hashed at once; a longer word is hashed alone.
+_BLOCK = 1 << 19
+
+
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP.upto(len(data)), out=total[1:])
-    value = (total[end] - total[start]) * _DOWN.upto(len(data))[start]
-    return mix(value + (end - start).astype(np.uint64))
+    """A hash of each span; spans are in order.  It does not depend on the span's place, so
+    blocks of spans are hashed one after the other in little memory."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        first = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, first + _BLOCK, side="right")))
+        n = int(end[to - 1]) - first
+        total = np.zeros(n + 1, np.uint64)
+        total[1:] = data[first : first + n]
+        total[1:] += np.uint64(1)
+        total[1:] *= _UP.upto(n)
+        np.cumsum(total[1:], out=total[1:])
+        begin, stop = start[at:to] - first, end[at:to] - first
+        value = (total[stop] - total[begin]) * _DOWN.upto(max(n, 1))[np.minimum(begin, max(n - 1, 0))]
+        out[at:to] = value + (stop - begin).astype(np.uint64)
+        at = to
+    return mix(out)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
