@@ -7,6 +7,7 @@ always reach Spark as literals, so each task compiles them once.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterable, Mapping, Sequence
@@ -208,11 +209,12 @@ def dict_replace(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
 
 def literal_lookup(table: Mapping[str, str]) -> Callable[[Column], Column]:
     """Look a key up in a literal: slots by checksum, a few entries in each."""
-    slots: list[list[Column]] = [[] for _ in range(max(1, len(table) // 2))]
+    slots: list[dict[str, str]] = [{} for _ in range(max(1, len(table) // 2))]
     for key, value in table.items():
-        slots[zlib.crc32(key.encode()) % len(slots)] += [F.lit(key), F.lit(value)]
-    empty = F.create_map().cast("map<string,string>")
-    literal = F.array(*[F.create_map(*slot) if slot else empty for slot in slots])
+        slots[zlib.crc32(key.encode()) % len(slots)][key] = value
+    # One literal, which the optimizer folds; a call per entry would take seconds.
+    text = json.dumps(slots, ensure_ascii=False)
+    literal = F.from_json(F.lit(text), "array<map<string,string>>")
     return lambda hit: F.element_at(F.get(literal, (F.crc32(hit) % len(slots)).cast("int")), hit)
 
 

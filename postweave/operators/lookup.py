@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postweave.functions.text import literal_lookup
 from postweave.functions.windows import TOKEN
 from postweave.session import BROADCAST_ROWS, broadcast_if_small
 
 SALTS = 32
 LOOKUP_SLOTS = 64
+# A lexicon of so many tokens is at most a few megabytes of the plan.
+IN_ROW = 20_000
 
 
 def lookup_join(
@@ -59,11 +62,18 @@ def lookup_tokens(
 ) -> DataFrame:
     """Replace whole tokens by a lexicon ``(token, replacement)`` of any size.
 
-    For lexicons too big to be part of the plan.  Only distinct ``(row, token)``
-    pairs meet the lexicon; what was found comes back to the row as a map and
-    the text is rebuilt there, everything else in it untouched.
+    A lexicon of up to ``IN_ROW`` tokens becomes a literal and is looked up in the row.
+    Of a larger one only distinct ``(row, token)`` pairs meet the lexicon; what was
+    found comes back to the row as a map and the text is rebuilt there.  Either way
+    everything else in the text is untouched.
     """
     cut = F.regexp_extract_all(text, F.lit(rf"{TOKEN}|[\p{{Z}}\s]+"), F.lit(0))
+    entries = lexicon.select("token", "replacement")
+    few = entries.limit(min(IN_ROW, max_rows) + 1).collect()
+    if len(few) <= min(IN_ROW, max_rows):
+        found = literal_lookup({token: new for token, new in few})
+        parts = F.transform(cut, lambda t: F.coalesce(found(t), t))
+        return df.withColumn(text, F.when(F.size(parts) > 0, F.array_join(parts, "")).otherwise(F.col(text)))
     # Distinct inside the row: no shuffle for it.
     tokens = df.select(key, F.explode(F.array_distinct(cut)).alias("token"))
     found = lookup_join(

@@ -101,25 +101,12 @@ class LexiconScorer(Scorer):
         if self.inline:
             return super().mean_probs(df, key, windows, out)
         numbered = window_rows(df, [key], windows)
-        hits = token_hits(numbered, self.weights, [key, "window_no"])
-        sums = (
-            window_vectors(hits, [key, "window_no"], self.n_classes)
-            .groupBy(key)
-            .agg(
-                F.array(*[F.sum(F.col("probs")[k]) for k in range(self.n_classes)]).alias("__sums"),
-                F.count("*").alias("__hit"),
-            )
-        )
-        # A window without a known token is uniform; it needs no row of its own.
-        n = F.size(windows)
-        plain = (n - F.coalesce("__hit", F.lit(0))) / F.lit(self.n_classes)
-        zero = F.array_repeat(F.lit(0.0), self.n_classes)
-        mean = F.transform(F.coalesce("__sums", zero), lambda total: (total + plain) / n)
-        return (
-            df.join(sums, key, "left")
-            .withColumn(out, F.when(F.col(windows).isNotNull(), mean))
-            .drop("__sums", "__hit")
-        )
+        hits = token_hits(numbered, self.weights, [key, "window_no"], "left")
+        # A window without a known token has zero sums and so a uniform vector.
+        probs = window_vectors(hits, [key, "window_no"], self.n_classes)
+        means = mean_vector(probs, [key], "probs", out)
+        # The windows were cut for the hits alone: they are not shuffled.
+        return df.drop(windows).join(means, key, "left")
 
 
 def window_rows(df: DataFrame, keys: list[str], windows: str) -> DataFrame:
@@ -132,8 +119,11 @@ def window_rows(df: DataFrame, keys: list[str], windows: str) -> DataFrame:
     return rows.where(F.col("window_no").isNotNull())
 
 
-def token_hits(windows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, class_id, score)`` for the tokens of windows that have a weight.
+def token_hits(
+    windows: DataFrame, weights: DataFrame, keys: list[str], how: str = "inner"
+) -> DataFrame:
+    """``(keys, class_id, score)`` for the tokens of windows that have a weight; with ``how``
+    "left" also nulls for those that have none.
 
     Small weights are broadcast and tokens without one end in the task that read
     them.  For large weights equal tokens of a window are counted first, so that
@@ -142,9 +132,9 @@ def token_hits(windows: DataFrame, weights: DataFrame, keys: list[str]) -> DataF
     tokens = windows.select(*keys, F.explode("tokens").alias("token"))
     table, small = broadcast_if_small(weights)
     if small:
-        return tokens.join(table, "token").select(*keys, "class_id", F.col("weight").alias("score"))
+        return tokens.join(table, "token", how).select(*keys, "class_id", F.col("weight").alias("score"))
     counted = tokens.groupBy(*keys, "token").agg(F.count("*").alias("n"))
-    return salted_join(counted, weights, ["token"], "inner", keys).select(
+    return salted_join(counted, weights, ["token"], how, keys).select(
         *keys, "class_id", (F.col("n") * F.col("weight")).alias("score")
     )
 
