@@ -24,6 +24,50 @@ _FLAGS = re.compile(r"\(\?([aiLmsux]*)(?:-([imsx]+))?([:)])")
 _NAME = re.compile(r"\(\?P<(\w+)>|\(\?P=(\w+)\)|\(\?<(?![=!])(\w+)>")
 
 
+# A digit, a word character or a plain letter that is there at least once.
+_WORD_AHEAD = re.compile(r"(?:\\[dw]|[A-Za-z0-9_])(?![*?]|\{0|\{,)")
+_WORD_BEHIND = re.compile(r"(?<!\\)\\[dw](?:\+|\{[1-9]\d*(?:,\d*)?\})?\Z")
+
+
+def required_literal(pattern: str) -> str | None:
+    """Characters that every match of ``pattern`` holds, side by side; None if none are sure.
+
+    Only what stands outside groups, classes and alternatives is looked at.
+    """
+    if "|" in pattern or pattern.startswith("(?"):
+        return None
+    runs, depth, at = [""], 0, 0
+    while at < len(pattern):
+        ch = pattern[at]
+        if ch == "[":
+            closed = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]", re.S).match(pattern, at)
+            if not closed:
+                return None
+            at = closed.end()
+            runs.append("")
+            continue
+        literal = ch if ch not in "\\()[]{}*+?.^$" else None
+        size = 1
+        if ch == "\\":
+            size = 2
+            following = pattern[at + 1 : at + 2]
+            literal = following if following and not following.isalnum() else None
+        depth += (ch == "(") - (ch == ")")
+        after = pattern[at + size : at + size + 1]
+        counted = _COUNT.match(pattern, at) if ch == "{" else None
+        if counted:
+            size = len(counted[0])
+        if literal and not depth and after not in ("*", "?", "{"):
+            runs[-1] += literal
+        else:
+            runs.append("")
+        if after == "+":
+            runs.append("")
+        at += size
+    best = max(runs, key=lambda run: (sum(not c.isalnum() and c != " " for c in run), len(run)))
+    return best or None
+
+
 def java_pattern(pattern: str) -> str:
     """``pattern`` in Java syntax with the same meaning; ValueError for what Java lacks."""
     return JAVA_FLAGS + _Translation(pattern).run()
@@ -93,6 +137,14 @@ class _Translation:
         """An escape outside a class."""
         ch = self.text[self.at + 1 : self.at + 2]
         word = self.sets["w"]
+        if ch == "b":
+            # Beside what is sure to be a word character, one look is enough.
+            if _WORD_AHEAD.match(self.text, self.at + 2):
+                self.at += 2
+                return f"(?<![{word}])"
+            if _WORD_BEHIND.search(self.text, 0, self.at):
+                self.at += 2
+                return f"(?![{word}])"
         simple = {
             "Z": r"\z",
             "b": f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))",

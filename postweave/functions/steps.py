@@ -324,7 +324,7 @@ def tidy_marks(c: Column) -> Column:
     """No space before a mark and one after it, but not inside numbers."""
     # Letters are rejected first; \G or look-behind start a match at the first
     # space of a run, once.
-    start = r"(?=[.,?!^\s])(?:\G|(?<!\s))\s*+"
+    start = r"(?![a-z])(?![가-힣])(?=[.,?!^\s])(?:\G|(?<!\s))\s*+"
     inside_number = r"(?!(?<=\d)[.,](?=\d))"
     c = F.regexp_replace(c, java_pattern(rf"{start}{inside_number}([.,?!^]++)\s*+"), "$1 ")
-    return F.regexp_replace(c, java_pattern(r"\s{2,}"), " ")
+    return F.regexp_replace(c, java_pattern(r"(?![a-z])(?![가-힣])\s{2,}"), " ")

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postweave.functions.regex import JAVA_FLAGS, java_pattern
+from postweave.functions.regex import JAVA_FLAGS, java_pattern, required_literal
 
 # Ahead of a class that holds neither: rejects most characters of most texts.
 NOT_PLAIN = "(?![a-z ])(?![가-힣])"
@@ -73,10 +73,24 @@ def strip(c: Column) -> Column:
 def regex_chain(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """Apply ordered ``(pattern, replacement)`` rules, each on the last one's output."""
     for pattern, replacement in rules:
-        c = F.regexp_replace(c, java_pattern(pattern), java_replacement(replacement))
+        c = _replaced(c, pattern, java_replacement(replacement))
     return c
 
 
+def _replaced(c: Column, pattern: str, replacement: str) -> Column:
+    """One rule; texts without the characters that all its matches hold are left alone."""
+    held = required_literal(pattern)
+    java = java_pattern(pattern)
+    if held is None:
+        return F.regexp_replace(c, java, replacement)
+    return let(
+        c,
+        lambda text: F.when(
+            F.contains(text, F.lit(held)), F.regexp_replace(text, java, replacement)
+        ).otherwise(text),
+    )
+
+
 # Stands around matches while a text is cut; a character of no script.
 MARK = "\uf8fe"
 

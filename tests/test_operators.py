@@ -17,7 +17,12 @@ from postweave.functions.windows import (
     window_spans,
     windows,
 )
-from postweave.operators.activity import activity_sessions, idle_intervals, live_keys
+from postweave.operators.activity import (
+    activity_sessions,
+    idle_intervals,
+    live_keys,
+    merge_sessions,
+)
 from postweave.operators.audit import changed_rows, mismatches, missing_keys
 from postweave.operators.catalogue import categories, label_catalogue
 from postweave.operators.classify import classify, classify_heads
@@ -310,3 +315,34 @@ def test_stream_equals_batch_and_rules_refresh(spark, tmp_path):
     run_refreshing_stream(stream, refreshed, transform, str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
     assert seen == [[("good", "fine")], [("good", "better")]] and refreshed.loads == 2
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 40
+
+
+@pytest.mark.parametrize("bad", [("a", -1, 5), ("a", 2, 5), ("a", None, 5), ("a", 0, None), (None, 0, 1)])
+@pytest.mark.parametrize("inline_tokens", [0, 1_000])
+def test_bad_weights_are_refused_by_both_forms(spark, bad, inline_tokens):
+    weights = spark.createDataFrame([("b", 1, 1), bad], "token STRING, class_id INT, weight INT")
+    with pytest.raises(ValueError, match="weight with a null or a class outside"):
+        LexiconScorer(weights, 2, inline_tokens=inline_tokens)
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from postweave.plans.stream_queries import QUERIES
+    from tests.conftest import SMALL
+
+    for name in ("documents", "events"):
+        rows = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        rows.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in QUERIES.items():
+        got = sorted(map(repr, query.run(spark, str(tmp_path)).collect()))
+        assert got == sorted(map(repr, query.run(spark, SMALL).collect())), name
+
+
+def test_sessions_of_parts_in_any_order_are_sessions_of_the_whole(spark):
+    start = datetime(2024, 1, 1)
+    rng = random.Random(3)
+    rows = [("k", start + timedelta(seconds=rng.randrange(50_000))) for _ in range(300)]
+    events = spark.createDataFrame(rows, "k STRING, ts TIMESTAMP")
+    whole = activity_sessions(events, "k", "ts", 300)
+    parts = [activity_sessions(spark.createDataFrame(rows[i::4], "k STRING, ts TIMESTAMP"), "k", "ts", 300) for i in range(4)]
+    merged = merge_sessions(parts[0].union(parts[3]).union(parts[1]).union(parts[2]), "k", 300)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect()))

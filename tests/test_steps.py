@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postweave.functions import hangul, steps
-from postweave.functions.regex import java_pattern
+from postweave.functions.regex import java_pattern, required_literal
 from postweave.functions.text import (
     MARK,
     collapse_tag,
@@ -201,6 +201,7 @@ RULE_PATTERNS = [
     r"\w+", r"\W", r"\d+", r"\s+", r"\S+", r"\bก", r"a\b", r"\Ba", r"[\w.]+", r"[^\w\s]", r"[^\W\d]+", r"[\W_]+", r"[a\S]",
     r"(?P<x>a)(?P=x)", r"(?P<a_b>.)1(?P=a_b)", r"[^[]", r"a{,2}b", r"[a&&b]", r"[]a]+", r"b\Z", r"a{b", r"x{}", r"(?i)É",
     r"(?#no)a", r"\x1c", r"น", r"[\x1c-\x1f]", r"a|^b", r".\Z", r"(?s).b", r"\N{LATIN SMALL LETTER A}", r"(?:a(?i:B))",
+    r"\b1", r"\ba1?", r"\w\b", r"1\b", r"\d{1,2}\b", r"\b\d+\b", r"\ba?1", r"\b\w{,1}é", r"[ab]+\.", r"é\[+1?", r"\\d\b",
     r"(?<=\w)1", r"[b^]", r"\v", r"\.", r"(a)(b)?\1",
 ]
 
@@ -218,6 +219,20 @@ def test_rule_patterns_mean_what_python_means(spark):
     assert not wrong, wrong[:6]
 
 
+@pytest.mark.parametrize(
+    "pattern, held",
+    [
+        (r"https?://\S+", "://"), (r"[a-z]+@[a-z-]+", "@"), (r"\d{4}-\d{2}", "-"), (r"\d[\d,]*\s*원", "원"), ("a*", None),
+        ("(ab)c?", None), ("a|b", None), (r"a\.b", "a.b"), ("x{0,2}y", "y"), ("(?i)abc", None), (r"[]a]+#", "#"), ("a+b", "a"),
+    ],
+)
+def test_what_every_match_holds(pattern, held):
+    found = required_literal(pattern)
+    assert found == held
+    for text in texts("ab1@-:/.원xy#", n=300):
+        assert held is None or not re.search(pattern, text) or held in text
+
+
 @pytest.mark.parametrize("pattern", ["(a)?(?(1)b|c)", "(?L)a", "[a", "a\\"])
 def test_patterns_java_cannot_say_are_refused(pattern):
     with pytest.raises(ValueError):
