@@ -254,11 +254,11 @@ s AS (
   SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS shingle
   FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS p FROM w WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (
+pairs AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
   FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT a, b FROM both JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id
+  SELECT a, b FROM pairs JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id
   WHERE 100 * common >= 75 * (p.n + q.n - common)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (
