@@ -34,8 +34,8 @@ def main() -> None:
     spark = local_session(cores, "bench")
     registered = all_queries()
     names = sys.argv[1:] or HEADLINE
-    # One small action first, so the first query does not pay for the session.
-    spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1).count()
+    # One query first, untimed, so that no timing holds the start of the session.
+    registered[names[0]].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
         start = time.perf_counter()
