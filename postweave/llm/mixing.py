@@ -149,7 +149,8 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = TI
     plan = plan.groupBy(F.col("doc_id").alias("served_id")).agg(
         F.sum(served).alias("servings"), F.count("*").alias("rows")
     )
-    plan = written(plan, "servings")
+    # Joined by a merge at every size: the plan has as many rows as there are documents.
+    plan = written(plan, "servings").hint("merge")
     own = docs.columns
     alike = F.col("doc_id").eqNullSafe(F.col("served_id"))
     once = docs.join(plan.where("rows = 1"), alike)
