@@ -2,18 +2,24 @@
 
 Words are counted over all training documents.  The most frequent words are classes of
 their own, other words share a class by their first two bytes, and the text's end is a
-class.  A log-bilinear network predicts the class after the three before it; within a
-shared class a word has its smoothed share of the class's counts.  So
+class.  Every word with a count of at least ``tokens / HEAD``, and of two at least, is a
+symbol of the network: it has its own vector as context, and inside its class it is a
+leaf of a binary tree whose turns depend on the context.  The rarer words of a class are
+one more leaf, the rest, and have their smoothed share of its counts.  A log-bilinear
+network predicts after the three symbols before:
 
-    P(word | context) = P(class | context) * (c + 1) / (N_class + V_class + 1)
+    P(word | context) = P(class | context) * P(leaf | class, context) * share
+    share = (c + 1) / (N_rest + V_rest + 1)
 
-with the second factor only for shared classes, and all words of a class plus one
-unseen sum to one.
+with the second factor only for shared classes and the third only for their rests; all
+words of a class plus one unseen sum to one.
 
-The network is trained by noise-contrastive estimation on every training token: each
-task starts from the same weights, passes once over its texts, and the weights are
-averaged by tokens.  Scoring normalises exactly, by products of whole blocks of contexts
-with all classes.
+The classes are trained by noise-contrastive estimation and the turns by their
+likelihood, on every training token: each task starts from the same weights, passes once
+over its texts, and the weights are averaged, those of a symbol or turn by how often a
+task has met it, all others by tokens.  Scoring normalises exactly: the classes by
+products of whole blocks of contexts with all classes, the turns because two of them
+sum to one.
 
 Counts of words that are frequent enough to be at most ``HEAD`` in number are looked up in
 the task; all others are joined.
@@ -21,6 +27,7 @@ the task; all others are joined.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +49,8 @@ CONTEXT, WIDTH = 3, 16
 #: A count of at least N / HEAD is looked up in the task: that holds for at most HEAD words.
 HEAD = 500_000
 BATCH, NOISE, RATE = 2048, 64, 0.15
+#: Rows of weights that are averaged at once.
+BLOCK = 256
 #: Distinct words that a task holds before it passes their counts on.
 HELD_WORDS = 1_000_000
 
@@ -95,25 +104,82 @@ def _counts(summed) -> pa.RecordBatch:
     )
 
 
+@dataclass
+class Leaves:
+    """The symbols as leaves of binary trees.  A symbol below ``CLASSES`` is a class, or the
+    rest of a shared one; the others are words.  Symbol ``s`` is reached by the turns
+    ``starts[s] .. starts[s + 1]`` of ``nodes`` and ``signs``."""
+
+    outer: np.ndarray  # the class of each symbol
+    starts: np.ndarray
+    nodes: np.ndarray
+    signs: np.ndarray
+    odds: np.ndarray  # of each node, by the counts below it
+
+    def turns(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place in ``symbols`` and the place in ``nodes`` of every turn."""
+        first = self.starts[symbols]
+        many = self.starts[symbols + 1] - first
+        owner = np.repeat(np.arange(len(symbols)), many)
+        ends = np.cumsum(many)
+        return owner, np.arange(len(owner)) + np.repeat(first - ends + many, many)
+
+
+def leaves(classes: np.ndarray, counts: np.ndarray, rests: np.ndarray) -> Leaves:
+    """Huffman trees: one for each class that has words, over these and its rest."""
+    symbols = CLASSES + len(classes)
+    outer = np.append(np.arange(CLASSES), classes).astype(np.int64)
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(symbols)]
+    odds: list[float] = []
+    by_class = np.argsort(classes, kind="stable")
+    edges = np.searchsorted(classes[by_class], np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(edges)):
+        own = by_class[edges[c] : edges[c + 1]]
+        weights = [float(rests[c]) + 1, *counts[own].astype(float)]
+        names = [int(c), *(own + CLASSES).tolist()]
+        heap = [(w, k) for k, w in enumerate(weights)]
+        heapq.heapify(heap)
+        up: list[tuple[int, int]] = [(-1, 0)] * (2 * len(names) - 1)
+        for parent in range(len(names), len(up)):
+            (x, left), (y, right) = heapq.heappop(heap), heapq.heappop(heap)
+            up[left], up[right] = (parent, 1), (parent, -1)
+            odds.append(float(np.log(x / y)))
+            heapq.heappush(heap, (x + y, parent))
+        shift = len(odds) - len(up)
+        for k, name in enumerate(names):
+            at = k
+            while up[at][0] >= 0:
+                at, sign = up[at]
+                paths[name].append((at + shift, sign))
+    starts = np.append(0, np.cumsum([len(p) for p in paths])).astype(np.int64)
+    flat = np.array([t for p in paths for t in p], np.int64).reshape(-1, 2)
+    return Leaves(outer, starts, flat[:, 0], flat[:, 1].astype(np.float32), np.array(odds, np.float32))
+
+
+NO_WORDS = leaves(np.zeros(0, np.int64), np.zeros(0), np.zeros(CLASSES))
+
+
 @dataclass
 class Vocabulary:
     """Bounded facts about the counted words; arrays are sorted by word hash."""
 
-    frequent: np.ndarray  # hashes
-    order: np.ndarray  # the class of each
     head: np.ndarray  # hashes
     head_counts: np.ndarray
+    head_symbols: np.ndarray  # a word of the head that is no symbol has -1
     class_counts: np.ndarray  # N of each class
-    class_words: np.ndarray  # V of each class
+    rest_counts: np.ndarray  # N and V of the words of each class that are no symbols
+    rest_words: np.ndarray
+    leaves: Leaves
     tokens: int
     distinct: int
 
-    def classes(self, w: Words) -> np.ndarray:
+    def symbols(self, w: Words) -> np.ndarray:
         out = shared_class(w)
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, w.hash), len(self.frequent) - 1)
-            own = self.frequent[at] == w.hash
-            out[own] = self.order[at[own]]
+        if len(self.head):
+            codes, found = pd.factorize(w.hash)
+            at = np.minimum(np.searchsorted(self.head, found), len(self.head) - 1)
+            own = np.where(self.head[at] == found, self.head_symbols[at], -1)[codes]
+            out = np.where(own >= 0, own, out)
         return out
 
 
@@ -131,48 +197,72 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         class_counts[row["class"]] -= row["n"]
         class_words[row["class"]] -= 1
         class_counts[k], class_words[k] = row["n"], 1
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    head = real.where(F.col("n") >= max(1, tokens / HEAD)).select("word", "n").toArrow()
-    words_, n = head.column(0).to_numpy().view(np.uint64), head.column(1).to_numpy()
+    head = real.where(F.col("n") >= max(1, tokens / HEAD)).select("word", "class", "n").toArrow()
+    words_ = head.column(0).to_numpy().view(np.uint64)
     by_hash = np.argsort(words_)
-    return Vocabulary(hashes[order], order, words_[by_hash], n[by_hash], class_counts, class_words, tokens, distinct)
+    words_, classes, n = (x[by_hash] for x in (words_, head.column(1).to_numpy().astype(np.int64), head.column(2).to_numpy()))
+    symbols = np.full(len(words_), -1, np.int64)
+    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    top_at = np.minimum(np.searchsorted(words_, hashes), max(len(words_) - 1, 0))
+    inside = words_[top_at] == hashes if len(words_) else np.zeros(len(hashes), bool)
+    symbols[top_at[inside]] = np.flatnonzero(inside)
+    own = np.flatnonzero((symbols < 0) & (n >= 2))
+    symbols[own] = CLASSES + np.arange(len(own))
+    rest_counts = class_counts - np.bincount(classes[own], n[own], CLASSES)
+    rest_words = class_words - np.bincount(classes[own], minlength=CLASSES)
+    trees = leaves(classes[own], n[own], rest_counts)
+    return Vocabulary(words_, n, symbols, class_counts, rest_counts, rest_words, trees, tokens, distinct)
 
 
 @dataclass
 class Model:
-    """``seen`` (K, d) of context classes, a map (d, d) per place before, ``said`` (K, d) and
-    ``bias`` of predicted classes."""
+    """``seen`` (S, d) of context symbols, a map (d, d) per place before, ``said`` (K, d) and
+    ``bias`` of predicted classes, ``turned`` (M, d) and ``odds`` of the trees' nodes."""
 
     seen: np.ndarray
     maps: np.ndarray
     said: np.ndarray
     bias: np.ndarray
-
-    @property
-    def weights(self) -> list[np.ndarray]:
-        return [self.seen, self.maps, self.said, self.bias]
+    turned: np.ndarray
+    odds: np.ndarray
+    leaves: Leaves
 
     def tables(self) -> np.ndarray:
         return np.einsum("kd,jde->jke", self.seen, self.maps).astype(np.float32)
 
+    def rows(self) -> np.ndarray:
+        """All weights as rows of ``WIDTH + 1``: seen, turned, said, maps."""
+        zeros = lambda x: np.zeros((len(x), 1), np.float32)
+        flat = self.maps.reshape(-1, WIDTH)
+        parts = [(self.seen, zeros(self.seen)), (self.turned, self.odds[:, None]), (self.said, self.bias[:, None]), (flat, zeros(flat))]
+        return np.concatenate([np.hstack(p) for p in parts])
 
-def new_model(shares: np.ndarray, seed: int = 3) -> Model:
+    def with_rows(self, rows: np.ndarray) -> Model:
+        seen, turned, said, maps = np.split(rows, np.cumsum([len(self.seen), len(self.turned), CLASSES]))
+        maps = np.ascontiguousarray(maps[:, :WIDTH]).reshape(self.maps.shape)
+        seen, vectors, words_ = (np.ascontiguousarray(x[:, :WIDTH]) for x in (seen, turned, said))
+        return Model(seen, maps, words_, said[:, WIDTH].copy(), vectors, turned[:, WIDTH].copy(), self.leaves)
+
+
+def new_model(shares: np.ndarray, trees: Leaves = NO_WORDS, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     seen = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
     maps = np.repeat(np.eye(WIDTH, dtype=np.float32)[None] / CONTEXT, CONTEXT, axis=0)
     said = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
-    return Model(seen, maps, said, np.log(shares).astype(np.float32))
+    # A word starts as its class does, so that one met a few times is no worse known.
+    seen = seen[trees.outer]
+    turned = np.zeros((len(trees.odds), WIDTH), np.float32)
+    return Model(seen, maps, said, np.log(shares).astype(np.float32), turned, trees.odds.copy(), trees)
 
 
-def sequence(w: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all tokens with each text's end, and the text of each."""
+def sequence(w: Words, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all tokens with each text's end, and the text of each."""
     n = len(w.first) - 1
-    return np.insert(classes, w.first[1:], END), np.insert(w.owner, w.first[1:], np.arange(n))
+    return np.insert(symbols, w.first[1:], END), np.insert(w.owner, w.first[1:], np.arange(n))
 
 
 def contexts(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """(places, tokens): the classes before each token; before a text stands an end."""
+    """(places, tokens): the symbols before each token; before a text stands an end."""
     out = np.full((CONTEXT, len(tokens)), END)
     for j in range(1, CONTEXT + 1):
         same = text[j:] == text[:-j]
@@ -181,36 +271,76 @@ def contexts(tokens: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive estimation with noise shared by a batch, stepped by Adagrad."""
+    """Noise-contrastive estimation with noise shared by a batch, and the likelihood of the
+    trees' turns, stepped by Adagrad; ``met`` counts uses of the rows of weights."""
 
     def __init__(self, model: Model, shares: np.ndarray, seed: int = 5):
         self.model, self._rng, self.seen = model, np.random.default_rng(seed), 0
         self._noise = np.log(shares * NOISE).astype(np.float32)
         self._edges = np.cumsum(shares)[:-1]
-        self._squares = [np.full(x.shape, 1e-3, np.float32) for x in model.weights]
+        self._whole = [model.maps, model.said, model.bias]
+        self._parts = [model.seen, model.turned, model.odds]
+        self._squares = [np.full(x.shape, 1e-3, np.float32) for x in self._whole]
+        # One step width for all weights of a symbol or turn.
+        self._part_squares = [np.full(len(x), 1e-3, np.float32) for x in self._parts]
+        self.met_symbols, self.met_nodes = np.zeros(len(model.seen)), np.zeros(len(model.odds))
 
     def step(self, before: np.ndarray, target: np.ndarray) -> None:
         m, n = self.model, len(target)
-        rows = [m.seen[b] for b in before]
+        symbols, target = target, m.leaves.outer[target]
+        rows = [m.seen.take(b, 0) for b in before]
         guess = sum(r @ c for r, c in zip(rows, m.maps))
         noise = np.searchsorted(self._edges, self._rng.random(NOISE))
-        real = (guess * m.said[target]).sum(1) + m.bias[target] - self._noise[target]
+        said = m.said.take(target, 0)
+        real = np.einsum("ij,ij->i", guess, said) + (m.bias - self._noise)[target]
         false = guess @ m.said[noise].T + (m.bias - self._noise)[noise]
         g_real = (0.5 * np.tanh(0.5 * real) - 0.5).astype(np.float32) / n
-        g_false = (0.5 + 0.5 * np.tanh(0.5 * false)).astype(np.float32) / n
-        g_guess = g_real[:, None] * m.said[target] + g_false @ m.said[noise]
-        g_said = _scatter(target, g_real[:, None] * guess)
+        false *= np.float32(0.5)
+        g_false = np.tanh(false, out=false)
+        g_false += np.float32(1)
+        g_false *= np.float32(0.5 / n)
+        g_guess = g_real[:, None] * said + g_false @ m.said[noise]
+        g_said = _scatter(target, g_real[:, None] * guess, CLASSES)
         np.add.at(g_said, noise, g_false.T @ guess)
         g_bias = np.bincount(target, g_real, CLASSES)
         np.add.at(g_bias, noise, g_false.sum(0))
+        owner, at = m.leaves.turns(symbols)
+        if len(owner):
+            node, sign = m.leaves.nodes[at], m.leaves.signs[at]
+            mine, turned = guess.take(owner, 0), m.turned.take(node, 0)
+            way = np.einsum("ij,ij->i", mine, turned) + m.odds.take(node)
+            g_way = (0.5 * np.tanh(0.5 * sign * way) - 0.5).astype(np.float32) * sign / np.float32(n)
+            turned *= g_way[:, None]
+            g_guess += _scatter(owner, turned, n).astype(np.float32)
+            mine *= g_way[:, None]
+            codes, some = pd.factorize(node)
+            self.met_nodes[some] += np.bincount(codes)
+            self._move(1, some, _scatter(codes, mine, len(some)))
+            self._move(2, some, np.bincount(codes, g_way))
         g_maps = np.stack([r.T @ g_guess for r in rows])
-        g_seen = sum(_scatter(b, g_guess @ c.T) for b, c in zip(before, m.maps))
-        for x, g, s in zip(m.weights, (g_seen, g_maps, g_said, g_bias), self._squares):
+        codes, some = pd.factorize(before.ravel())
+        self.met_symbols[some] += np.bincount(codes)
+        self._move(0, some, _scatter(codes, np.concatenate([g_guess @ c.T for c in m.maps]), len(some)))
+        for x, g, s in zip(self._whole, (g_maps, g_said, g_bias), self._squares):
             g = g.astype(np.float32)
             s += g * g
             x -= RATE * g / np.sqrt(s)
         self.seen += n
 
+    def _move(self, part: int, some: np.ndarray, g: np.ndarray) -> None:
+        g = g.astype(np.float32)
+        size = np.einsum("ij,ij->i", g, g) / np.float32(WIDTH) if g.ndim > 1 else g * g
+        squares = self._part_squares[part].take(some) + size
+        self._part_squares[part][some] = squares
+        rate = np.float32(RATE) / np.sqrt(squares)
+        x = self._parts[part]
+        x[some] = x.take(some, 0) - g * (rate[:, None] if g.ndim > 1 else rate)
+
+    def met(self) -> np.ndarray:
+        """How much each of the model's ``rows`` weighs among those of other tasks."""
+        others = np.full(CLASSES + CONTEXT * WIDTH, float(self.seen))
+        return np.concatenate([self.met_symbols, self.met_nodes, others])
+
     def learn(self, tokens: np.ndarray, text: np.ndarray) -> None:
         before = contexts(tokens, text)
         order = self._rng.permutation(len(tokens))
@@ -219,10 +349,11 @@ class Trainer:
             self.step(before[:, some], tokens[some])
 
 
-def _scatter(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` (n, d) by class."""
-    flat = rows[:, None] * WIDTH + np.arange(WIDTH)
-    return np.bincount(flat.ravel(), values.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH)
+def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` (k, d) by row of ``n``."""
+    flat = (rows * WIDTH).repeat(WIDTH).reshape(-1, WIDTH)
+    flat += np.arange(WIDTH)
+    return np.bincount(flat.ravel(), values.ravel(), n * WIDTH).reshape(n, WIDTH)
 
 
 def class_shares(voc: Vocabulary) -> np.ndarray:
@@ -231,50 +362,72 @@ def class_shares(voc: Vocabulary) -> np.ndarray:
 
 
 def train(docs: DataFrame, voc: Vocabulary) -> Model:
-    """Every task passes over its texts once; the weights are averaged by tokens in Spark."""
+    """Every task passes over its texts once; the weights are averaged in Spark."""
     shares = class_shares(voc)
+    start = new_model(shares, voc.leaves)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(new_model(shares), shares)
+        trainer = Trainer(new_model(shares, voc.leaves), shares)
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words(part.column(0), lower=True)
-                trainer.learn(*sequence(w, voc.classes(w)))
+                trainer.learn(*sequence(w, voc.symbols(w)))
         if trainer.seen:
-            flat = np.concatenate([x.ravel() for x in trainer.model.weights]).astype(float)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(len(flat), dtype=np.int32)),
-                    pa.array(flat * trainer.seen),
-                    pa.array(np.full(len(flat), float(trainer.seen))),
-                ],
-                names=["i", "x", "w"],
-            )
-
-    parts = docs.select("text").mapInArrow(learn, "i int, x double, w double")
-    rows = parts.groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow().sort_by("i")
-    model = new_model(shares)
-    if rows.num_rows:
-        flat, at, out = rows.column("x").to_numpy().astype(np.float32), 0, []
-        for x in model.weights:
-            out.append(flat[at : at + x.size].reshape(x.shape))
-            at += x.size
-        model = Model(*out)
-    return model
+            rows, met = trainer.model.rows(), trainer.met()
+            for block in range(0, len(rows), BLOCK):
+                some = block + np.flatnonzero(met[block : block + BLOCK])
+                if len(some):
+                    yield _weights(block, some, rows[some], met[some])
+
+    def average(key: tuple, parts: pa.Table) -> pa.Table:
+        total, met = np.zeros((BLOCK, WIDTH + 1)), np.zeros(BLOCK)
+        for some, rows, weight in zip(*(parts.column(c) for c in ("some", "weights", "met"))):
+            some = np.frombuffer(some.as_py(), np.int64) - key[0].as_py()
+            weight = np.frombuffer(weight.as_py())
+            total[some] += np.frombuffer(rows.as_py(), np.float32).reshape(-1, WIDTH + 1) * weight[:, None]
+            met[some] += weight
+        some = np.flatnonzero(met)
+        mean = (total[some] / met[some, None]).astype(np.float32)
+        return pa.Table.from_batches([_weights(key[0].as_py(), some + key[0].as_py(), mean, met[some])])
+
+    parts = docs.select("text").mapInArrow(learn, _WEIGHTS).groupBy("block").applyInArrow(average, _WEIGHTS).toArrow()
+    rows = start.rows()
+    for some, mean in zip(parts.column("some").to_pylist(), parts.column("weights").to_pylist()):
+        rows[np.frombuffer(some, np.int64)] = np.frombuffer(mean, np.float32).reshape(-1, WIDTH + 1)
+    return start.with_rows(rows)
+
+
+_WEIGHTS = "block long, some binary, weights binary, met binary"
+
+
+def _weights(block: int, some: np.ndarray, rows: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    """Rows ``some`` of the weights, all in one block, with what they weigh."""
+    data = (some.astype(np.int64), rows.astype(np.float32), met.astype(float))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in data)],
+        names=["block", "some", "weights", "met"],
+    )
 
 
 def class_log10(model: Model, tables: np.ndarray, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Exactly normalised log10 probabilities of each token's class."""
+    """Exactly normalised log10 probabilities of each token's symbol: of its class, and in a
+    shared class of the turns to its leaf."""
     out = np.empty(len(target))
     said = np.ascontiguousarray(model.said.T)
     for at in range(0, len(target), BATCH):
         b, t = before[:, at : at + BATCH], target[at : at + BATCH]
-        logits = sum(table[c] for table, c in zip(tables, b)) @ said
+        guess = sum(table.take(c, 0) for table, c in zip(tables, b))
+        logits = guess @ said
         logits += model.bias
         logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(t)), t]
+        chosen = logits[np.arange(len(t)), model.leaves.outer[t]]
         np.exp(logits, out=logits)
-        out[at : at + BATCH] = (chosen - np.log(logits.sum(axis=1))) / np.log(10)
+        log = chosen - np.log(logits.sum(axis=1))
+        owner, turn = model.leaves.turns(t)
+        node = model.leaves.nodes[turn]
+        way = np.einsum("ij,ij->i", guess.take(owner, 0), model.turned.take(node, 0)) + model.odds.take(node)
+        log = log - np.bincount(owner, np.logaddexp(0, -model.leaves.signs[turn] * way), len(t))
+        out[at : at + BATCH] = log / np.log(10)
     return out
 
 
@@ -293,7 +446,7 @@ def scored(docs: DataFrame) -> DataFrame:
     voc = vocabulary(counts)
     model = train(training, voc)
     tables = model.tables()
-    inside = np.log10(voc.class_counts + voc.class_words + 1)
+    inside = np.log10(voc.rest_counts + voc.rest_words + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -326,16 +479,16 @@ def _score(part, first_row: int, voc: Vocabulary, model: Model, tables, inside)
     """A row per text, and one per text and word whose count is not at hand."""
     n = part.num_rows
     w = words(part.column(1), lower=True)
-    classes = voc.classes(w)
-    tokens, text = sequence(w, classes)
+    symbols = voc.symbols(w)
+    tokens, text = sequence(w, symbols)
     modelled = np.bincount(text, class_log10(model, tables, contexts(tokens, text), tokens), n)
     codes, found = pd.factorize(w.hash)
     at = np.minimum(np.searchsorted(voc.head, found), max(len(voc.head) - 1, 0))
     near = voc.head[at] == found if len(voc.head) else np.zeros(len(found), bool)
     log_count = np.where(near, np.log10((voc.head_counts[at] if len(voc.head) else 0) + 1.0), 0.0)[codes]
     near, owner = near[codes], w.owner
-    shared = classes >= FREQUENT
-    modelled += np.bincount(owner, np.where(shared, log_count - inside[classes], 0.0), n)
+    rest = (symbols >= FREQUENT) & (symbols < CLASSES)
+    modelled += np.bincount(owner, np.where(rest, log_count - inside[np.where(rest, symbols, 0)], 0.0), n)
     ends = voc.class_counts[END]
     counted = np.bincount(owner, log_count, n) + np.log10(ends + 1)
     n_known = np.bincount(owner, near, n).astype(np.int64) + (ends > 0)

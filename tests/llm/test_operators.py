@@ -446,6 +446,40 @@ def test_training_learns_an_order():
     assert (p > math.log10(0.5)).all(), rng
 
 
+def test_words_of_one_class_have_their_own_contexts_and_probabilities():
+    # Four words of one shared class; the second and fourth tell what follows.
+    k, c = lm_scores.CLASSES, lm_scores.FREQUENT + 5
+    trees = lm_scores.leaves(np.full(4, c), np.full(4, 4000), np.zeros(k))
+    shares = np.full(k, 1e-4)
+    shares[c] = 1
+    shares /= shares.sum()
+    trainer = lm_scores.Trainer(lm_scores.new_model(shares, trees), shares)
+    tokens = np.tile(k + np.array([0, 1, 2, 3]), 4000)
+    for _ in range(6):
+        trainer.learn(tokens, np.zeros(len(tokens), int))
+    m = trainer.model
+    before = lm_scores.contexts(tokens, np.zeros(len(tokens), int))[:, 8:12]
+    assert (lm_scores.class_log10(m, m.tables(), before, tokens[8:12]) > math.log10(0.5)).all()
+    every = np.arange(k + 4)
+    for b in before.T:
+        p = 10 ** lm_scores.class_log10(m, m.tables(), np.repeat(b[:, None], len(every), 1), every)
+        assert abs(p.sum() - 1) < 1e-4
+    again = m.with_rows(m.rows())
+    assert all(np.array_equal(getattr(m, x), getattr(again, x)) for x in ("seen", "maps", "said", "bias", "turned", "odds"))
+
+
+def test_all_words_of_two_counts_are_symbols(spark):
+    some = [f"ab{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(some + [f"once{i}"])) for i in range(40)], "doc_id LONG, text STRING")
+    counts = lm_scores.written(lm_scores.word_counts(docs), "word_counts")
+    voc = lm_scores.vocabulary(counts)
+    w = words_module.words(pa.array([" ".join(some), "once1 ab0"]), lower=True)
+    found = voc.symbols(w)
+    assert len(set(found[:300].tolist())) == 300
+    assert lm_scores.FREQUENT <= found[300] < lm_scores.END and found[301] == found[0]
+    assert voc.rest_counts.sum() - voc.class_counts[: lm_scores.FREQUENT].sum() - voc.class_counts[lm_scores.END] == 40
+
+
 # 9 quality
 
 
