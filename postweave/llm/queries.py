@@ -28,9 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
-    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_substring_dedup": OP6_SQL,
-    "op8_lm_scores": op8_lm_scores,
-    "op9_quality_model": op9_quality_model,
     "op10_mix_sources": OP10_SQL,
 }

@@ -28,6 +28,10 @@ def test_all_are_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
 
 
+def test_oracle_sql_is_sql():
+    assert all(isinstance(sql, str) for sql in entry_points.oracle_sql().values())
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     names = docs.columns
