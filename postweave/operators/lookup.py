@@ -65,10 +65,12 @@ def lookup_tokens(
     A lexicon of up to ``IN_ROW`` tokens becomes a literal and is looked up in the row.
     Of a larger one only distinct ``(row, token)`` pairs meet the lexicon; what was
     found comes back to the row as a map and the text is rebuilt there.  Either way
-    everything else in the text is untouched.
+    everything else in the text is untouched.  A null token matches nothing, a repeated
+    one has its smallest replacement, and one whose replacement is null stays.
     """
     cut = F.regexp_extract_all(text, F.lit(rf"{TOKEN}|[\p{{Z}}\s]+"), F.lit(0))
-    entries = lexicon.select("token", "replacement")
+    # One row per token ahead of both forms, so that they agree on any lexicon.
+    entries = lexicon.where("token is not null").groupBy("token").agg(F.min("replacement").alias("replacement"))
     few = entries.limit(min(IN_ROW, max_rows) + 1).collect()
     if len(few) <= min(IN_ROW, max_rows):
         found = literal_lookup({token: new for token, new in few})
@@ -78,7 +80,7 @@ def lookup_tokens(
     tokens = df.select(key, F.explode(F.array_distinct(cut)).alias("token"))
     found = lookup_join(
         tokens,
-        lexicon.select("token", "replacement"),
+        entries,
         ["token"],
         "inner",
         salt_by=[key],

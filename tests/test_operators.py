@@ -200,6 +200,15 @@ def test_lookup_keeps_everything_else(spark):
     assert got == {1: " AA  b\ny AA!", 2: "c", 3: None}
 
 
+def test_lookup_forms_agree_on_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "e"), (3, None)], "id INT, t STRING")
+    entries = [("a", "A2"), ("a", "A1"), ("a", "A3"), (None, "N"), ("b", None), ("b", "B"), ("c", None), ("d", "D"), ("d", "D")]
+    lexicon = spark.createDataFrame(entries, "token STRING, replacement STRING")
+    for max_rows in (200_000, 1):
+        got = {r["id"]: r["t"] for r in lookup_tokens(df, "id", "t", lexicon, max_rows).collect()}
+        assert got == {1: "A1 B c D", 2: "e", 3: None}
+
+
 def test_audits(spark):
     expected = spark.createDataFrame([("a",), ("b",), ("c",)], "k STRING")
     actual = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0)], "k STRING, size INT")
