@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from postweave.llm.language_id import op2_language_id
 from postweave.llm.lm_scores import op8_lm_scores
+from postweave.llm.merkle import OP13_SQL, op13_merkle_manifest
 from postweave.llm.mixing import OP10_SQL, op10_mix_sources
 from postweave.llm.near_dedup import OP1_SQL, op1_minhash_near_dedup
 from postweave.llm.nearest import op5_nearest_neighbours
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_quality_model": op9_quality_model,
     "op10_mix_sources": op10_mix_sources,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_mix_sources": OP10_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
