@@ -9,6 +9,7 @@ from postweave.llm.mixing import OP10_SQL, op10_mix_sources
 from postweave.llm.near_dedup import OP1_SQL, op1_minhash_near_dedup
 from postweave.llm.nearest import op5_nearest_neighbours
 from postweave.llm.packing import op4_best_fit_packing
+from postweave.llm.periodic import op12_periodic_runs
 from postweave.llm.quality_model import op9_quality_model
 from postweave.llm.quality_rules import op3_quality_rules
 from postweave.llm.substring_dedup import OP6_SQL, op6_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_quality_model": op9_quality_model,
     "op10_mix_sources": op10_mix_sources,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
