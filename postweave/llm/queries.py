@@ -13,6 +13,7 @@ from postweave.llm.periodic import op12_periodic_runs
 from postweave.llm.quality_model import op9_quality_model
 from postweave.llm.quality_rules import op3_quality_rules
 from postweave.llm.substring_dedup import OP6_SQL, op6_substring_dedup
+from postweave.llm.suffix_dedup import OP11_SQL, op11_suffix_dedup
 from postweave.llm.token_counts import op7_token_counts
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_quality_model": op9_quality_model,
     "op10_mix_sources": op10_mix_sources,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -34,5 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_mix_sources": OP10_SQL,
+    "op11_suffix_dedup": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
