@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.llm.common import SLICE_BYTES, read_table, slices, written
+from postweave.llm.common import SLICE_BYTES, read_table, slices
 from postweave.llm.suffixes import common_prefixes, suffix_array
 from postweave.llm.words import mix, raw, window_starts
 
@@ -38,7 +38,7 @@ WIDTH = 50
 #: Bytes of the strings whose hashes name a window; a multiple of 8.
 GRAM = 24
 #: Text bytes whose keys meet in one task, and whose stretches do.
-KEY_RANGE, TEXT_RANGE = 16 << 20, 4 << 20
+KEY_RANGE, TEXT_RANGE = 48 << 20, 16 << 20
 #: Entries and candidate bytes that a task gathers before it settles them.
 ENTRIES, SHARD = 2_000_000, 2 << 20
 #: Windows of a stretch at most.
@@ -123,8 +123,18 @@ def _split(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order, [(int(bucket[a]), a, b) for a, b in zip(edges, [*edges[1:], len(bucket)])]
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """The bytes of an array, compressed, with their number in front."""
+    data = values.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def _unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True) if packed else b""
+
+
 def _bytes(group: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(group.column(column).to_pylist()), kind)
+    return np.frombuffer(b"".join(map(_unpack, group.column(column).to_pylist())), kind)
 
 
 # Keys
@@ -144,9 +154,12 @@ def _meeting(keys: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch
     out = []
     for kind, chosen in ((_ALONE, ~shared), (_KNOWN, shared & first), (_SETTLED, shared)):
         k, r = keys[chosen], rows[chosen]
+        # In order of rows, which then pack well.
+        order = np.argsort(r, kind="stable")
+        k, r = k[order], r[order]
         order, parts = _split(((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
         k, r = k[order].astype(np.uint32), r[order]
-        out += [(b, kind, k[x:y].tobytes(), b"" if kind == _KNOWN else r[x:y].tobytes()) for b, x, y in parts]
+        out += [(b, kind, _pack(k[x:y]), b"" if kind == _KNOWN else _pack(r[x:y])) for b, x, y in parts]
     return _record(_KEYS_ARROW, out)
 
 
@@ -169,13 +182,15 @@ def _revealed(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 def _back(rows: np.ndarray, found: np.ndarray, buckets: int) -> pa.Table:
     """What was found goes back to its rows, packed by bucket of them."""
+    order = np.argsort(rows, kind="stable")
+    rows, found = rows[order], found[order]
     order, parts = _split((rows % np.uint64(buckets)).astype(np.int64))
     rows, found = rows[order], found[order]
     return pa.table(
         {
             "bucket": pa.array([p[0] for p in parts], pa.int32()),
-            "rows": pa.array([rows[a:b].tobytes() for _, a, b in parts], pa.binary()),
-            "found": pa.array([found[a:b].tobytes() for _, a, b in parts], pa.binary()),
+            "rows": pa.array([_pack(rows[a:b]) for _, a, b in parts], pa.binary()),
+            "found": pa.array([_pack(found[a:b]) for _, a, b in parts], pa.binary()),
         }
     )
 
@@ -256,8 +271,7 @@ class _Shard:
         out = []
         if late.any():
             where, runs = _late_runs(rows[late], spots[late])
-            nothing = (b"",) * 3
-            out.append((int(where[0] % np.uint64(buckets)), True, b"", nothing[0], where.tobytes(), runs.tobytes(), *nothing[1:]))
+            out.append((int(where[0] % np.uint64(buckets)), True, b"", b"", _pack(where), _pack(runs), b"", b""))
         place, keys, docs, rows, spots = (c[~late] for c in (place, keys, docs, rows, spots))
         return _record(_TEXTS_ARROW, out + _stretches(data, place, keys, docs, rows, spots, buckets, width))
 
@@ -278,11 +292,8 @@ def _stretches(data, place, keys, docs, rows, spots, buckets: int, width: int) -
         f, n = first[a:b], sizes[a:b]
         stops = np.cumsum(n)
         index = np.arange(int(stops[-1])) + np.repeat(place[f] - (stops - n), n)
-        packed = pa.compress(data[index].tobytes(), codec="zstd", asbytes=True)
-        low = keys[f].astype(np.uint32)
-        out.append(
-            (bucket, False, low.tobytes(), docs[f].tobytes(), rows[f].tobytes(), spots[f].astype(np.uint32).tobytes(), n.astype(np.uint8).tobytes(), packed)
-        )
+        columns = (keys[f].astype(np.uint32), docs[f], rows[f], spots[f].astype(np.uint32), n.astype(np.uint8), data[index])
+        out.append((bucket, False, *map(_pack, columns)))
     return out
 
 
@@ -307,9 +318,7 @@ def _late_across(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     keys, docs = _bytes(group, "keys", np.uint32), _bytes(group, "docs", np.int64)
     rows, spots = _bytes(group, "rows", np.uint64), _bytes(group, "spots", np.uint32).astype(np.int64)
     sizes = _bytes(group, "sizes", np.uint8).astype(np.int64)
-    lengths = [int(np.frombuffer(s, np.uint8).sum(dtype=np.int64)) for s in group.column("sizes").to_pylist()]
-    packed = group.column("data").to_pylist()
-    data = b"".join(pa.decompress(p, n, codec="zstd", asbytes=True) for p, n in zip(packed, lengths))
+    data = _bytes(group, "data", np.uint8)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     column = pa.Array.from_buffers(
         pa.large_binary(), len(sizes), [None, pa.py_buffer(begins.astype(np.int64)), pa.py_buffer(data)]
@@ -331,7 +340,7 @@ def _late_across(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
         several[:-1] |= equal
     mixed = ranked[several]
     if len(mixed):
-        late = _late_windows(np.frombuffer(data, np.uint8), begins[mixed], counts[mixed], keys[mixed], least[mixed], width)
+        late = _late_windows(data, begins[mixed], counts[mixed], keys[mixed], least[mixed], width)
         owner = np.repeat(np.arange(len(mixed)), counts[mixed])
         offset = _spread(np.zeros(len(mixed), np.int64), counts[mixed])
         # What is late in a stretch is late in all its rows of the smallest document.
@@ -380,12 +389,9 @@ def _late_windows(data, begins, counts, keys, docs, width: int) -> np.ndarray:
 # The operator
 
 
-def late_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``row, found``: packed runs of late windows, by address of the row."""
-    texts = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("address"), "text"
-    )
-    texts = texts.where(F.octet_length("text") >= width)
+def late_runs(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``row, found``: packed runs of late windows of ``rows``, which are ``doc_id, text, address``."""
+    texts = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     key_ranges, text_ranges = 1 + size // KEY_RANGE, 1 + size // TEXT_RANGE
 
@@ -411,7 +417,7 @@ def late_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 known = [np.frombuffer(k, np.uint32) for k in part.column(3).to_pylist()]
                 open_ = np.isin(keys.astype(np.uint32), np.concatenate(known))
                 at, keys, owner = at[open_], keys[open_], owner[open_]
-                ids = part.column(0).to_numpy()[owner]
+                ids = part.column(0).fill_null(0).to_numpy()[owner]
                 rows = part.column(1).to_numpy().astype(np.uint64)[owner]
                 shard.add(data, at, keys, ids, rows, at - edges[owner] + base, width)
                 if shard.size > SHARD:
@@ -422,10 +428,12 @@ def late_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     revealed = texts.select("address", "text").mapInArrow(meet, _KEYS)
     revealed = revealed.groupBy("bucket").applyInArrow(_revealed(key_ranges), _BACK)
     revealed = revealed.groupBy("bucket").applyInArrow(_per_row(np.uint32, np.unique), _PER_ROW)
-    candidates = texts.join(revealed, F.col("address") == F.col("row")).select("doc", "address", "text", "found")
+    # All rows, as in the last join, so that texts are shuffled once.
+    candidates = rows.join(revealed, F.col("address") == F.col("row"))
+    candidates = candidates.select(F.col("doc_id").cast("long").alias("doc"), "address", "text", "found")
     late = candidates.mapInArrow(verify, _TEXTS)
     late = late.groupBy("bucket").applyInArrow(_merged(key_ranges, width), _BACK)
-    return written(late.groupBy("bucket").applyInArrow(_per_row(np.uint64, _joined_runs), _PER_ROW), "late")
+    return late.groupBy("bucket").applyInArrow(_per_row(np.uint64, _joined_runs), _PER_ROW)
 
 
 def _cut(part: pa.RecordBatch, width: int) -> pa.RecordBatch:
@@ -484,12 +492,9 @@ def byte_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for part in slices(batch):
                 yield _cut(part, width)
 
-    late = late_runs(docs, width)
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("__address"))
-    # A null id has an address too, but no run: no window of it was looked at.
-    rows = rows.join(late, F.col("__address") == F.col("row"), "left")
-    found = F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.col("found")).alias("found")
-    rows = rows.select("doc_id", "text", found)
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("address"))
+    # Rows without id or text have an address too, but no window of theirs was looked at.
+    rows = rows.join(late_runs(rows, width), F.col("address") == F.col("row"), "left").select("doc_id", "text", "found")
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary"
     return rows.mapInArrow(cut, schema)

@@ -89,8 +89,8 @@ def test_small_ranges_shards_and_pieces(spark, mixed, monkeypatch):
         group = group.filter(pc.equal(group.column("bucket"), b))
         back = suffix_dedup._revealed(3)(group)
         for r, k in zip(
-            np.frombuffer(b"".join(back.column("rows").to_pylist()), np.uint64).tolist(),
-            np.frombuffer(b"".join(back.column("found").to_pylist()), np.uint32).tolist(),
+            suffix_dedup._bytes(back, "rows", np.uint64).tolist(),
+            suffix_dedup._bytes(back, "found", np.uint32).tolist(),
         ):
             revealed.setdefault(r, set()).add(k)
     for batch in rows:
@@ -111,8 +111,8 @@ def test_small_ranges_shards_and_pieces(spark, mixed, monkeypatch):
         group = pa.Table.from_batches(shards)
         back = merge(group.filter(pc.equal(group.column("bucket"), b)))
         for r, run in zip(
-            np.frombuffer(b"".join(back.column("rows").to_pylist()), np.uint64).tolist(),
-            np.frombuffer(b"".join(back.column("found").to_pylist()), np.uint64).tolist(),
+            suffix_dedup._bytes(back, "rows", np.uint64).tolist(),
+            suffix_dedup._bytes(back, "found", np.uint64).tolist(),
         ):
             late.setdefault(r, set()).update(range(run >> 32, (run >> 32) + (run & 0xFFFFFFFF)))
     least = {}
