@@ -20,10 +20,22 @@ from postweave.plans.table_queries import (
 )
 from postweave.plans.text_queries import RULES
 from postweave.session import literal_rows, scratch_path
-from postweave.sources.rules import RuleSet, load_rules, rules_json
-from postweave.streaming.activity import run_live_stream, run_session_stream, stream_sessions
+from postweave.sources.rules import RULE_FILE_SCHEMA, RuleSet, flatten_rules, load_rules, rules_json
+from postweave.sources.snapshots import Published, publish
+from postweave.streaming.activity import (
+    closed_sessions,
+    open_sessions,
+    run_closed_sessions,
+    run_live_stream,
+    run_session_stream,
+    stream_sessions,
+)
 from postweave.streaming.posts import Refreshed, run_refreshing_stream, run_stream, stream_posts
 
+#: How late an event may come, and files in which they come.
+DELAY_SECONDS = 24 * 3600
+ARRIVALS = 6
+
 
 def _documents(spark, sf_dir):
     return stream_posts(
@@ -71,22 +83,42 @@ def _stream_normalize_classify(spark, sf_dir):
     return flat_heads(spark.read.parquet(sink))
 
 
-def _stream_refreshed_rules(spark, sf_dir):
-    """Two batches: rules, labels and weights change between them."""
-    source, live = scratch_path(spark, "two-files"), scratch_path(spark, "live")
+def _two_files(spark, sf_dir):
+    """The posts with even and those with odd ids, a file each, and a batch each."""
+    source = scratch_path(spark, "two-files")
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "source AS nickname", "text AS comment")
     for part in (0, 1):
         rows.where(F.col("id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
+    return stream_posts(spark, source, "id BIGINT, nickname STRING, comment STRING", maxFilesPerTrigger=1)
+
+
+def _version(spark, number: int):
+    """Rules, label names and weights of a version."""
+    text = rules_json({"incorrect": {"sentence": [["[aeiou]+", "_" if number == 0 else "#"]]}})
+    names = [("comment", k, f"v{number}-{name}") for k, name in enumerate(("no", "yes"))]
+    weights = [("_" if number == 0 else "#", 1, 5)]
+    return {
+        "rules": literal_rows(spark, "value STRING", [(text,)]),
+        "labels": literal_rows(spark, "head STRING, class_id INT, label STRING", names),
+        "weights": literal_rows(spark, "token STRING, class_id INT, weight INT", weights),
+    }
+
+
+def _fix_and_classify(batch, held):
+    rules, model, labels = held
+    fixed = batch.select("id", fix_words(F.lower("comment"), rules).alias("comment"))
+    done = classify(fixed, model, labels, "comment", options=WindowOptions(1 << 30))
+    return done.select("id", "comment", "comment_result.predicted")
+
+
+def _stream_refreshed_rules(spark, sf_dir):
+    """Two batches: rules, labels and weights change between them."""
+    live = scratch_path(spark, "live")
 
-    def publish(version: int) -> None:
-        """Rules, label names and weights of a version, in one folder."""
-        text = rules_json({"incorrect": {"sentence": [["[aeiou]+", "_" if version == 0 else "#"]]}})
-        literal_rows(spark, "value STRING", [(text,)]).write.mode("overwrite").text(f"{live}/rules")
-        names = [("comment", k, f"v{version}-{name}") for k, name in enumerate(("no", "yes"))]
-        labels = literal_rows(spark, "head STRING, class_id INT, label STRING", names)
-        labels.coalesce(1).write.mode("overwrite").parquet(f"{live}/labels")
-        weights = literal_rows(spark, "token STRING, class_id INT, weight INT", [("_" if version == 0 else "#", 1, 5)])
-        weights.coalesce(1).write.mode("overwrite").parquet(f"{live}/weights")
+    def publish(number: int) -> None:
+        for name, df in _version(spark, number).items():
+            writer = df.coalesce(1).write.mode("overwrite")
+            writer.text(f"{live}/{name}") if name == "rules" else writer.parquet(f"{live}/{name}")
 
     def load(session, path):
         labels = session.read.parquet(f"{path}/labels")
@@ -95,17 +127,33 @@ def _stream_refreshed_rules(spark, sf_dir):
 
     publish(0)
     current = Refreshed(spark, live, load)
+    sink, checkpoint = scratch_path(spark, "rules-sink"), scratch_path(spark, "rules-state")
+    run_refreshing_stream(
+        _two_files(spark, sf_dir),
+        current,
+        _fix_and_classify,
+        sink,
+        checkpoint,
+        after=lambda batch_id: publish(1) if batch_id == 0 else None,
+    ).awaitTermination()
+    return spark.read.parquet(sink).select("id", "comment", "predicted")
 
-    def transform(batch, held):
-        rules, model, labels = held
-        fixed = batch.select("id", fix_words(F.lower("comment"), rules).alias("comment"))
-        done = classify(fixed, model, labels, "comment", options=WindowOptions(1 << 30))
-        return done.select("id", "comment", "comment_result.predicted")
 
-    posts = stream_posts(spark, source, "id BIGINT, nickname STRING, comment STRING", maxFilesPerTrigger=1)
-    sink, checkpoint = scratch_path(spark, "rules-sink"), scratch_path(spark, "rules-state")
+def _stream_snapshots(spark, sf_dir):
+    """Two batches; the second version is published while the first is being loaded."""
+    root = scratch_path(spark, "snapshots")
+
+    def load(session, snapshot):
+        parsed = snapshot.table(session, "rules").select(F.from_json("value", RULE_FILE_SCHEMA).alias("rules"))
+        rules = RuleSet.collect(flatten_rules(parsed.select("rules.*")))
+        if snapshot.number == 0:
+            publish(session, root, _version(session, 1))
+        return rules, LexiconScorer(snapshot.table(session, "weights"), 2), snapshot.table(session, "labels")
+
+    publish(spark, root, _version(spark, 0))
+    sink, checkpoint = scratch_path(spark, "snapshots-sink"), scratch_path(spark, "snapshots-state")
     run_refreshing_stream(
-        posts, current, transform, sink, checkpoint, after=lambda batch_id: publish(1) if batch_id == 0 else None
+        _two_files(spark, sf_dir), Published(spark, root, load), _fix_and_classify, sink, checkpoint
     ).awaitTermination()
     return spark.read.parquet(sink).select("id", "comment", "predicted")
 
@@ -127,6 +175,32 @@ def _stream_sessions(spark, sf_dir):
     return stream_sessions(spark.read.parquet(sink), "user_id", GAP_SECONDS)
 
 
+def _late_events(spark, sf_dir):
+    """The events as a stream of files in which those of up to ``DELAY_SECONDS`` later may be
+    ahead: files go by time plus a shift that depends on the id."""
+    path = scratch_path(spark, "late-events")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    shifted = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 + F.col("event_id") * 7919 % DELAY_SECONDS
+    rows = rows.withColumn("arrival", shifted)
+    first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    part = F.floor((F.col("arrival") - F.lit(first)) / (F.lit(last) - F.lit(first) + 1) * ARRIVALS)
+    rows = rows.withColumn("part", part)
+    # One after the other: a stream takes files in the order they were written.
+    for k in range(ARRIVALS):
+        rows.where(F.col("part") == k).select("event_id", "ts", "user_id").coalesce(1).write.mode("append").parquet(path)
+    schema = "event_id BIGINT, ts " + rows.schema["ts"].dataType.simpleString() + ", user_id BIGINT"
+    return stream_posts(spark, path, schema, maxFilesPerTrigger=1)
+
+
+def _stream_closed(spark, sf_dir):
+    """Closed sessions as they were written, and those still open in the state."""
+    sink, checkpoint = scratch_path(spark, "closed"), scratch_path(spark, "closed-state")
+    events = _late_events(spark, sf_dir)
+    run_closed_sessions(events, "user_id", "ts", GAP_SECONDS, DELAY_SECONDS, sink, checkpoint).awaitTermination()
+    closed = spark.read.schema(closed_sessions(events, "user_id", "ts", GAP_SECONDS, DELAY_SECONDS).schema).parquet(sink)
+    return closed.unionByName(open_sessions(spark, checkpoint, "user_id", events.schema["ts"].dataType))
+
+
 def _stream_live(spark, sf_dir):
     sink, checkpoint = scratch_path(spark, "live-keys"), scratch_path(spark, "live-keys-state")
     run_live_stream(_events(spark, sf_dir), "user_id", "ts", TTL_SECONDS, sink, checkpoint).awaitTermination()
@@ -138,6 +212,8 @@ QUERIES: dict[str, Query] = {
     "stream_classify": Query(_stream_classify, HEADS_SQL),
     "stream_normalize_classify": Query(_stream_normalize_classify),
     "stream_refreshed_rules": Query(_stream_refreshed_rules, _refreshed_sql()),
+    "stream_snapshots": Query(_stream_snapshots, _refreshed_sql()),
+    "stream_closed_sessions": Query(_stream_closed, f"{SESSIONS_SQL} SELECT * FROM s"),
     "stream_sessions": Query(_stream_sessions, f"{SESSIONS_SQL} SELECT * FROM s"),
     "stream_live_keys": Query(_stream_live, LIVE_SQL),
 }

@@ -12,6 +12,7 @@ from postweave.operators.normalize import normalize
 from postweave.operators.scorers import Scorer
 from postweave.sources.manifest import data_version, manifest
 from postweave.sources.rules import RuleSet
+from postweave.sources.snapshots import Published
 
 
 def stream_posts(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -58,7 +59,8 @@ def run_stream(
 class Refreshed:
     """Something built from files, built again when the files change.
 
-    The version is compared before each use: one listing, no file contents.
+    The version is compared before each use: one listing, no file contents.  Files that change
+    while they are read may be of two versions; ``snapshots.Published`` rules that out.
     """
 
     def __init__(self, spark: SparkSession, path: str, load: Callable[[SparkSession, str], object]):
@@ -78,7 +80,7 @@ class Refreshed:
 
 def run_refreshing_stream(
     posts: DataFrame,
-    rules: Refreshed,
+    rules: Refreshed | Published,
     transform: Callable[[DataFrame, object], DataFrame],
     sink: str,
     checkpoint: str,
@@ -88,7 +90,7 @@ def run_refreshing_stream(
 ) -> StreamingQuery:
     """Stream that picks up changed rules, labels and weights between micro-batches.
 
-    ``rules`` holds whatever ``transform`` needs; ``after`` is called with the number of
+    ``rules.get()`` is whatever ``transform`` needs; ``after`` is called with the number of
     each batch that is written.
 
     Each batch is written to its own folder, overwritten when the batch is run
