@@ -27,16 +27,17 @@ def softmax(v: Column) -> Column:
 
 
 def mean_vectors(vectors: Column, width: int) -> Column:
-    """Mean of an array of vectors of ``width`` numbers, inside the row."""
+    """Mean of an array of vectors of ``width`` numbers, inside the row; null for an empty array."""
     zero = F.array_repeat(F.lit(0.0), width)
 
     def mean(all_of_row: Column) -> Column:
-        return F.aggregate(
+        total = F.aggregate(
             all_of_row,
             zero,
             lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
-            lambda acc: F.transform(acc, lambda total: total / F.size(all_of_row)),
+            lambda acc: F.transform(acc, lambda total: F.try_divide(total, F.size(all_of_row))),
         )
+        return F.when(F.size(all_of_row) > 0, total)
 
     return let(vectors, mean)
 

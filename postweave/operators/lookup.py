@@ -66,7 +66,8 @@ def lookup_tokens(
     Of a larger one only distinct ``(row, token)`` pairs meet the lexicon; what was
     found comes back to the row as a map and the text is rebuilt there.  Either way
     everything else in the text is untouched.  A null token matches nothing, a repeated
-    one has its smallest replacement, and one whose replacement is null stays.
+    one has its smallest replacement, and one whose replacement is null stays.  Both forms give
+    the same texts; ``key`` is not read.
     """
     cut = F.regexp_extract_all(text, F.lit(rf"{TOKEN}|[\p{{Z}}\s]+"), F.lit(0))
     # One row per token ahead of both forms, so that they agree on any lexicon.
@@ -76,8 +77,13 @@ def lookup_tokens(
         found = literal_lookup({token: new for token, new in few})
         parts = F.transform(cut, lambda t: F.coalesce(found(t), t))
         return df.withColumn(text, F.when(F.size(parts) > 0, F.array_join(parts, "")).otherwise(F.col(text)))
+    # What a row finds depends on its text alone.  Keyed by that, rows that repeat an id or have
+    # none keep their own tokens, and copies are looked up once.
+    df = df.withColumn("__content", F.sha2(text, 256))
+    names, key = df.columns[:-1], "__content"
+    tokens = df.where(F.col(text).isNotNull()).groupBy(key).agg(F.first(text).alias(text))
     # Distinct inside the row: no shuffle for it.
-    tokens = df.select(key, F.explode(F.array_distinct(cut)).alias("token"))
+    tokens = tokens.select(key, F.explode(F.array_distinct(cut)).alias("token"))
     found = lookup_join(
         tokens,
         entries,
@@ -106,5 +112,5 @@ def lookup_tokens(
     return (
         df.join(table, key, "left")
         .withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(rebuilt))
-        .select(*df.columns)
+        .select(*names)
     )

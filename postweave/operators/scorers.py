@@ -6,11 +6,14 @@ A scorer adds a column with the mean vector to a table that has an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,9 @@ from postweave.session import broadcast_if_small
 # Lexicons up to this many tokens are part of the plan; larger ones are a join.
 INLINE_TOKENS = 1_000
 
+#: Bytes of tokens, hashes and weights that every executor may hold for one lexicon.
+ARRAY_BYTES = 256 << 20
+
 
 class Scorer:
     """Base: window vectors inside the row, mean inside the row, no shuffle."""
@@ -45,18 +51,14 @@ class LexiconScorer(Scorer):
 
     ``weights`` is ``(token, class_id, weight)``.  A lexicon of at most
     ``INLINE_TOKENS`` tokens becomes a literal and scoring stays in the row.
-    A larger one is joined: broadcast if its measured size allows, else salted.
-    Both forms give the same vectors; weights with a null or with a class outside
+    A larger one is joined: broadcast if its measured size allows, else salted;
+    ``HashedLexiconScorer`` looks it up in the row instead.  Both forms give the same vectors; weights with a null or with a class outside
     ``0 .. n_classes - 1`` are refused before either is chosen.
     """
 
     def __init__(self, weights: DataFrame, n_classes: int, inline_tokens: int = INLINE_TOKENS):
         self.n_classes = n_classes
-        self.weights = weights.select("token", "class_id", "weight")
-        good = F.col("class_id").between(0, n_classes - 1) & F.col("weight").isNotNull()
-        bad = self.weights.where(F.col("token").isNull() | ~F.coalesce(good, F.lit(False))).first()
-        if bad is not None:
-            raise ValueError(f"weight with a null or a class outside 0..{n_classes - 1}: {bad.asDict()}")
+        self.weights = checked_weights(weights, n_classes)
         self.vectors: dict[str, list[int]] | None = None
         # One row per (token, class): reads no further than the bound.
         rows = self.weights.limit(inline_tokens * n_classes + 1).collect()
@@ -100,13 +102,117 @@ class LexiconScorer(Scorer):
     def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:
         if self.inline:
             return super().mean_probs(df, key, windows, out)
-        numbered = window_rows(df, [key], windows)
-        hits = token_hits(numbered, self.weights, [key, "window_no"], "left")
+        rows, distinct = by_content(df, windows)
+        numbered = window_rows(distinct, [CONTENT], windows)
+        hits = token_hits(numbered, self.weights, [CONTENT, "window_no"], "left")
         # A window without a known token has zero sums and so a uniform vector.
-        probs = window_vectors(hits, [key, "window_no"], self.n_classes)
-        means = mean_vector(probs, [key], "probs", out)
-        # The windows were cut for the hits alone: they are not shuffled.
-        return df.drop(windows).join(means, key, "left")
+        probs = window_vectors(hits, [CONTENT, "window_no"], self.n_classes)
+        means = mean_vector(probs, [CONTENT], "probs", out)
+        return rows.drop(windows).join(means, CONTENT, "left").drop(CONTENT)
+
+
+#: Digest of what a row's vector depends on.
+CONTENT = "__content"
+
+
+def by_content(df: DataFrame, windows: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a digest of its windows, and the distinct windows by digest.
+
+    A joined form groups by the digest, not by an id: rows that repeat an id keep their own
+    result, a null id is no special case, and copies are scored once.
+    """
+    rows = df.withColumn(CONTENT, F.sha2(F.to_json(windows), 256))
+    return rows, rows.where(F.col(CONTENT).isNotNull()).groupBy(CONTENT).agg(F.first(windows).alias(windows))
+
+
+def checked_weights(weights: DataFrame, n_classes: int) -> DataFrame:
+    """``token, class_id, weight``; a null or a class outside ``0 .. n_classes - 1`` is refused."""
+    weights = weights.select("token", "class_id", "weight")
+    good = F.col("class_id").between(0, n_classes - 1) & F.col("weight").isNotNull()
+    bad = weights.where(F.col("token").isNull() | ~F.coalesce(good, F.lit(False))).first()
+    if bad is not None:
+        raise ValueError(f"weight with a null or a class outside 0..{n_classes - 1}: {bad.asDict()}")
+    return weights
+
+
+class HashedLexiconScorer(Scorer):
+    """The vectors of ``LexiconScorer`` from arrays, for lexicons of millions of tokens.
+
+    The lexicon becomes a sorted array of token hashes with the tokens and their weights
+    beside it, read by every task.  The distinct tokens of an Arrow batch are looked up by
+    binary search and compared byte by byte, so a hash decides nothing.  Nothing is grouped or
+    joined and no id is needed: an append stream can use it.  A lexicon whose measured
+    size is beyond ``max_bytes`` is refused; ``LexiconScorer`` joins it.
+    """
+
+    def __init__(self, weights: DataFrame, n_classes: int, max_bytes: int = ARRAY_BYTES):
+        self.n_classes = n_classes
+        weights = checked_weights(weights, n_classes)
+        sums = [F.sum(F.when(F.col("class_id") == k, F.col("weight")).otherwise(0)).cast("long") for k in range(n_classes)]
+        tokens = weights.groupBy("token").agg(F.array(*sums).alias("weights"))
+        cost = F.octet_length("token") + 16 + 8 * n_classes
+        size = tokens.agg(F.sum(cost)).first()[0] or 0
+        if size > max_bytes:
+            raise ValueError(f"a lexicon of {size} bytes is beyond {max_bytes}: LexiconScorer joins it")
+        rows = tokens.toArrow()
+        arrays = _lexicon_arrays(rows.column("token").combine_chunks(), rows.column("weights").combine_chunks(), n_classes)
+        shared = weights.sparkSession.sparkContext.broadcast(arrays)
+
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def score(rows: pa.Array, _: pa.Array) -> pa.Array:
+            return _lexicon_means(rows, shared.value, n_classes)
+
+        self._score = score
+
+    def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:
+        # As for ArrowScorer, the second argument keeps the windows a column of their own.
+        return df.withColumn(out, self._score(F.col(windows), F.size(windows)))
+
+
+def _hashes(tokens: pa.Array, salt: str) -> np.ndarray:
+    return pd.util.hash_array(tokens.to_numpy(zero_copy_only=False).astype(object), hash_key=salt, categorize=False)
+
+
+def _lexicon_arrays(tokens: pa.Array, weights: pa.Array, n_classes: int) -> tuple:
+    """Tokens and weights in order of hashes that are distinct for them, and the salt of those."""
+    table = weights.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_classes)
+    for turn in range(100):
+        salt = f"{turn:016d}"
+        hashes = _hashes(tokens, salt)
+        order = np.argsort(hashes)
+        if len(np.unique(hashes)) == len(hashes):
+            return salt, hashes[order], tokens.take(pa.array(order)), table[order]
+    raise AssertionError("no salt tells the tokens apart")
+
+
+def _lexicon_means(rows: pa.Array, arrays: tuple, n_classes: int) -> pa.Array:
+    """Mean vector of each row's windows; null for a row without one."""
+    salt, hashes, known, table = arrays
+    per_row = pc.fill_null(pc.list_value_length(rows), 0).to_numpy()
+    windows = rows.flatten()
+    per_window = pc.fill_null(pc.list_value_length(windows), 0).to_numpy()
+    coded = windows.flatten().dictionary_encode()
+    place = np.zeros(len(coded.dictionary), np.int64)
+    found = np.zeros(len(coded.dictionary), bool)
+    if len(hashes) and len(place):
+        place = np.minimum(np.searchsorted(hashes, _hashes(coded.dictionary, salt)), len(hashes) - 1)
+        same = pc.equal(known.take(pa.array(place)), coded.dictionary.cast(known.type))
+        found = pc.fill_null(same, False).to_numpy(zero_copy_only=False)
+    index = pc.fill_null(coded.indices, -1).to_numpy()
+    window = np.repeat(np.arange(len(windows)), per_window)
+    hit = (index >= 0) & found[index] if len(found) else np.zeros(len(index), bool)
+    window, entry = window[hit], place[index[hit]]
+    logits = np.empty((len(windows), n_classes))
+    for k in range(n_classes):
+        logits[:, k] = np.bincount(window, table[entry, k] if len(entry) else None, minlength=len(windows))
+    scaled = np.exp(logits - logits.max(axis=1, keepdims=True)) if len(logits) else logits
+    probs = scaled / scaled.sum(axis=1, keepdims=True)
+    row = np.repeat(np.arange(len(rows)), per_row)
+    means = np.stack([np.bincount(row, probs[:, k], minlength=len(rows)) for k in range(n_classes)], axis=1)
+    means /= np.maximum(per_row, 1)[:, None]
+    offsets = np.arange(0, (len(rows) + 1) * n_classes, n_classes, dtype=np.int32)
+    out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(means.ravel()))
+    return pc.if_else(pa.array(per_row > 0), out, pa.scalar(None, out.type))
 
 
 def window_rows(df: DataFrame, keys: list[str], windows: str) -> DataFrame:
@@ -199,6 +305,76 @@ class ArrowScorer(Scorer):
         return df.withColumn(out, self._score(F.col(windows), F.size(windows)))
 
 
+#: The last models of this worker process, by scorer.
+_MODELS: dict[str, Callable] = {}
+
+
+def worker_model(name: str, make_model: Callable[[], Callable], keep: int = 2) -> Callable:
+    """The model of a scorer, made once per Python worker and kept for its later tasks."""
+    if name not in _MODELS:
+        while len(_MODELS) >= keep:
+            _MODELS.pop(next(iter(_MODELS)))
+        _MODELS[name] = make_model()
+    return _MODELS[name]
+
+
+class BatchScorer(Scorer):
+    """``ArrowScorer`` for models that are slow to load and pad their batches.
+
+    The model is made once per Python worker, not once per task.  The windows of an
+    Arrow batch are scored in order of length, so a batch is padded to little more than
+    its own windows, and the results go back to the places of their windows.  A batch holds
+    at most ``batch_size`` windows and ``batch_tokens`` tokens with the padding; a longer
+    window is a batch of its own.
+    """
+
+    def __init__(
+        self,
+        make_model: Callable[[], Callable[[list[str]], np.ndarray]],
+        n_classes: int,
+        batch_size: int = 64,
+        batch_tokens: int = 16_384,
+    ):
+        self.n_classes = n_classes
+        name = uuid.uuid4().hex
+
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            model = worker_model(name, make_model)
+            for rows, _ in batches:
+                yield _batched_means(rows, model, n_classes, batch_size, batch_tokens)
+
+        self._score = score
+
+    def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:
+        return df.withColumn(out, self._score(F.col(windows), F.size(windows)))
+
+
+def length_batches(lengths: np.ndarray, batch_size: int, batch_tokens: int) -> Iterator[np.ndarray]:
+    """Places of the windows of each batch: longest first, so that a first batch that fits means
+    all fit; equal lengths keep their order."""
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        longest = max(int(lengths[order[at]]), 1)
+        size = max(1, min(batch_size, batch_tokens // longest))
+        yield order[at : at + size]
+        at += size
+
+
+def _batched_means(rows: pa.Array, model: Callable, n_classes: int, batch_size: int, batch_tokens: int) -> pa.Array:
+    per_row = pc.fill_null(pc.list_value_length(rows), 0).to_numpy()
+    windows = rows.flatten()
+    lengths = pc.fill_null(pc.list_value_length(windows), 0).to_numpy()
+    texts = pc.binary_join(windows, " ")
+    probs = np.empty((len(windows), n_classes))
+    for places in length_batches(lengths, batch_size, batch_tokens):
+        probs[places] = model(texts.take(pa.array(places)).to_pylist())
+    ends = np.cumsum(per_row)
+    means = [probs[end - n : end].mean(axis=0).tolist() if n else None for end, n in zip(ends, per_row)]
+    return pa.array(means, pa.list_(pa.float64()))
+
+
 class MLScorer(Scorer):
     """Spark ML: hashed term frequencies and logistic regression.
 
@@ -236,13 +412,16 @@ class MLScorer(Scorer):
     def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        rows = window_rows(df, [key], windows).select(
-            key, F.array_join("tokens", " ").alias("__text")
+        keyed, distinct = by_content(df, windows)
+        rows = window_rows(distinct, [CONTENT], windows).select(
+            # The tokenizer may run ahead of the filter behind the outer form, and takes no null.
+            CONTENT,
+            F.coalesce(F.array_join("tokens", " "), F.lit("")).alias("__text"),
         )
         scored = self.model.transform(rows).select(
-            key, vector_to_array("probability").alias("__probs")
+            CONTENT, vector_to_array("probability").alias("__probs")
         )
-        return df.join(mean_vector(scored, [key], "__probs", out), key, "left")
+        return keyed.join(mean_vector(scored, [CONTENT], "__probs", out), CONTENT, "left").drop(CONTENT)
 
 
 def ranking(df: DataFrame, truth: str, score: str) -> DataFrame:

@@ -16,7 +16,15 @@ from postweave.functions.text import squeeze
 from postweave.functions.windows import MAX_TOKENS, WindowOptions, window_table
 from postweave.operators.catalogue import catalogues, categories
 from postweave.operators.classify import classify, classify_heads, combine_heads
-from postweave.operators.scorers import ArrowScorer, LexiconScorer, MLScorer, ranking, score_tokens
+from postweave.operators.scorers import (
+    ArrowScorer,
+    BatchScorer,
+    HashedLexiconScorer,
+    LexiconScorer,
+    MLScorer,
+    ranking,
+    score_tokens,
+)
 from postweave.plans.corpus import COMMENT, NICKNAME, documents, documents_sql, table
 from postweave.plans.registry import Query
 from postweave.plans.table_queries import VISIBLE_SQL, token_list_sql, windows_sql
@@ -198,6 +206,25 @@ def _arrow_model(spark, sf_dir):
     return flat(classify(rows, model, labels, "comment"), "comment", model.n_classes)
 
 
+def _batched_model(spark, sf_dir):
+    """As ``_arrow_model``, with the model kept in its worker and batches by length."""
+    rows, labels = documents(spark, sf_dir, comment="lower(text)"), label_table(spark, sf_dir)
+    vectors = scorer(spark, labels, "comment", inline_tokens=1_000).vectors
+    model = BatchScorer(_model_from(vectors, len(COMMENT_WEIGHTS)), len(COMMENT_WEIGHTS))
+    return flat(classify(rows, model, labels, "comment"), "comment", model.n_classes)
+
+
+def _hashed_lexicon(spark, sf_dir):
+    """The lexicon with a weight of nothing for every word of the documents: as many tokens as
+    the corpus has words."""
+    rows, labels = documents(spark, sf_dir, comment="lower(text)"), label_table(spark, sf_dir)
+    words = rows.select(F.explode(F.split("comment", r"\s+")).alias("token")).where("token <> ''").distinct()
+    nothing = words.select("token", F.lit(0).alias("class_id"), F.lit(0).alias("weight"))
+    weights = weight_table(spark, labels, "comment")
+    model = HashedLexiconScorer(weights.unionByName(nothing, allowMissingColumns=True), len(COMMENT_WEIGHTS))
+    return flat(classify(rows, model, labels, "comment"), "comment", model.n_classes)
+
+
 def posts_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, nickname=f"lower({NICKNAME})", comment=f"lower({COMMENT})")
 
@@ -348,6 +375,8 @@ QUERIES: dict[str, Query] = {
         _one_sql("comment", "lower(text)"),
     ),
     "classify_arrow_model": Query(_arrow_model, _one_sql("comment", "lower(text)")),
+    "classify_batched_model": Query(_batched_model, _one_sql("comment", "lower(text)")),
+    "classify_hashed_lexicon": Query(_hashed_lexicon, _one_sql("comment", "lower(text)")),
     "classify_labels_only": Query(
         _labels_only,
         f"{classify_sql(documents_sql(c='lower(text)'), 'comment', 'res', labels_only=True)} "
