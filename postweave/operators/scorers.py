@@ -387,9 +387,20 @@ class MLScorer(Scorer):
 
     @classmethod
     def fit(
-        cls, df: DataFrame, text: str, label: str, n_classes: int = 2, features: int = 1 << 14
+        cls,
+        df: DataFrame,
+        text: str,
+        label: str,
+        n_classes: int = 2,
+        features: int = 1 << 14,
+        few_words: bool = False,
     ) -> "MLScorer":
-        """Train on labelled rows; ``label`` holds class ids."""
+        """Train on labelled rows; ``label`` holds class ids.
+
+        Labels that show in the mix of words go by weighed shares of words.  ``few_words`` is for
+        labels that hang on a few words wherever they stand: presence of words alone
+        counts, and an L1 penalty leaves most of them out.
+        """
         from pyspark.ml import Pipeline
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
@@ -398,15 +409,19 @@ class MLScorer(Scorer):
         rows = df.select(
             F.array_join(words(F.lower(text)), " ").alias("__text"), F.col(label).cast("double").alias("__label")
         ).where(F.col("__text").isNotNull() & F.col("__label").isNotNull())
-        stages = [
-            RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\s+", minTokenLength=1),
-            HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features),
-            IDF(inputCol="__tf", outputCol="__weighed", minDocFreq=2),
-            Normalizer(inputCol="__weighed", outputCol="__features"),
-            LogisticRegression(
-                featuresCol="__features", labelCol="__label", maxIter=50, regParam=0.001
-            ),
-        ]
+        words_of = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\s+", minTokenLength=1)
+        counts = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features, binary=few_words)
+        learn = LogisticRegression(featuresCol="__tf", labelCol="__label")
+        if few_words:
+            stages = [words_of, counts, learn.setParams(maxIter=100, regParam=0.02, elasticNetParam=1.0)]
+        else:
+            stages = [
+                words_of,
+                counts,
+                IDF(inputCol="__tf", outputCol="__weighed", minDocFreq=2),
+                Normalizer(inputCol="__weighed", outputCol="__features"),
+                learn.setParams(featuresCol="__features", maxIter=50, regParam=0.001),
+            ]
         return cls(Pipeline(stages=stages).fit(rows), n_classes)
 
     def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:

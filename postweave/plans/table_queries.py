@@ -37,9 +37,11 @@ from postweave.plans.corpus import (
 from postweave.plans.registry import Query
 from postweave.plans.text_queries import marks_sql, on, upper_tags_sql
 from postweave.session import scratch_path
+from postweave.sources.incremental import SOURCE, IncrementalRun
 from postweave.sources.manifest import data_version, scan_manifest, without_names
 from postweave.sources.posts import explode_request, read_labels, read_posts, read_testset
 from postweave.sources.rules import load_faces, load_pairs, load_rules, load_tags
+from postweave.sources.snapshots import remove
 
 # --- sources: files that Spark derives from the tables ----------------------------
 
@@ -171,14 +173,57 @@ def _input_manifest(spark, sf_dir):
 
 
 def _input_version(spark, sf_dir):
-    """A version per table.  It differs between copies of the files, so what is given out is
-    its length, and the bytes and files only as far as SQL knows them."""
-    versions = data_version(_scanned(spark, sf_dir), ["table"])
-    return versions.select(
-        "table", F.length("version").alias("version_length"), (F.col("n_bytes") > 0).alias("has_bytes")
+    """A version per table, told by what it does, since it differs between copies of the files: the
+    same for the same files, another one for each table and after a change of time or size."""
+    files = _scanned(spark, sf_dir)
+    versions = data_version(files, ["table"])
+    changed = files.withColumn("modificationTime", F.expr("modificationTime + INTERVAL 1 SECOND"))
+    grown = files.withColumn("length", F.col("length") + 1)
+    renamed = lambda df, name: data_version(df, ["table"]).select("table", F.col("version").alias(name))
+    rows = files.groupBy("table").agg(F.sum("n_rows").alias("n_rows"))
+    once = versions.groupBy("version").agg(F.count("*").alias("tables"))
+    return (
+        versions.join(once, "version")
+        .join(renamed(files, "again"), "table")
+        .join(renamed(changed, "touched"), "table")
+        .join(renamed(grown, "grown"), "table")
+        .join(rows, "table")
+        .select(
+            "table",
+            "n_rows",
+            F.length("version").alias("version_length"),
+            (F.col("tables") == 1).alias("own_version"),
+            (F.col("version") == F.col("again")).alias("stable"),
+            ((F.col("version") != F.col("touched")) & (F.col("version") != F.col("grown"))).alias("sees_changes"),
+        )
     )
 
 
+def _incremental(spark, sf_dir):
+    """Documents as six files; between two runs one changes, one goes and one is added."""
+    source, root = scratch_path(spark, "incremental-in"), scratch_path(spark, "incremental")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def put(part: int, rows) -> None:
+        rows.where(F.col("doc_id") % 6 == part).coalesce(1).write.mode("overwrite").parquet(f"{source}/part{part}")
+
+    def transform(docs):
+        return docs.select(
+            F.col("doc_id").alias("id"), F.length("text").alias("n_chars"), F.concat(F.lit("<"), "text", F.lit(">")).alias("marked"), SOURCE
+        )
+
+    job = IncrementalRun(spark, source, "doc_id BIGINT, text STRING", root, transform)
+    for part in range(5):
+        put(part, rows.withColumn("text", F.lit("an earlier text")) if part == 1 else rows)
+    job.run()
+    put(1, rows)
+    put(5, rows)
+    remove(spark, f"{source}/part4")
+    changed = job.run()
+    names = ("added", "changed", "removed", "same")
+    return job.result().select("*", *[F.lit(changed[name]).alias(f"files_{name}") for name in names])
+
+
 def _exclude_names(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source")
     return without_names(rows, "source", ["src0", "src3"])
@@ -482,9 +527,17 @@ QUERIES: dict[str, Query] = {
     "input_version": Query(
         _input_version,
         " UNION ALL ".join(
-            f"SELECT '{t}' AS \"table\", 32 AS version_length, true AS has_bytes FROM (SELECT count(*) FROM {t})" for t in TABLES
+            f"SELECT '{t}' AS \"table\", count(*) AS n_rows, 32 AS version_length, true AS own_version, true AS stable, "
+            f"true AS sees_changes FROM {t}"
+            for t in TABLES
         ),
     ),
+    # A file that is written again has another name: the old one goes, the new one is added.
+    "incremental_run": Query(
+        _incremental,
+        "SELECT doc_id AS id, CAST(length(text) AS INTEGER) AS n_chars, '<' || text || '>' AS marked, 2 AS files_added, "
+        "0 AS files_changed, 2 AS files_removed, 3 AS files_same FROM documents WHERE doc_id % 6 <> 4",
+    ),
     "exclude_names": Query(
         _exclude_names, "SELECT doc_id, source FROM documents WHERE source NOT IN ('src0', 'src3')"
     ),

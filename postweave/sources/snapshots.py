@@ -82,14 +82,19 @@ def _created(spark: SparkSession, path: str, line: str) -> bool:
     return True
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store ``path`` names; nothing happens if there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_old(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
     """Remove all but the last ``keep`` versions; the numbers removed."""
     rows = commits(spark, root).orderBy("number").collect()
     gone = rows[: max(len(rows) - max(keep, 1), 0)]
     for row in gone:
         for path in (f"{root}/commits/{row['number']:012d}", f"{root}/versions/{row['id']}"):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove(spark, path)
     return [row["number"] for row in gone]
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postweave.operators.activity import activity_sessions, expire_keys, merge_sessions
+from postweave.sources.snapshots import remove
 
 SESSION_COLUMNS = ("session_start", "session_end", "n_events")
 
@@ -109,13 +110,22 @@ def open_sessions(spark: SparkSession, checkpoint: str, key: str, kind: T.DataTy
 
 
 def run_live_stream(
-    events: DataFrame, key: str, ts: str, ttl_seconds: float, sink: str, checkpoint: str, trigger: Mapping | None = None
+    events: DataFrame,
+    key: str,
+    ts: str,
+    ttl_seconds: float,
+    sink: str,
+    checkpoint: str,
+    trigger: Mapping | None = None,
+    keep: int = 2,
 ) -> StreamingQuery:
     """Keep the latest event of each live key: version ``n`` of the table is written by
     batch ``n`` from the version before and the batch.
 
     ``now`` is the latest event time seen; a key whose last event is ``ttl_seconds`` or
-    more before it has expired and leaves the table, so the table holds live keys only.
+    more before it has expired and leaves the table, so the table holds live keys only.  The
+    last ``keep`` versions stay, two at least: the one before is what a batch that is run
+    again starts from.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -124,6 +134,8 @@ def run_live_stream(
         if batch_id:
             latest = latest.unionByName(spark.read.parquet(f"{sink}/version={batch_id - 1}"))
         expire_keys(latest, key, ttl_seconds).write.mode("overwrite").parquet(f"{sink}/version={batch_id}")
+        if batch_id >= max(keep, 2):
+            remove(spark, f"{sink}/version={batch_id - max(keep, 2)}")
 
     return (
         events.writeStream.foreachBatch(write)

@@ -6,10 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from postweave.operators.activity import activity_sessions
+from postweave.operators.activity import activity_sessions, live_keys
 from postweave.session import literal_rows
 from postweave.sources.snapshots import Published, commits, current, drop_old, publish
-from postweave.streaming.activity import open_sessions, run_closed_sessions
+from postweave.streaming.activity import open_sessions, run_closed_sessions, run_live_stream
 
 START = datetime(2024, 5, 1)
 KIND = "k STRING, ts TIMESTAMP"
@@ -113,3 +113,19 @@ def test_commits_are_numbered_once_and_torn_ones_are_not_seen(spark, tmp_path):
     assert drop_old(spark, root, keep=1) == [0, 1]
     assert [r["number"] for r in commits(spark, root).collect()] == [3]
     assert versions_read(spark, current(spark, root)) == [2] * 3
+
+
+def test_live_keys_hold_few_versions(spark, tmp_path):
+    source, sink, checkpoint = (str(tmp_path / name) for name in ("in", "out", "state"))
+    rows = [r for r in events() if r[0]]
+    for at, part in enumerate(out_of_order(rows, 6, 100)):
+        arrive(spark, source, part)
+        if at in (3, 5):
+            stream = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(source)
+            run_live_stream(stream, "k", "ts", 90, sink, checkpoint).awaitTermination()
+    versions = sorted(int(p.name[8:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("version="))
+    assert versions == [4, 5]
+    last = max(ts for _, ts in rows)
+    want = live_keys(spark.createDataFrame(rows, KIND), "k", "ts", last, 90)
+    found = spark.read.parquet(f"{sink}/version=5")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
