@@ -40,6 +40,7 @@ from postweave.session import scratch_path
 from postweave.sources.incremental import SOURCE, IncrementalRun
 from postweave.sources.manifest import data_version, scan_manifest, without_names
 from postweave.sources.posts import explode_request, read_labels, read_posts, read_testset
+from postweave.sources.quarantine import checked_posts, reason_counts
 from postweave.sources.rules import load_faces, load_pairs, load_rules, load_tags
 from postweave.sources.snapshots import remove
 
@@ -58,6 +59,38 @@ def _read_posts_json(spark, sf_dir):
     return read_posts(spark, path, "json")
 
 
+# Six kinds of lines by id; only the first is a post.
+_LINES = [
+    "to_json(named_struct('id', doc_id, 'nickname', source, 'comment', text))",
+    "to_json(named_struct('id', doc_id, 'comment', text))",
+    "to_json(named_struct('id', doc_id, 'nickname', n_chars, 'comment', array(text)))",
+    "left(to_json(named_struct('id', doc_id, 'nickname', source, 'comment', text)), 20)",
+    "concat('[', doc_id, ']')",
+    "concat('{\"nickname\": null, \"comment\": \"', lang, '\", \"id\": \"', doc_id, '\", \"more\": 1}')",
+]
+
+
+def _checked_lines(spark, sf_dir):
+    kinds = " ".join(f"WHEN {k} THEN {line}" for k, line in enumerate(_LINES))
+    lines = table(spark, sf_dir, "documents").selectExpr("doc_id", f"CASE doc_id % {len(_LINES)} {kinds} END AS value")
+    return checked_posts(lines)
+
+
+def _quarantine(spark, sf_dir):
+    """Every line once, as a post or with its reasons."""
+    checked = _checked_lines(spark, sf_dir)
+    reasons = F.array_join("reasons", ", ").alias("reasons")
+    return checked.select("doc_id", "id", "nickname", "comment", reasons)
+
+
+_QUARANTINE_SQL = """
+SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN doc_id END AS id, CASE WHEN doc_id % 6 = 0 THEN source END AS nickname,
+       CASE WHEN doc_id % 6 = 0 THEN text END AS comment,
+       ['', 'nickname: missing', 'nickname: not text, comment: not text', 'malformed', 'not an object',
+        'id: not an integer, nickname: null'][doc_id % 6 + 1] AS reasons
+FROM documents"""
+
+
 def _explode_request(spark, sf_dir):
     requests = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
@@ -486,6 +519,12 @@ QUERIES: dict[str, Query] = {
         _read_posts, "SELECT doc_id AS id, source AS nickname, text AS comment FROM documents"
     ),
     "read_posts_json": Query(_read_posts_json, POSTS_SQL),
+    "quarantine_posts": Query(_quarantine, _QUARANTINE_SQL),
+    "quarantine_reasons": Query(
+        lambda spark, sf_dir: reason_counts(_checked_lines(spark, sf_dir)),
+        f"SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ', ')) AS reason FROM ({_QUARANTINE_SQL})) "
+        "WHERE reason <> '' GROUP BY reason",
+    ),
     "explode_request": Query(
         _explode_request,
         "SELECT doc_id AS id, 0 AS item_no, source AS nickname, text AS comment FROM documents "
