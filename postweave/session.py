@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -52,11 +53,13 @@ def local_session(
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; where it is unset the
-    warehouse, which is shared too, holds it.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset the warehouse
+    holds it, but only if all runs in one process: a cluster's executors may not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

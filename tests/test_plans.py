@@ -7,6 +7,7 @@ import re
 import pytest
 
 from postweave.plans import all_queries
+from postweave.session import scratch_path
 from tests.conftest import SMALL
 
 QUERIES = all_queries()
@@ -48,3 +49,19 @@ def test_scans_read_only_what_they_need(spark, name):
 def test_no_cross_joins(spark, name):
     plan = plan_of(QUERIES[name].run(spark, SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scratch_is_refused_where_executors_may_not_see_it():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return "/local/warehouse" if "warehouse" in key else default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session, "x")
+    Session.sparkContext.master = "local[4]"
+    assert scratch_path(Session, "x").startswith("/local/warehouse/scratch/x-")
