@@ -12,16 +12,17 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
-from postweave.llm.words import _hashes, raw, words
+from postweave.llm.words import raw, words
 
 #: Distinct segments kept per Python worker before the memory of them starts anew.
 MEMORY = 800_000
+#: Their bytes, too: a text without white space is one segment.
+MEMORY_BYTES = 32 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13, 28, 29, 30, 31]] = True
@@ -89,12 +90,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known = np.zeros(0, np.uint64)
-        self._place = np.zeros(0, np.int64)
+        self._known: dict[bytes, int] = {}
+        self._bytes = 0
         self._counts = np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, texts: list[str]) -> None:
         model, counts, found = tokenizer(self._path), [], [self._flat]
         ranked = _ranked(self._ranks).encode_ordinary if self._ranks else None
         for i in range(0, len(texts), 20_000):
@@ -110,35 +111,21 @@ class Encoder:
             counts.extend(map(len, ids))
             if self._keep:
                 found.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        place = np.arange(len(self._counts), len(self._counts) + len(texts))
         self._counts = np.concatenate([self._counts, np.asarray(counts, np.int64)])
         self._flat = np.concatenate(found)
-        known = np.concatenate([self._known, keys])
-        order = np.argsort(known, kind="stable")
-        self._known = known[order]
-        self._place = np.concatenate([self._place, place])[order]
 
     def encode(self, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per segment the number of ids, per text its first segment, and all ids in turn."""
         data, start, end, first = cut
-        codes, keys = pd.factorize(_hashes(data, start, end))
-        if len(self._known) > MEMORY:
+        codes, found = _distinct(data, start, end)
+        if len(self._known) > MEMORY or self._bytes > MEMORY_BYTES:
             self._forget()
-        fresh = np.ones(len(keys), bool)
-        if len(self._known):
-            at = np.minimum(np.searchsorted(self._known, keys), len(self._known) - 1)
-            fresh = self._known[at] != keys
-        if fresh.any():
-            sample = np.empty(len(keys), np.int64)
-            sample[codes[::-1]] = np.arange(len(codes))[::-1]
-            order = np.flatnonzero(fresh)[np.argsort(keys[fresh])]
-            rows, buffer = sample[order], data.tobytes()
-            texts = [
-                buffer[a:b].decode("utf-8", "replace")
-                for a, b in zip(start[rows].tolist(), end[rows].tolist())
-            ]
-            self._learn(keys[order], texts)
-        which = self._place[np.searchsorted(self._known, keys)][codes]
+        fresh = [s for s in found if s not in self._known]
+        if fresh:
+            self._learn([s.decode("utf-8", "replace") for s in fresh])
+            self._known.update(zip(fresh, range(len(self._counts) - len(fresh), len(self._counts))))
+            self._bytes += sum(map(len, fresh))
+        which = np.fromiter(map(self._known.__getitem__, found), np.int64, len(found))[codes]
         sizes = self._counts[which]
         if not self._keep:
             return sizes, first, np.zeros(0, np.uint32)
@@ -149,6 +136,23 @@ class Encoder:
         return sizes, first, ids
 
 
+def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of each span its place among the distinct ones, and these as bytes."""
+    size = end - start
+    edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    if len(start) and (start[1:] == end[:-1]).all():
+        joined = data[start[0] : end[-1]]
+    else:
+        # What is between the spans is left out.
+        step = np.zeros(len(data) + 1, np.int8)
+        step[start] += 1
+        step[end] -= 1
+        joined = data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+    buffers = [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(joined))]
+    spans = pa.Array.from_buffers(pa.large_binary(), len(start), buffers).dictionary_encode()
+    return spans.indices.to_numpy(), spans.dictionary.to_pylist()
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, ids: bool, ranks: str | None = None) -> Encoder:
     return Encoder(path, ids, ranks)

@@ -8,6 +8,7 @@ handled as one byte buffer: no Python statement runs per word or per document.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,11 @@ _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-#: An odd base for polynomial hashes modulo 2**64 and its inverse.
+#: An odd base for the hashes of a few words in turn.
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_PLACE, _SIZE = np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
+#: What of eight bytes stays when 0 to 8 of them belong to a span.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,22 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of one base modulo 2**64, grown on demand and kept per process."""
-
-    def __init__(self, base: int):
-        self._base, self._known = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        while len(self._known) < n:
-            step = np.uint64(pow(self._base, len(self._known), 1 << 64))
-            self._known = np.concatenate([self._known, self._known * step])
-        return self._known[:n]
-
-
-_UP, _DOWN = _Powers(_BASE), _Powers(_BASE_INVERSE)
-
-
 def raw(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Byte buffer and the ``n + 1`` offsets of a text column; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -70,9 +57,12 @@ class Words:
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
     first: np.ndarray  # n + 1: words of document i are first[i] .. first[i + 1]
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return _hashes(self.data, self.start, self.end)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -98,7 +88,7 @@ def words(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     ends[lasts] = inside[lasts]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
-    return Words(data, start, end, _hashes(data, start, end), first)
+    return Words(data, start, end, first)
 
 
 #: Bytes hashed at once; a longer word is hashed alone.
@@ -107,23 +97,33 @@ _BLOCK = 1 << 19
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each span; spans are in order.  It does not depend on the span's place, so
-    blocks of spans are hashed one after the other in little memory."""
+    blocks of spans are hashed one after the other in little memory.
+
+    Eight bytes at a time are spread, then spread again with their number in the span, and
+    added up.  Unlike a polynomial, that has no short words which agree by construction.
+    """
     out = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
         first = int(start[at])
         to = max(at + 1, int(np.searchsorted(end, first + _BLOCK, side="right")))
-        n = int(end[to - 1]) - first
-        total = np.zeros(n + 1, np.uint64)
-        total[1:] = data[first : first + n]
-        total[1:] += np.uint64(1)
-        total[1:] *= _UP.upto(n)
-        np.cumsum(total[1:], out=total[1:])
-        begin, stop = start[at:to] - first, end[at:to] - first
-        value = (total[stop] - total[begin]) * _DOWN.upto(max(n, 1))[np.minimum(begin, max(n - 1, 0))]
-        out[at:to] = value + (stop - begin).astype(np.uint64)
+        out[at:to] = _block_hashes(data[first : int(end[to - 1])], start[at:to] - first, end[at:to] - first)
         at = to
-    return mix(out)
+    return out
+
+
+def _block_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    pieces = np.maximum((size + 7) >> 3, 1)
+    begins = np.cumsum(pieces) - pieces
+    number = np.arange(int(pieces.sum())) - np.repeat(begins, pieces)
+    place = np.repeat(start, pieces) + 8 * number
+    inside = np.minimum(np.repeat(end, pieces) - place, 8)
+    spread = mix(eights[place] & _MASKS[inside])
+    spread += (number + 1).astype(np.uint64) * _PLACE
+    return mix(np.add.reduceat(mix(spread), begins) + size.astype(np.uint64) * _SIZE)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
