@@ -15,9 +15,11 @@ with the second factor only for shared classes and the third only for their rest
 words of a class plus one unseen sum to one.
 
 The classes are trained by noise-contrastive estimation and the turns by their
-likelihood, on every training token: each task starts from the same weights, passes once
-over its texts, and the weights are averaged, those of a symbol or turn by how often a
-task has met it, all others by tokens.  Scoring normalises exactly: the classes by
+likelihood, on every training token.  Texts are dealt to shares by their content, as many
+shares as the tokens make; a share starts from the same weights as any other and passes
+once over its texts, in the order of their hashes.  The weights of all shares are averaged,
+those of a symbol or turn by how often a share has met it, all others by tokens.  So the
+layout of the input has no part in a score.  Scoring normalises exactly: the classes by
 products of whole blocks of contexts with all classes, the turns because two of them
 sum to one.
 
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.llm.common import fold, read_table, slices, written
+from postweave.llm.common import fold, read_table, slices, small_batches, written
 from postweave.llm.words import Words, mix, words
 
 FOLDS, HELD_OUT = 7, 2
@@ -49,6 +51,12 @@ CONTEXT, WIDTH = 3, 16
 #: A count of at least N / HEAD is looked up in the task: that holds for at most HEAD words.
 HEAD = 500_000
 BATCH, NOISE, RATE = 2048, 64, 0.15
+#: Exponents up to this are safe in single precision, over all classes.
+EXPONENT = 60
+#: Training tokens of one share, about: enough to learn from, whatever the input's files are.
+SHARE_TOKENS = 1 << 23
+#: Equal contexts with equal targets of a batch count as one row, up to this many.
+ALIKE = 16
 #: Rows of weights that are averaged at once.
 BLOCK = 256
 #: Distinct words that a task holds before it passes their counts on.
@@ -217,16 +225,19 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 @dataclass
 class Model:
     """``seen`` (S, d) of context symbols, a map (d, d) per place before, ``said`` (K, d) and
-    ``bias`` of predicted classes, ``turned`` (M, d) and ``odds`` of the trees' nodes."""
+    ``bias`` of predicted classes, ``turned`` (M, d + 1) of the trees' nodes, odds last."""
 
     seen: np.ndarray
     maps: np.ndarray
     said: np.ndarray
     bias: np.ndarray
     turned: np.ndarray
-    odds: np.ndarray
     leaves: Leaves
 
+    @property
+    def odds(self) -> np.ndarray:
+        return self.turned[:, WIDTH]
+
     def tables(self) -> np.ndarray:
         return np.einsum("kd,jde->jke", self.seen, self.maps).astype(np.float32)
 
@@ -234,14 +245,14 @@ class Model:
         """All weights as rows of ``WIDTH + 1``: seen, turned, said, maps."""
         zeros = lambda x: np.zeros((len(x), 1), np.float32)
         flat = self.maps.reshape(-1, WIDTH)
-        parts = [(self.seen, zeros(self.seen)), (self.turned, self.odds[:, None]), (self.said, self.bias[:, None]), (flat, zeros(flat))]
+        parts = [(self.seen, zeros(self.seen)), (self.turned,), (self.said, self.bias[:, None]), (flat, zeros(flat))]
         return np.concatenate([np.hstack(p) for p in parts])
 
     def with_rows(self, rows: np.ndarray) -> Model:
         seen, turned, said, maps = np.split(rows, np.cumsum([len(self.seen), len(self.turned), CLASSES]))
         maps = np.ascontiguousarray(maps[:, :WIDTH]).reshape(self.maps.shape)
-        seen, vectors, words_ = (np.ascontiguousarray(x[:, :WIDTH]) for x in (seen, turned, said))
-        return Model(seen, maps, words_, said[:, WIDTH].copy(), vectors, turned[:, WIDTH].copy(), self.leaves)
+        seen, words_ = (np.ascontiguousarray(x[:, :WIDTH]) for x in (seen, said))
+        return Model(seen, maps, words_, said[:, WIDTH].copy(), np.ascontiguousarray(turned), self.leaves)
 
 
 def new_model(shares: np.ndarray, trees: Leaves = NO_WORDS, seed: int = 3) -> Model:
@@ -251,8 +262,9 @@ def new_model(shares: np.ndarray, trees: Leaves = NO_WORDS, seed: int = 3) -> Mo
     said = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
     # A word starts as its class does, so that one met a few times is no worse known.
     seen = seen[trees.outer]
-    turned = np.zeros((len(trees.odds), WIDTH), np.float32)
-    return Model(seen, maps, said, np.log(shares).astype(np.float32), turned, trees.odds.copy(), trees)
+    turned = np.zeros((len(trees.odds), WIDTH + 1), np.float32)
+    turned[:, WIDTH] = trees.odds
+    return Model(seen, maps, said, np.log(shares).astype(np.float32), turned, trees)
 
 
 def sequence(w: Words, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,26 +291,30 @@ class Trainer:
         self._noise = np.log(shares * NOISE).astype(np.float32)
         self._edges = np.cumsum(shares)[:-1]
         self._whole = [model.maps, model.said, model.bias]
-        self._parts = [model.seen, model.turned, model.odds]
+        self._parts = [model.seen, model.turned]
         self._squares = [np.full(x.shape, 1e-3, np.float32) for x in self._whole]
         # One step width for all weights of a symbol or turn.
         self._part_squares = [np.full(len(x), 1e-3, np.float32) for x in self._parts]
-        self.met_symbols, self.met_nodes = np.zeros(len(model.seen)), np.zeros(len(model.odds))
+        self.met_symbols, self.met_nodes = np.zeros(len(model.seen)), np.zeros(len(model.turned))
 
-    def step(self, before: np.ndarray, target: np.ndarray) -> None:
+    def step(self, before: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+        """One step on rows of contexts and targets that weigh ``weight``."""
         m, n = self.model, len(target)
         symbols, target = target, m.leaves.outer[target]
+        share = (weight / weight.sum()).astype(np.float32)
         rows = [m.seen.take(b, 0) for b in before]
-        guess = sum(r @ c for r, c in zip(rows, m.maps))
+        guess = np.ones((n, WIDTH + 1), np.float32)
+        guess[:, :WIDTH] = sum(r @ c for r, c in zip(rows, m.maps))
+        wide, guess = guess, np.ascontiguousarray(guess[:, :WIDTH])
         noise = np.searchsorted(self._edges, self._rng.random(NOISE))
         said = m.said.take(target, 0)
         real = np.einsum("ij,ij->i", guess, said) + (m.bias - self._noise)[target]
         false = guess @ m.said[noise].T + (m.bias - self._noise)[noise]
-        g_real = (0.5 * np.tanh(0.5 * real) - 0.5).astype(np.float32) / n
+        g_real = (0.5 * np.tanh(0.5 * real) - 0.5).astype(np.float32) * share
         false *= np.float32(0.5)
         g_false = np.tanh(false, out=false)
         g_false += np.float32(1)
-        g_false *= np.float32(0.5 / n)
+        g_false *= (np.float32(0.5) * share)[:, None]
         g_guess = g_real[:, None] * said + g_false @ m.said[noise]
         g_said = _scatter(target, g_real[:, None] * guess, CLASSES)
         np.add.at(g_said, noise, g_false.T @ guess)
@@ -307,53 +323,80 @@ class Trainer:
         owner, at = m.leaves.turns(symbols)
         if len(owner):
             node, sign = m.leaves.nodes[at], m.leaves.signs[at]
-            mine, turned = guess.take(owner, 0), m.turned.take(node, 0)
-            way = np.einsum("ij,ij->i", mine, turned) + m.odds.take(node)
-            g_way = (0.5 * np.tanh(0.5 * sign * way) - 0.5).astype(np.float32) * sign / np.float32(n)
+            mine, turned = wide.take(owner, 0), m.turned.take(node, 0)
+            way = np.einsum("ij,ij->i", mine, turned)
+            way *= sign
+            way *= np.float32(0.5)
+            g_way = np.tanh(way, out=way)
+            g_way -= np.float32(1)
+            g_way *= np.float32(0.5) * sign * share.take(owner)
             turned *= g_way[:, None]
-            g_guess += _scatter(owner, turned, n).astype(np.float32)
+            # The turns of one token stand together.
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            g_guess[owner[first]] += np.add.reduceat(turned, first)[:, :WIDTH]
             mine *= g_way[:, None]
             codes, some = pd.factorize(node)
-            self.met_nodes[some] += np.bincount(codes)
+            self.met_nodes[some] += np.bincount(codes, weight.take(owner))
             self._move(1, some, _scatter(codes, mine, len(some)))
-            self._move(2, some, np.bincount(codes, g_way))
         g_maps = np.stack([r.T @ g_guess for r in rows])
         codes, some = pd.factorize(before.ravel())
-        self.met_symbols[some] += np.bincount(codes)
+        self.met_symbols[some] += np.bincount(codes, np.tile(weight, CONTEXT))
         self._move(0, some, _scatter(codes, np.concatenate([g_guess @ c.T for c in m.maps]), len(some)))
         for x, g, s in zip(self._whole, (g_maps, g_said, g_bias), self._squares):
             g = g.astype(np.float32)
             s += g * g
             x -= RATE * g / np.sqrt(s)
-        self.seen += n
+        self.seen += weight.sum()
 
     def _move(self, part: int, some: np.ndarray, g: np.ndarray) -> None:
         g = g.astype(np.float32)
-        size = np.einsum("ij,ij->i", g, g) / np.float32(WIDTH) if g.ndim > 1 else g * g
-        squares = self._part_squares[part].take(some) + size
+        squares = self._part_squares[part].take(some) + np.einsum("ij,ij->i", g, g) / np.float32(WIDTH)
         self._part_squares[part][some] = squares
-        rate = np.float32(RATE) / np.sqrt(squares)
+        g *= (np.float32(RATE) / np.sqrt(squares))[:, None]
         x = self._parts[part]
-        x[some] = x.take(some, 0) - g * (rate[:, None] if g.ndim > 1 else rate)
+        x[some] = x.take(some, 0) - g
 
     def met(self) -> np.ndarray:
         """How much each of the model's ``rows`` weighs among those of other tasks."""
         others = np.full(CLASSES + CONTEXT * WIDTH, float(self.seen))
         return np.concatenate([self.met_symbols, self.met_nodes, others])
 
-    def learn(self, tokens: np.ndarray, text: np.ndarray) -> None:
+    def learn(self, tokens: np.ndarray, text: np.ndarray, copies: np.ndarray | None = None) -> None:
+        """One pass in shuffled batches of ``BATCH`` tokens; ``copies`` says how often each
+        text counts."""
         before = contexts(tokens, text)
-        order = self._rng.permutation(len(tokens))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            self.step(before[:, some], tokens[some])
+        weight = np.ones(len(tokens)) if copies is None else copies[text].astype(float)
+        first, rows = _alike(before, tokens)
+        weight, size = np.add.reduceat(weight[rows], first), np.diff(np.append(first, len(rows)))
+        rows = rows[first]
+        order = self._rng.permutation(len(rows))
+        ends = np.cumsum(size[order])
+        cuts = np.searchsorted(ends, np.arange(BATCH, ends[-1] + BATCH, BATCH), side="left") + 1
+        for at, to in zip([0, *cuts.tolist()], cuts.tolist()):
+            some = order[at:to]
+            if len(some):
+                self.step(before[:, rows[some]], tokens[rows[some]], weight[some])
+
+
+def _alike(before: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All rows, those with equal context and target side by side, and where groups of at
+    most ``ALIKE`` of these begin."""
+    codes, wide = target, CLASSES + int(max(before.max(), target.max()))
+    for b in before:
+        codes, found = pd.factorize(codes * wide + b)
+    rows = np.argsort(codes, kind="stable")
+    codes = codes[rows]
+    new = np.append(True, codes[1:] != codes[:-1])
+    nth = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    return np.flatnonzero(nth % ALIKE == 0), rows
 
 
 def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``values`` (k, d) by row of ``n``."""
-    flat = (rows * WIDTH).repeat(WIDTH).reshape(-1, WIDTH)
-    flat += np.arange(WIDTH)
-    return np.bincount(flat.ravel(), values.ravel(), n * WIDTH).reshape(n, WIDTH)
+    out = np.empty((n, values.shape[1]))
+    for k, column in enumerate(np.ascontiguousarray(values.T)):
+        out[:, k] = np.bincount(rows, column, n)
+    return out
 
 
 def class_shares(voc: Vocabulary) -> np.ndarray:
@@ -361,8 +404,21 @@ def class_shares(voc: Vocabulary) -> np.ndarray:
     return shares / shares.sum()
 
 
+def dealt(docs: DataFrame, shares: int) -> DataFrame:
+    """``text, n``: the distinct texts and how often each occurs, one partition a share, in
+    an order of their own.  Copies are counted before they are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["text", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "text string, n long").repartition(shares, "text")
+    return counted.groupBy("text").agg(F.sum("n").alias("n")).sortWithinPartitions(F.xxhash64("text"), "text")
+
+
 def train(docs: DataFrame, voc: Vocabulary) -> Model:
-    """Every task passes over its texts once; the weights are averaged in Spark."""
+    """Every share's task passes over its texts once; the weights are averaged in Spark."""
     shares = class_shares(voc)
     start = new_model(shares, voc.leaves)
 
@@ -371,16 +427,19 @@ def train(docs: DataFrame, voc: Vocabulary) -> Model:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words(part.column(0), lower=True)
-                trainer.learn(*sequence(w, voc.symbols(w)))
+                trainer.learn(*sequence(w, voc.symbols(w)), part.column(1).to_numpy())
         if trainer.seen:
+            share = TaskContext.get().partitionId()
             rows, met = trainer.model.rows(), trainer.met()
             for block in range(0, len(rows), BLOCK):
                 some = block + np.flatnonzero(met[block : block + BLOCK])
                 if len(some):
-                    yield _weights(block, some, rows[some], met[some])
+                    yield _weights(block, share, some, rows[some], met[some])
 
     def average(key: tuple, parts: pa.Table) -> pa.Table:
         total, met = np.zeros((BLOCK, WIDTH + 1)), np.zeros(BLOCK)
+        # Sums of fractions depend on the order.
+        parts = parts.sort_by("share")
         for some, rows, weight in zip(*(parts.column(c) for c in ("some", "weights", "met"))):
             some = np.frombuffer(some.as_py(), np.int64) - key[0].as_py()
             weight = np.frombuffer(weight.as_py())
@@ -388,24 +447,26 @@ def train(docs: DataFrame, voc: Vocabulary) -> Model:
             met[some] += weight
         some = np.flatnonzero(met)
         mean = (total[some] / met[some, None]).astype(np.float32)
-        return pa.Table.from_batches([_weights(key[0].as_py(), some + key[0].as_py(), mean, met[some])])
+        return pa.Table.from_batches([_weights(key[0].as_py(), -1, some + key[0].as_py(), mean, met[some])])
 
-    parts = docs.select("text").mapInArrow(learn, _WEIGHTS).groupBy("block").applyInArrow(average, _WEIGHTS).toArrow()
+    with small_batches(docs.sparkSession):
+        learned = dealt(docs, max(1, round(voc.tokens / SHARE_TOKENS))).mapInArrow(learn, _WEIGHTS)
+        parts = learned.groupBy("block").applyInArrow(average, _WEIGHTS).toArrow()
     rows = start.rows()
     for some, mean in zip(parts.column("some").to_pylist(), parts.column("weights").to_pylist()):
         rows[np.frombuffer(some, np.int64)] = np.frombuffer(mean, np.float32).reshape(-1, WIDTH + 1)
     return start.with_rows(rows)
 
 
-_WEIGHTS = "block long, some binary, weights binary, met binary"
+_WEIGHTS = "block long, share long, some binary, weights binary, met binary"
 
 
-def _weights(block: int, some: np.ndarray, rows: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+def _weights(block: int, share: int, some: np.ndarray, rows: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
     """Rows ``some`` of the weights, all in one block, with what they weigh."""
     data = (some.astype(np.int64), rows.astype(np.float32), met.astype(float))
     return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in data)],
-        names=["block", "some", "weights", "met"],
+        [pa.array([block], pa.int64()), pa.array([share], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in data)],
+        names=["block", "share", "some", "weights", "met"],
     )
 
 
@@ -413,19 +474,22 @@ def class_log10(model: Model, tables: np.ndarray, before: np.ndarray, target: np
     """Exactly normalised log10 probabilities of each token's symbol: of its class, and in a
     shared class of the turns to its leaf."""
     out = np.empty(len(target))
-    said = np.ascontiguousarray(model.said.T)
+    said = np.concatenate([model.said.T, model.bias[None]])
+    # No sum of products is larger, so exponents below the bound need no shift.
+    widest, highest = np.sqrt(np.square(model.said).sum(1).max()), np.abs(model.bias).max()
     for at in range(0, len(target), BATCH):
         b, t = before[:, at : at + BATCH], target[at : at + BATCH]
-        guess = sum(table.take(c, 0) for table, c in zip(tables, b))
+        guess = np.ones((len(t), WIDTH + 1), np.float32)
+        guess[:, :WIDTH] = sum(table.take(c, 0) for table, c in zip(tables, b))
         logits = guess @ said
-        logits += model.bias
-        logits -= logits.max(axis=1, keepdims=True)
+        if np.sqrt(np.square(guess).sum(1).max()) * widest + highest > EXPONENT:
+            logits -= logits.max(axis=1, keepdims=True)
         chosen = logits[np.arange(len(t)), model.leaves.outer[t]]
         np.exp(logits, out=logits)
         log = chosen - np.log(logits.sum(axis=1))
         owner, turn = model.leaves.turns(t)
         node = model.leaves.nodes[turn]
-        way = np.einsum("ij,ij->i", guess.take(owner, 0), model.turned.take(node, 0)) + model.odds.take(node)
+        way = np.einsum("ij,ij->i", guess.take(owner, 0), model.turned.take(node, 0))
         log = log - np.bincount(owner, np.logaddexp(0, -model.leaves.signs[turn] * way), len(t))
         out[at : at + BATCH] = log / np.log(10)
     return out
@@ -437,6 +501,9 @@ _SCORED = "row long, doc_id {}, n_tokens long, n_known long, counted double, mod
 def scored(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
+    The score of a text does not depend on how the rows are split over files.  Very long texts
+    are scored whole, and learned whole.
+
     Null and empty texts are one token, the end; repeated rows are scored each; a null
     id counts as one that is trained on; only ``doc_id`` and ``text`` are read; an empty
     table gives no rows, and without training texts all words are unknown.

@@ -27,8 +27,7 @@ _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over the whole word (a bijection)."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(33)
+    x = x ^ (x >> np.uint64(33))
     x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
@@ -99,8 +98,8 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each span; spans are in order.  It does not depend on the span's place, so
     blocks of spans are hashed one after the other in little memory.
 
-    Eight bytes at a time are spread, then spread again with their number in the span, and
-    added up.  Unlike a polynomial, that has no short words which agree by construction.
+    Eight bytes at a time are spread together with their number in the span and added up.
+    Unlike a polynomial, that has no regular words which agree by construction.
     """
     out = np.empty(len(start), np.uint64)
     at = 0
@@ -116,14 +115,17 @@ def _block_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     padded = np.append(data, np.zeros(8, np.uint8))
     eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     size = end - start
-    pieces = np.maximum((size + 7) >> 3, 1)
-    begins = np.cumsum(pieces) - pieces
-    number = np.arange(int(pieces.sum())) - np.repeat(begins, pieces)
-    place = np.repeat(start, pieces) + 8 * number
-    inside = np.minimum(np.repeat(end, pieces) - place, 8)
-    spread = mix(eights[place] & _MASKS[inside])
-    spread += (number + 1).astype(np.uint64) * _PLACE
-    return mix(np.add.reduceat(mix(spread), begins) + size.astype(np.uint64) * _SIZE)
+    out = mix((eights[start] & _MASKS[np.minimum(size, 8)]) + _PLACE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        pieces = (size[long] - 1) >> 3
+        begins = np.cumsum(pieces) - pieces
+        number = np.arange(int(pieces.sum())) - np.repeat(begins, pieces) + 1
+        place = np.repeat(start[long], pieces) + 8 * number
+        inside = np.minimum(np.repeat(end[long], pieces) - place, 8)
+        spread = mix((eights[place] & _MASKS[inside]) + (number + 1).astype(np.uint64) * _PLACE)
+        out[long] += np.add.reduceat(spread, begins)
+    return mix(out + size.astype(np.uint64) * _SIZE)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -579,3 +579,68 @@ def test_kept_digest(spark, docs, texts):
     got = substring_dedup.repeats(docs).select("doc_id", F.sha2("kept_text", 256).alias("d")).collect()
     want = stripped(texts, range(len(texts)))
     assert all(r["d"] == hashlib.sha256(want[r["doc_id"]][2].encode()).hexdigest() for r in got)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, docs, texts, tmp_path):
+    scores = []
+    for parts in (1, 8, 64):
+        path = str(tmp_path / str(parts))
+        docs.select("doc_id", "text").repartition(parts).write.parquet(path)
+        scores.append({r["doc_id"]: r["score"] for r in lm_scores.scored(spark.read.parquet(path)).collect()})
+    assert len(scores[0]) == len(texts)
+    for other in scores[1:]:
+        for i, score in scores[0].items():
+            assert math.isclose(other[i], score, rel_tol=1e-9)
+
+
+def test_shares_hold_each_text_once_with_its_copies(spark):
+    texts = ["one", "two", "two", None, "", "three"] * 30 + ["hot"] * 200
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7).fillna("")
+    dealt = lm_scores.dealt(docs, 3)
+    assert dealt.rdd.getNumPartitions() == 3
+    assert {(r["text"], r["n"]) for r in dealt.collect()} == set(Counter(t or "" for t in texts).items())
+
+
+def test_equal_rows_of_a_batch_are_counted_once():
+    before = np.array([[1, 1, 2, 1, 1], [3, 3, 3, 3, 3], [0, 0, 0, 0, 0]])
+    first, rows = lm_scores._alike(before, np.array([5, 5, 5, 6, 5]))
+    groups = [sorted(g.tolist()) for g in np.split(rows, first[1:])]
+    assert sorted(groups) == [[0, 1, 4], [2], [3]]
+    first, rows = lm_scores._alike(np.zeros((3, 40), int), np.zeros(40, int))
+    assert np.diff(np.append(first, 40)).tolist() == [16, 16, 8]
+
+
+# Words that a polynomial hash modulo 2**64 cannot tell apart.
+
+
+def thue_morse():
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_regular_words_are_told_apart(spark):
+    one, other = thue_morse()
+    w = words_module.words(pa.array([one, other, one[:1024], other[:1024]]))
+    assert len(set(w.hash.tolist())) == 4
+    tail = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {tail}"), (4, f"{other} {tail}")], "doc_id long, text string")
+    linked = near_dedup.near_duplicates(docs).collect()
+    assert all(r["kept"] for r in linked if r["doc_id"] < 3)
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeats(docs).collect()}
+    assert removed == {1: 0, 2: 0, 3: 0, 4: 0}
+    counts = lm_scores.word_counts(docs).where(f"class <> {lm_scores.END}")
+    assert counts.count() == 14
+
+
+@pytest.mark.parametrize("ids, name", [(False, "word_bpe_49k.json"), (True, "byte_bpe_50k.json")])
+def test_regular_words_have_their_own_ids(ids, name):
+    path = public_tokenizers.path(name)
+    cut = segments.before_single_spaces if ids else segments.at_white_space
+    texts = [f"x {t} y" for t in thue_morse()]
+    sizes, first, found = segments.Encoder(path, ids).encode(cut(pa.array(texts)))
+    want = [segments.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert segments.per_text(sizes, first).tolist() == [len(x) for x in want]
+    if ids:
+        assert found.tolist() == want[0] + want[1]
