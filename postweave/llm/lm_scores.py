@@ -23,8 +23,8 @@ layout of the input has no part in a score.  Scoring normalises exactly: the cla
 products of whole blocks of contexts with all classes, the turns because two of them
 sum to one.
 
-Counts of words that are frequent enough to be at most ``HEAD`` in number are looked up in
-the task; all others are joined.
+Counts of the most frequent words, at most ``HEAD`` of them, are looked up in the task; all
+others are joined.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ FREQUENT, SHARED = 127, 64
 CLASSES = FREQUENT + SHARED + 1
 END = CLASSES - 1
 CONTEXT, WIDTH = 3, 16
-#: A count of at least N / HEAD is looked up in the task: that holds for at most HEAD words.
+#: So many words are looked up in the task; those of a count of at least N / HEAD are symbols.
 HEAD = 500_000
 BATCH, NOISE, RATE = 2048, 64, 0.15
 #: Exponents up to this are safe in single precision, over all classes.
@@ -66,11 +66,17 @@ HELD_WORDS = 1_000_000
 END_WORD = np.uint64(0x45F7A1D93C0B2E61)
 
 
-def shared_class(w: Words) -> np.ndarray:
-    first = w.data[w.start].astype(np.uint64) if len(w.start) else np.zeros(0, np.uint64)
-    second = w.data[np.minimum(w.start + 1, max(len(w.data) - 1, 0))].astype(np.uint64) if len(w.start) else first
-    second = np.where(w.end - w.start > 1, second, 0).astype(np.uint64)
-    return FREQUENT + (mix(first * np.uint64(256) + second) % np.uint64(SHARED)).astype(np.int64)
+def distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its place among the distinct ones; their hashes and shared classes."""
+    codes, found = pd.factorize(w.hash)
+    if not len(codes):
+        return codes, found, np.zeros(0, np.int64)
+    one = np.empty(len(found), np.int64)
+    one[codes] = np.arange(len(codes))
+    first = w.data[w.start[one]].astype(np.uint64)
+    second = w.data[np.minimum(w.start[one] + 1, len(w.data) - 1)].astype(np.uint64)
+    second = np.where(w.end[one] - w.start[one] > 1, second, 0).astype(np.uint64)
+    return codes, found, FREQUENT + (mix(first * np.uint64(256) + second) % np.uint64(SHARED)).astype(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -80,12 +86,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in slices(batch, "text"):
-                w = words(part.column(0), lower=True)
-                keys = np.append(w.hash, np.full(part.num_rows, END_WORD))
-                codes, found = pd.factorize(keys)
-                classes = np.empty(len(found), np.int64)
-                classes[codes] = np.append(shared_class(w), np.full(part.num_rows, END))
-                held.append((found, classes, np.bincount(codes, minlength=len(found))))
+                codes, found, classes = distinct(words(part.column(0), lower=True))
+                ends = (np.array([END_WORD]), np.array([END]), np.array([part.num_rows]))
+                held += [(found, classes, np.bincount(codes, minlength=len(found))), ends]
                 if sum(len(h[0]) for h in held) > HELD_WORDS:
                     held = [_summed(held)]
                     if len(held[0][0]) > HELD_WORDS // 2:
@@ -181,14 +184,20 @@ class Vocabulary:
     tokens: int
     distinct: int
 
+    def looked_up(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word its place among the distinct ones; their hashes, symbols and counts,
+        0 where the count is not at hand."""
+        codes, found, symbols = distinct(w)
+        if not len(self.head):
+            return codes, found, symbols, np.zeros(len(found))
+        at = np.minimum(np.searchsorted(self.head, found), len(self.head) - 1)
+        here = self.head[at] == found
+        own = np.where(here, self.head_symbols[at], -1)
+        return codes, found, np.where(own >= 0, own, symbols), np.where(here, self.head_counts[at], 0)
+
     def symbols(self, w: Words) -> np.ndarray:
-        out = shared_class(w)
-        if len(self.head):
-            codes, found = pd.factorize(w.hash)
-            at = np.minimum(np.searchsorted(self.head, found), len(self.head) - 1)
-            own = np.where(self.head[at] == found, self.head_symbols[at], -1)[codes]
-            out = np.where(own >= 0, own, out)
-        return out
+        codes, _, symbols, _ = self.looked_up(w)
+        return symbols[codes]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -205,7 +214,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         class_counts[row["class"]] -= row["n"]
         class_words[row["class"]] -= 1
         class_counts[k], class_words[k] = row["n"], 1
-    head = real.where(F.col("n") >= max(1, tokens / HEAD)).select("word", "class", "n").toArrow()
+    # The lowest power of two that at most HEAD words reach; a count of N / HEAD always does.
+    steps = [2**k for k in range(int(np.log2(max(1, tokens / HEAD))) + 1)]
+    reached = real.agg(*(F.count_if(F.col("n") >= k).alias(str(k)) for k in steps)).first()
+    least = min((k for k in steps if reached[str(k)] <= HEAD), default=tokens / HEAD)
+    head = real.where(F.col("n") >= least).select("word", "class", "n").toArrow()
     words_ = head.column(0).to_numpy().view(np.uint64)
     by_hash = np.argsort(words_)
     words_, classes, n = (x[by_hash] for x in (words_, head.column(1).to_numpy().astype(np.int64), head.column(2).to_numpy()))
@@ -214,7 +227,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     top_at = np.minimum(np.searchsorted(words_, hashes), max(len(words_) - 1, 0))
     inside = words_[top_at] == hashes if len(words_) else np.zeros(len(hashes), bool)
     symbols[top_at[inside]] = np.flatnonzero(inside)
-    own = np.flatnonzero((symbols < 0) & (n >= 2))
+    own = np.flatnonzero((symbols < 0) & (n >= max(2, tokens / HEAD)))
     symbols[own] = CLASSES + np.arange(len(own))
     rest_counts = class_counts - np.bincount(classes[own], n[own], CLASSES)
     rest_words = class_words - np.bincount(classes[own], minlength=CLASSES)
@@ -546,14 +559,12 @@ def _score(part, first_row: int, voc: Vocabulary, model: Model, tables, inside)
     """A row per text, and one per text and word whose count is not at hand."""
     n = part.num_rows
     w = words(part.column(1), lower=True)
-    symbols = voc.symbols(w)
+    codes, found, symbols, count = voc.looked_up(w)
+    symbols, near = symbols[codes], (count > 0)[codes]
     tokens, text = sequence(w, symbols)
     modelled = np.bincount(text, class_log10(model, tables, contexts(tokens, text), tokens), n)
-    codes, found = pd.factorize(w.hash)
-    at = np.minimum(np.searchsorted(voc.head, found), max(len(voc.head) - 1, 0))
-    near = voc.head[at] == found if len(voc.head) else np.zeros(len(found), bool)
-    log_count = np.where(near, np.log10((voc.head_counts[at] if len(voc.head) else 0) + 1.0), 0.0)[codes]
-    near, owner = near[codes], w.owner
+    log_count = np.where(count > 0, np.log10(count + 1.0), 0.0)[codes]
+    owner = w.owner
     rest = (symbols >= FREQUENT) & (symbols < CLASSES)
     modelled += np.bincount(owner, np.where(rest, log_count - inside[np.where(rest, symbols, 0)], 0.0), n)
     ends = voc.class_counts[END]
