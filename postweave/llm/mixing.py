@@ -142,26 +142,27 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = TI
     """``docs`` as the mix takes them: a row per serving, none for documents not served.
 
     Empty documents weigh nothing and stay once.  Rows that repeat an id share its
-    servings evenly.
+    servings evenly.  Other columns may have any names but those that begin with ``__mix_``.
     """
     plan = mixed(docs, weights, times)
     served = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("long")
-    plan = plan.groupBy(F.col("doc_id").alias("served_id")).agg(
-        F.sum(served).alias("servings"), F.count("*").alias("rows")
+    plan = plan.groupBy(F.col("doc_id").alias("__mix_id")).agg(
+        F.sum(served).alias("__mix_servings"), F.count("*").alias("__mix_rows")
     )
     # Joined by a merge at every size: the plan has as many rows as there are documents.
     plan = written(plan, "servings").hint("merge")
     own = docs.columns
-    alike = F.col("doc_id").eqNullSafe(F.col("served_id"))
-    once = docs.join(plan.where("rows = 1"), alike)
-    several = docs.join(plan.where("rows > 1"), alike).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("served_id").orderBy(F.xxhash64(*own)))
+    alike = F.col("doc_id").eqNullSafe(F.col("__mix_id"))
+    once = docs.join(plan.where("__mix_rows = 1"), alike)
+    several = docs.join(plan.where("__mix_rows > 1"), alike).withColumn(
+        "__mix_nth", F.row_number().over(Window.partitionBy("__mix_id").orderBy(F.xxhash64(*own)))
     )
-    extra = F.when(F.col("nth") <= F.col("servings") % F.col("rows"), 1).otherwise(0)
-    several = several.withColumn("servings", F.floor(F.col("servings") / F.col("rows")) + extra)
-    every = once.select(*own, "servings").unionByName(several.select(*own, "servings"))
-    repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col("servings")))
-    return every.where("servings > 0").withColumn("serving", repeats).select(*own)
+    servings, rows = F.col("__mix_servings"), F.col("__mix_rows")
+    extra = F.when(F.col("__mix_nth") <= servings % rows, 1).otherwise(0)
+    several = several.withColumn("__mix_servings", F.floor(servings / rows) + extra)
+    every = once.select(*own, "__mix_servings").unionByName(several.select(*own, "__mix_servings"))
+    repeats = F.explode(F.sequence(F.lit(1).cast("long"), servings))
+    return every.where(servings > 0).withColumn("__mix_serving", repeats).select(*own)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,15 +231,55 @@ def _apart(percent: int) -> int:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``docs`` with one row of each component; rows without an id stay as they are."""
-    judged = written(near_duplicates(docs, percent), "judged").where("doc_id is not null")
+    """``docs`` with one row of each group of near duplicates, that of the smallest id.
+
+    Unlike texts under one id are judged apart, so none is lost.  Rows without an id stay as
+    they are; so does one row each of null or empty text for every id.  Other columns may
+    have any names but those that begin with ``__near_``.
+    """
+    keyed = _by_text(docs)
+    texts = keyed.where(f"{_KEY} is not null").select(F.col(_KEY).alias("doc_id"), "text")
+    judged = written(near_duplicates(texts, percent), "judged")
     repeated = judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     repeated = written(repeated.where("n > 1 or not kept"), "repeated")
-    marked, _ = broadcast_if_small(repeated.select(F.col("doc_id").alias("marked"), F.col("kept").alias("stays")))
-    mine = F.col("doc_id").cast("long") == F.col("marked")
-    single = docs.join(marked, mine, "left_anti")
-    copies = docs.join(marked.where("stays"), mine, "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(copies)
+    marked = repeated.select(F.col("doc_id").alias("__near_marked"), F.col("kept").alias("__near_stays"))
+    marked, _ = broadcast_if_small(marked)
+    mine = F.col(_KEY) == F.col("__near_marked")
+    single = keyed.join(marked, mine, "left_anti")
+    copies = keyed.join(marked.where("__near_stays"), mine, "left_semi").dropDuplicates([_KEY])
+    return single.unionByName(copies).select(*docs.columns)
+
+
+_KEY = "__near_key"
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key that no two texts share: the id, or a number beyond all ids for
+    every further text of an id."""
+    own = F.col("doc_id").cast("long")
+    marks = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    hashed = docs.select(own.alias("__near_id"), *(m.alias(f"__near_h{k}") for k, m in enumerate(marks)))
+    spread = hashed.where("__near_id is not null").groupBy("__near_id").agg(
+        *(f(f"__near_h{k}").alias(f"__near_{n}{k}") for k in (0, 1) for n, f in (("low", F.min), ("high", F.max)))
+    )
+    several = spread.where("__near_low0 <> __near_high0 or __near_low1 <> __near_high1").select("__near_id", "__near_low0")
+    several = written(several, "several")
+    if several.isEmpty():
+        return docs.withColumn(_KEY, own)
+    few, _ = broadcast_if_small(several)
+    texts = docs.join(few, own == F.col("__near_id")).select("__near_id", "text", "__near_low0").distinct()
+    # The first text keeps the id; where hashes agree, by its bytes.
+    first = texts.where(F.xxhash64("text") == F.col("__near_low0")).groupBy("__near_id").agg(
+        F.min("text").alias("__near_first")
+    )
+    further = texts.join(first.withColumnRenamed("__near_id", "__near_of"), F.col("__near_id") == F.col("__near_of"))
+    further = further.where(~F.col("text").eqNullSafe(F.col("__near_first")))
+    top = docs.agg(F.max(own)).first()[0]
+    number = F.lit(top + 1) + F.monotonically_increasing_id()
+    further = written(further.select("__near_id", F.col("text").alias("__near_text"), number.alias("__near_number")), "further")
+    same = (own == F.col("__near_id")) & F.col("text").eqNullSafe(F.col("__near_text"))
+    keyed = docs.join(further, same, "left")
+    return keyed.select(*docs.columns, F.coalesce("__near_number", own).alias(_KEY))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
