@@ -20,6 +20,7 @@ from postweave.plans.table_queries import (
 )
 from postweave.plans.text_queries import RULES
 from postweave.session import literal_rows, scratch_path
+from postweave.sources.manifest import manifest
 from postweave.sources.rules import RULE_FILE_SCHEMA, RuleSet, flatten_rules, load_rules, rules_json
 from postweave.sources.snapshots import Published, publish
 from postweave.streaming.activity import (
@@ -84,12 +85,16 @@ def _stream_normalize_classify(spark, sf_dir):
 
 
 def _two_files(spark, sf_dir):
-    """The posts with even and those with odd ids, a file each, and a batch each."""
+    """The posts with even ids as files of a first batch, then those with odd ids.
+
+    Each split of the input is written by its own task, so the even posts are as many files
+    as a batch takes; odd posts in more files than that go on in further batches."""
     source = scratch_path(spark, "two-files")
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "source AS nickname", "text AS comment")
-    for part in (0, 1):
-        rows.where(F.col("id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
-    return stream_posts(spark, source, "id BIGINT, nickname STRING, comment STRING", maxFilesPerTrigger=1)
+    rows.where("id % 2 = 0").write.parquet(source)
+    first = manifest(spark, source, "part-*").count()
+    rows.where("id % 2 = 1").write.mode("append").parquet(source)
+    return stream_posts(spark, source, "id BIGINT, nickname STRING, comment STRING", maxFilesPerTrigger=first)
 
 
 def _version(spark, number: int):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postweave.operators.activity import activity_sessions, live_keys
+from postweave.plans import stream_queries
 from postweave.session import literal_rows
 from postweave.sources.snapshots import Published, commits, current, drop_old, publish
 from postweave.streaming.activity import open_sessions, run_closed_sessions, run_live_stream
@@ -115,6 +116,21 @@ def test_commits_are_numbered_once_and_torn_ones_are_not_seen(spark, tmp_path):
     assert versions_read(spark, current(spark, root)) == [2] * 3
 
 
+def test_the_posts_of_a_batch_are_written_by_many_tasks(spark, tmp_path):
+    """Even and odd posts, in as many files as the input has splits; the even ones are one batch."""
+    rows = [(i, f"text {i}", "en", "src1", 6) for i in range(200)] + [(None, "no id", "en", None, 5)]
+    kind = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+    spark.createDataFrame(rows, kind).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    batches = []
+    stream = stream_queries._two_files(spark, str(tmp_path))
+    query = stream.writeStream.foreachBatch(
+        lambda df, _: batches.append(df.select("id", F.input_file_name().alias("file")).collect())
+    )
+    query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [sorted(r["id"] for r in b) for b in batches] == [list(range(0, 200, 2)), list(range(1, 200, 2))]
+    assert all(len({r["file"] for r in b}) > 1 for b in batches)
+
+
 def test_live_keys_hold_few_versions(spark, tmp_path):
     source, sink, checkpoint = (str(tmp_path / name) for name in ("in", "out", "state"))
     rows = [r for r in events() if r[0]]
