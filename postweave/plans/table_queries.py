@@ -233,25 +233,28 @@ def _input_version(spark, sf_dir):
 
 
 def _incremental(spark, sf_dir):
-    """Documents as six files; between two runs one changes, one goes and one is added."""
+    """Documents as six folders of files, each written by as many tasks as the input has splits; between
+    two runs one is written anew, one goes and one is added."""
     source, root = scratch_path(spark, "incremental-in"), scratch_path(spark, "incremental")
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
 
-    def put(part: int, rows) -> None:
-        rows.where(F.col("doc_id") % 6 == part).coalesce(1).write.mode("overwrite").parquet(f"{source}/part{part}")
+    def put(part: int, rows, turn: int = 0) -> None:
+        rows.where(F.col("doc_id") % 6 == part).write.parquet(f"{source}/part{part}-{turn}")
 
     def transform(docs):
         return docs.select(
             F.col("doc_id").alias("id"), F.length("text").alias("n_chars"), F.concat(F.lit("<"), "text", F.lit(">")).alias("marked"), SOURCE
         )
 
-    job = IncrementalRun(spark, source, "doc_id BIGINT, text STRING", root, transform)
+    job = IncrementalRun(spark, source, "doc_id BIGINT, text STRING", root, transform, folders=True)
     for part in range(5):
         put(part, rows.withColumn("text", F.lit("an earlier text")) if part == 1 else rows)
     job.run()
-    put(1, rows)
+    # The rows of a write that replaces another come under a new path, as Spark names its files.
+    put(1, rows, turn=1)
+    remove(spark, f"{source}/part1-0")
     put(5, rows)
-    remove(spark, f"{source}/part4")
+    remove(spark, f"{source}/part4-0")
     changed = job.run()
     names = ("added", "changed", "removed", "same")
     return job.result().select("*", *[F.lit(changed[name]).alias(f"files_{name}") for name in names])

@@ -4,6 +4,7 @@ A run compares the manifest of the input with that of the last run that was comm
 rows of added and changed files are computed and written; rows of files that went
 or changed are left behind, since the new manifest no longer names them.  Manifest
 and parts are committed as one (``sources.snapshots``), so a run that dies changes nothing.
+With ``folders`` the files of one folder, as one Spark write makes them, stand for one file.
 
     root/versions, root/commits   manifests: path, version, and the part that holds the rows
     root/parts/<part>             rows of the files that one run computed
@@ -14,11 +15,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweave.session import broadcast_if_small
-from postweave.sources.manifest import file_version, manifest
+from postweave.sources.manifest import data_version, file_version, manifest
 from postweave.sources.snapshots import current, publish
 
 _FILES = "path STRING, version STRING, part STRING"
@@ -42,11 +43,18 @@ def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", "version", "part", change.alias("change"))
 
 
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
 class IncrementalRun:
     """Keeps ``transform`` of the files below ``source`` up to date.
 
     ``transform`` works row by row: what it gives for a row may not depend on rows of other
     files.  It sees the columns of ``schema`` and may drop rows or make several.
+
+    ``folders``: what is compared, counted and computed again is not a file but a folder that
+    holds files.  Its version changes with any file of it.
     """
 
     def __init__(
@@ -58,25 +66,34 @@ class IncrementalRun:
         transform: Callable[[DataFrame], DataFrame],
         fmt: str = "parquet",
         glob: str = "*",
+        folders: bool = False,
     ):
         self.spark, self.source, self.schema, self.root = spark, source, schema, root
-        self.transform, self.fmt, self.glob = transform, fmt, glob
+        self.transform, self.fmt, self.glob, self.folders = transform, fmt, glob, folders
 
     def _committed(self) -> DataFrame:
         last = current(self.spark, self.root)
         return last.table(self.spark, "files") if last else self.spark.createDataFrame([], _FILES)
 
-    def changes(self) -> DataFrame:
+    def _listed(self) -> DataFrame:
+        return manifest(self.spark, self.source, self.glob).where(~F.col("name").rlike("^[_.]"))
+
+    def changes(self, files: DataFrame | None = None) -> DataFrame:
         """What a run would find now: a listing, no file is read."""
-        files = manifest(self.spark, self.source, self.glob).where(~F.col("name").rlike("^[_.]"))
-        now = files.select("path", file_version(F.col("modificationTime"), F.col("length")).alias("version"))
+        files = self._listed() if files is None else files
+        if self.folders:
+            now = data_version(files.withColumn("folder", _folder(F.col("path"))), ["folder"])
+            now = now.withColumnRenamed("folder", "path")
+        else:
+            now = files.select("path", file_version(F.col("modificationTime"), F.col("length")).alias("version"))
         return manifest_changes(self._committed(), now)
 
     def _computed(self, paths: list[str]) -> DataFrame:
         reader = self.spark.read.schema(self.schema).format(self.fmt)
         rows = reader.load(paths) if paths else self.spark.createDataFrame([], self.schema)
-        # The file of a row goes along under a private name.
-        source = F.col("_metadata.file_path") if paths else F.lit(None).cast("string")
+        # The file of a row, or its folder, goes along under a private name.
+        found = _folder(F.col("_metadata.file_path")) if self.folders else F.col("_metadata.file_path")
+        source = found if paths else F.lit(None).cast("string")
         return self.transform(rows.select("*", source.alias(SOURCE)))
 
     def run(self) -> dict[str, int]:
@@ -85,15 +102,17 @@ class IncrementalRun:
         The paths of new and changed files pass through the driver, as those of any scan do.
         """
         # One listing decides, whatever arrives meanwhile.
-        found = self.changes().collect()
+        files = self._listed()
+        found = self.changes(files).collect()
         counts = {kind: sum(r["change"] == kind for r in found) for kind in ("added", "changed", "removed", "same")}
         if not counts["added"] + counts["changed"] + counts["removed"] and current(self.spark, self.root):
             return counts
         part = uuid.uuid4().hex
-        fresh = [r["path"] for r in found if r["change"] in ("added", "changed")]
+        new = {r["path"] for r in found if r["change"] in ("added", "changed")}
+        unit = _folder(F.col("path")) if self.folders else F.col("path")
+        fresh = [r["path"] for r in files.select("path", unit.alias("unit")).collect() if r["unit"] in new]
         if fresh:
             self._computed(fresh).write.parquet(f"{self.root}/parts/{part}")
-        new = set(fresh)
         kept = [(r["path"], r["version"], part if r["path"] in new else r["part"]) for r in found if r["change"] != "removed"]
         publish(self.spark, self.root, {"files": self.spark.createDataFrame(kept, _FILES)})
         return counts

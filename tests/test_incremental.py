@@ -1,10 +1,12 @@
 """Incremental runs against full ones."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from postweave.plans import table_queries
 from postweave.sources.incremental import SOURCE, IncrementalRun
 from postweave.sources.snapshots import remove
 
@@ -84,3 +86,35 @@ def test_a_run_that_dies_changes_nothing(spark, tmp_path):
     assert sorted(r["word"] for r in job.result().collect()) == ["a", "b"]
     assert job.run()["added"] == 1
     assert sorted(r["word"] for r in job.result().collect()) == ["a", "b", "c"]
+
+
+def test_folders_of_files_stand_for_files(spark, tmp_path):
+    """A folder of many files is one entry: any file of it that comes, goes or changes makes it changed."""
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    job = IncrementalRun(spark, source, SCHEMA, root, split_words, "json", folders=True)
+    write = lambda path, rows, mode="append": spark.createDataFrame(rows, SCHEMA).repartition(3).write.mode(mode).json(path)
+    for name in "abc":
+        write(f"{source}/{name}", [(i, f"{name} x{i}") for i in range(9)])
+    # A folder inside a folder is one of its own, and its rows are read once.
+    write(f"{source}/a/k=1", [(7, "inner")])
+    assert job.run() == {"added": 4, "changed": 0, "removed": 0, "same": 0}
+    assert sorted(tuple(r) for r in job.result().collect()) == full(spark, source)
+    write(f"{source}/b", [(10, "b more")])
+    remove(spark, f"{source}/c")
+    assert job.run() == {"added": 0, "changed": 1, "removed": 1, "same": 2}
+    assert sorted(tuple(r) for r in job.result().collect()) == full(spark, source)
+    job.compact()
+    assert sorted(tuple(r) for r in job.result().collect()) == full(spark, source)
+
+
+def test_the_incremental_query_writes_its_parts_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(60)] + [(None, "no id"), (6, None)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    found = table_queries._incremental(spark, str(tmp_path))
+    got = [tuple(r) for r in found.select("id", "n_chars", "files_added", "files_changed", "files_removed", "files_same").collect()]
+    want = [(i, t and len(t), 2, 0, 2, 3) for i, t in rows if i is not None and i % 6 != 4]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # Every part is several files, so no task wrote the whole of one.
+    shared = spark.conf.get("spark.checkpoint.dir")
+    newest = max(Path(shared).glob("incremental-in-*"), key=lambda p: p.stat().st_mtime)
+    assert min(len(list(p.glob("part-*"))) for p in newest.iterdir()) > 1
