@@ -279,23 +279,11 @@ class ArrowScorer(Scorer):
     ):
         self.n_classes = n_classes
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             model = make_model()
             for rows, _ in batches:
-                per_row = [[] if row is None else [" ".join(w) for w in row] for row in rows]
-                texts = [text for row in per_row for text in row]
-                parts = [
-                    model(texts[i : i + batch_size]) for i in range(0, len(texts), batch_size)
-                ]
-                probs = np.concatenate(parts) if parts else np.empty((0, n_classes))
-                ends = np.cumsum([len(row) for row in per_row])
-                yield pd.Series(
-                    [
-                        probs[end - len(row) : end].mean(axis=0).tolist() if row else None
-                        for end, row in zip(ends, per_row)
-                    ]
-                )
+                yield _ordered_means(rows, model, n_classes, batch_size)
 
         self._score = score
 
@@ -305,6 +293,24 @@ class ArrowScorer(Scorer):
         return df.withColumn(out, self._score(F.col(windows), F.size(windows)))
 
 
+def _ordered_means(rows: pa.Array, model: Callable, n_classes: int, batch_size: int) -> pa.Array:
+    """Only the texts of ``batch_size`` windows at a time become Python strings."""
+    per_row = pc.fill_null(pc.list_value_length(rows), 0).to_numpy()
+    windows = rows.flatten()
+    probs = np.empty((len(windows), n_classes))
+    for at in range(0, len(windows), batch_size):
+        texts = pc.binary_join(windows.slice(at, batch_size), " ")
+        probs[at : at + batch_size] = model(texts.to_pylist())
+    return _row_means(probs, per_row)
+
+
+def _row_means(probs: np.ndarray, per_row: np.ndarray) -> pa.Array:
+    """Mean of the vectors of each row's windows; null for a row without one."""
+    ends = np.cumsum(per_row)
+    means = [probs[end - n : end].mean(axis=0).tolist() if n else None for end, n in zip(ends, per_row)]
+    return pa.array(means, pa.list_(pa.float64()))
+
+
 #: The last models of this worker process, by scorer.
 _MODELS: dict[str, Callable] = {}
 
@@ -370,9 +376,7 @@ def _batched_means(rows: pa.Array, model: Callable, n_classes: int, batch_size:
     probs = np.empty((len(windows), n_classes))
     for places in length_batches(lengths, batch_size, batch_tokens):
         probs[places] = model(texts.take(pa.array(places)).to_pylist())
-    ends = np.cumsum(per_row)
-    means = [probs[end - n : end].mean(axis=0).tolist() if n else None for end, n in zip(ends, per_row)]
-    return pa.array(means, pa.list_(pa.float64()))
+    return _row_means(probs, per_row)
 
 
 class MLScorer(Scorer):

@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from postweave.operators.scorers import (
     HashedLexiconScorer,
     LexiconScorer,
     MLScorer,
+    _ordered_means,
     length_batches,
 )
 
@@ -113,6 +115,21 @@ def test_hashed_lexicon_is_refused_or_right_at_its_bounds(spark, table, weights)
     assert HashedLexiconScorer(weights, 3).mean_probs(table.limit(0), "id", "windows", "p").count() == 0
 
 
+def test_a_model_gets_a_bounded_number_of_texts_as_strings(spark):
+    """One Arrow batch of many windows: no more than ``batch_size`` texts are Python strings at once."""
+    rows = pa.array([[[f"w{i}", "x"][: i % 3], ["a", "b"]] if i % 4 else None for i in range(200)])
+    texts, most = [], []
+
+    def seen(some):
+        texts.extend(some)
+        most.append(len(some))
+        return np.tile([len(some[0]) + 1.0, 0.0], (len(some), 1))
+
+    found = _ordered_means(rows.slice(7), seen, 2, 16)
+    assert max(most) == 16 and len(found) == 193 and found[1].as_py() is None
+    assert len(texts) == 2 * sum(r is not None for r in rows.slice(7).to_pylist())
+
+
 def test_a_large_lexicon_on_an_append_stream_equals_the_table(spark, table, weights, tmp_path):
     many = spark.range(200_000).select(F.concat(F.lit("x"), "id").alias("token"), F.lit(1).alias("class_id"), F.lit(4).alias("weight"))
     scorer = HashedLexiconScorer(weights.union(many), 3)
