@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from postweave.functions.text import let
 from postweave.functions.windows import words
 from postweave.functions.vectors import mean_vector, mean_vectors, softmax
 from postweave.operators.lookup import salted_join
-from postweave.session import broadcast_if_small
+from postweave.session import broadcast_if_small, scratch_path
 
 # Lexicons up to this many tokens are part of the plan; larger ones are a join.
 INLINE_TOKENS = 1_000
@@ -30,6 +31,9 @@ INLINE_TOKENS = 1_000
 #: Bytes of tokens, hashes and weights that every executor may hold for one lexicon.
 ARRAY_BYTES = 256 << 20
 
+#: Tokens of the rows that are scored together where a lexicon is beyond that.
+PART_TOKENS = 2_000_000
+
 
 class Scorer:
     """Base: window vectors inside the row, mean inside the row, no shuffle."""
@@ -143,16 +147,34 @@ class HashedLexiconScorer(Scorer):
     binary search and compared byte by byte, so a hash decides nothing.  Nothing is grouped or
     joined and no id is needed: an append stream can use it.  A lexicon whose measured
     size is beyond ``max_bytes`` is refused; ``LexiconScorer`` joins it.
+
+    With ``split`` such a lexicon stays a table of any size, in the shared scratch folder.  Rows
+    that come together are a part of at most ``part_tokens`` tokens (a longer row is one of its own);
+    the distinct tokens of each part are joined to the lexicon, and the part is looked up in arrays
+    of those alone.  Rows and distinct tokens are shuffled for it; a stream is refused.
     """
 
-    def __init__(self, weights: DataFrame, n_classes: int, max_bytes: int = ARRAY_BYTES):
-        self.n_classes = n_classes
+    def __init__(
+        self,
+        weights: DataFrame,
+        n_classes: int,
+        max_bytes: int = ARRAY_BYTES,
+        split: bool = False,
+        part_tokens: int = PART_TOKENS,
+    ):
+        self.n_classes, self._part_tokens = n_classes, part_tokens
         weights = checked_weights(weights, n_classes)
         sums = [F.sum(F.when(F.col("class_id") == k, F.col("weight")).otherwise(0)).cast("long") for k in range(n_classes)]
         tokens = weights.groupBy("token").agg(F.array(*sums).alias("weights"))
+        if split:
+            # Measured and read from one evaluation.
+            tokens = _stored(tokens, "lexicon")
         cost = F.octet_length("token") + 16 + 8 * n_classes
         size = tokens.agg(F.sum(cost)).first()[0] or 0
-        if size > max_bytes:
+        self._table = tokens if size > max_bytes else None
+        if self._table is not None:
+            if split:
+                return
             raise ValueError(f"a lexicon of {size} bytes is beyond {max_bytes}: LexiconScorer joins it")
         rows = tokens.toArrow()
         arrays = _lexicon_arrays(rows.column("token").combine_chunks(), rows.column("weights").combine_chunks(), n_classes)
@@ -165,9 +187,75 @@ class HashedLexiconScorer(Scorer):
         self._score = score
 
     def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:
+        if self._table is not None:
+            return self._mean_by_parts(df, windows, out)
         # As for ArrowScorer, the second argument keeps the windows a column of their own.
         return df.withColumn(out, self._score(F.col(windows), F.size(windows)))
 
+    def _mean_by_parts(self, df: DataFrame, windows: str, out: str) -> DataFrame:
+        if df.isStreaming:
+            raise ValueError("a lexicon that is joined by parts of rows can't be used on a stream")
+        n_classes, part_tokens = self.n_classes, self._part_tokens
+        at, names = df.columns.index(windows), [f"__{k}" for k in range(len(df.columns))]
+        fields = [T.StructField(name, f.dataType) for name, f in zip(names, df.schema)]
+        extra = [T.StructField(PART, T.LongType()), T.StructField(VOCABULARY, T.ArrayType(T.StringType()))]
+
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows with the number of their part, and one row per part with its distinct tokens."""
+            part = TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for some in _token_slices(batch, at, part_tokens):
+                    n, words_ = some.num_rows, some.column(at).flatten().flatten().unique().drop_null()
+                    number = pa.array([part]).take(pa.array(np.zeros(n, np.int64)))
+                    none = pa.nulls(n, pa.list_(words_.type))
+                    yield pa.RecordBatch.from_arrays([*some.columns, number, none], names=[*names, PART, VOCABULARY])
+                    nulls = [pa.nulls(1, c.type) for c in some.columns]
+                    vocabulary = pa.ListArray.from_arrays(pa.array([0, len(words_)], pa.int32()), words_)
+                    yield pa.RecordBatch.from_arrays([*nulls, pa.array([part]), vocabulary], names=[*names, PART, VOCABULARY])
+                    part += 1
+
+        def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+            tokens, weights = (known.column(c).combine_chunks() for c in ("token", "weights"))
+            arrays = _lexicon_arrays(tokens, weights, n_classes)
+            means = _lexicon_means(rows.column(names[at]).combine_chunks(), arrays, n_classes)
+            return rows.drop_columns([names[at], PART]).append_column(MEAN, means)
+
+        parts = _stored(df.toDF(*names).mapInArrow(numbered, T.StructType([*fields, *extra])), "lexicon-rows")
+        words_of = parts.where(F.col(VOCABULARY).isNotNull())
+        wanted = words_of.select(F.col(PART).alias("part"), F.explode(VOCABULARY).alias("token"))
+        known = wanted.join(self._table, "token").select("part", "token", "weights")
+        rows = parts.where(F.col(VOCABULARY).isNull()).drop(VOCABULARY)
+        left = [f for k, f in enumerate(fields) if k != at]
+        kind = T.StructType([*left, T.StructField(MEAN, T.ArrayType(T.DoubleType()))])
+        scored = rows.groupBy(PART).cogroup(known.groupBy("part")).applyInArrow(score, kind)
+        return scored.toDF(*[c for c in df.columns if c != windows], out)
+
+
+#: Private columns of rows that are scored by parts.
+PART, VOCABULARY, MEAN = "__part", "__vocabulary", "__mean"
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _token_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut where the tokens of its windows pass ``limit``; a longer row is a slice of its own."""
+    per_row = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    per_window = pc.fill_null(pc.list_value_length(batch.column(column).flatten()), 0).to_numpy(zero_copy_only=False)
+    windows, tokens = np.append(0, np.cumsum(per_row)), np.append(0, np.cumsum(per_window))
+    sizes = np.diff(tokens[windows])
+    begin, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and held + size > limit:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
 
 def _hashes(tokens: pa.Array, salt: str) -> np.ndarray:
     return pd.util.hash_array(tokens.to_numpy(zero_copy_only=False).astype(object), hash_key=salt, categorize=False)

@@ -216,12 +216,12 @@ def _batched_model(spark, sf_dir):
 
 def _hashed_lexicon(spark, sf_dir):
     """The lexicon with a weight of nothing for every word of the documents: as many tokens as
-    the corpus has words."""
+    the corpus has words, joined by parts of the documents where it is too large for every executor."""
     rows, labels = documents(spark, sf_dir, comment="lower(text)"), label_table(spark, sf_dir)
     words = rows.select(F.explode(F.split("comment", r"\s+")).alias("token")).where("token <> ''").distinct()
     nothing = words.select("token", F.lit(0).alias("class_id"), F.lit(0).alias("weight"))
     weights = weight_table(spark, labels, "comment")
-    model = HashedLexiconScorer(weights.unionByName(nothing, allowMissingColumns=True), len(COMMENT_WEIGHTS))
+    model = HashedLexiconScorer(weights.unionByName(nothing, allowMissingColumns=True), len(COMMENT_WEIGHTS), split=True)
     return flat(classify(rows, model, labels, "comment"), "comment", model.n_classes)
 
 

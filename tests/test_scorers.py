@@ -18,6 +18,8 @@ from postweave.operators.scorers import (
     _ordered_means,
     length_batches,
 )
+from postweave.plans import classify_queries
+from tests.conftest import SMALL
 
 ROWS = "id INT, windows ARRAY<ARRAY<STRING>>"
 
@@ -115,6 +117,29 @@ def test_hashed_lexicon_is_refused_or_right_at_its_bounds(spark, table, weights)
     assert HashedLexiconScorer(weights, 3).mean_probs(table.limit(0), "id", "windows", "p").count() == 0
 
 
+@pytest.mark.parametrize("part_tokens", [1, 20, 10**6])
+def test_a_lexicon_beyond_its_bytes_is_joined_by_parts_of_rows(table, weights, part_tokens):
+    inline = vectors(LexiconScorer(weights, 3), table)
+    scorer = HashedLexiconScorer(weights, 3, max_bytes=50, split=True, part_tokens=part_tokens)
+    assert vectors(scorer, table) == inline
+    assert scorer.mean_probs(table, "id", "windows", "p").columns == ["n", "id", "p"]
+    assert scorer.mean_probs(table.limit(0), "id", "windows", "p").count() == 0
+    with pytest.raises(ValueError, match="outside"):
+        HashedLexiconScorer(weights, 2, max_bytes=50, split=True)
+    nothing = vectors(HashedLexiconScorer(weights.limit(0), 3, max_bytes=-1, split=True), table)
+    assert nothing[0] == [round(1 / 3, 12)] * 3 and nothing[4] is None
+
+
+def test_the_hashed_lexicon_query_takes_any_number_of_words(spark, monkeypatch):
+    small = lambda *args, **more: HashedLexiconScorer(*args, max_bytes=1000, **more)
+    monkeypatch.setattr(classify_queries, "HashedLexiconScorer", small)
+    found, want = (
+        sorted(map(tuple, classify_queries.QUERIES[name].run(spark, SMALL).collect()))
+        for name in ("classify_hashed_lexicon", "classify_comments")
+    )
+    assert found == want
+
+
 def test_a_model_gets_a_bounded_number_of_texts_as_strings(spark):
     """One Arrow batch of many windows: no more than ``batch_size`` texts are Python strings at once."""
     rows = pa.array([[[f"w{i}", "x"][: i % 3], ["a", "b"]] if i % 4 else None for i in range(200)])
