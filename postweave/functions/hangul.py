@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postweave.functions.text import char_class, let, rewrite_matches
+from postweave.functions.text import char_class, char_span, let, rewrite_matches, where_held
 
 # Jamo in Unicode syllable order, and the compound forms.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -31,6 +31,7 @@ COMPOUND_FINALS = {
 
 SYLLABLE = "가-힣"
 JAMO = "ㄱ-ㅣ"
+JAMO_CHARS = char_span("ㄱ", "ㅣ")
 FIRST_SYLLABLE = 0xAC00
 FIRST_VOWEL = 0x314F
 
@@ -100,7 +101,7 @@ def compose(c: Column) -> Column:
 
         return let(_merged(_merged(jamo, COMPOUND_VOWELS), COMPOUND_FINALS), from_parts)
 
-    return rewrite_matches(c, COMPOSABLE, build)
+    return where_held(c, VOWELS, lambda text: rewrite_matches(text, COMPOSABLE, build))
 
 
 def decompose(c: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import product
 
 # ``.`` and ``$`` know "\n" as the only line end.
 JAVA_FLAGS = "(?d)"
@@ -68,6 +69,43 @@ def required_literal(pattern: str) -> str | None:
     return best or None
 
 
+_ALTERNATIVES = re.compile(r"\(\?:((?:[^()\[\]\\]|\[[^\[\]\\^][^\[\]\\]*\])*)\)\+?|((?:[^()\[\]\\]|\[[^\[\]\\^][^\[\]\\]*\])*)")
+# Not i, k and s: other letters are equal to these where case is ignored.
+_CASED = "abcdefghjlmnopqrtuvwxyzABCDEFGHJLMNOPQRTUVWXYZ"
+_ONE_CLASS = re.compile(r"\[([^\[\]\\^&-][^\[\]\\&-]*)\](?:\+|\{[1-9]\d*(?:,\d*)?\})?")
+
+
+def required_texts(pattern: str) -> list[str] | None:
+    """Texts one of which every match of ``pattern`` holds; None if none are sure.
+
+    Beyond ``required_literal``: plain alternatives, classes of listed characters, and ``(?i)``
+    ahead of letters that only their own capital is equal to.
+    """
+    if pattern.startswith("(?i)"):
+        # Few letters, as each doubles the ways to write them.
+        ends = [text[-3:] for text in required_texts(pattern[4:]) or []]
+        if not ends or not all(ch in _CASED or ch.lower() == ch.upper() for ch in "".join(ends)):
+            return None
+        return ["".join(way) for end in ends for way in product(*[sorted({ch.lower(), ch.upper()}) for ch in end])]
+    one = required_literal(pattern)
+    if one is not None:
+        return [one]
+    found = _ALTERNATIVES.fullmatch(pattern)
+    if not found:
+        return None
+    held: list[str] = []
+    for part in (found[1] if found[1] is not None else found[2]).split("|"):
+        listed = _ONE_CLASS.fullmatch(part)
+        literal = required_literal(part)
+        if listed:
+            held += listed[1]
+        elif literal is not None and "[" not in part:
+            held.append(literal)
+        else:
+            return None
+    return held
+
+
 def java_pattern(pattern: str) -> str:
     """``pattern`` in Java syntax with the same meaning; ValueError for what Java lacks."""
     return JAVA_FLAGS + _Translation(pattern).run()

@@ -11,14 +11,20 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postweave.functions.regex import JAVA_FLAGS, java_pattern, required_literal
+from postweave.functions.regex import JAVA_FLAGS, java_pattern, required_literal, required_texts
+
+# Java looks single characters below U+0100 up in one table, but tests ranges one by one:
+# letters written out are one test.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 # Ahead of a class that holds neither: rejects most characters of most texts.
-NOT_PLAIN = "(?![a-z ])(?![가-힣])"
+NOT_PLAIN = f"(?![{LETTERS} ])(?![가-힣])"
 
 _GROUP_REF = re.compile(r"\\(?:g<(\d+)>|(\d{1,2}))|\\(.)|(.)", re.S)
 
@@ -57,6 +63,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Up to this many characters or starts of characters are looked for one by one.
+FEW = 16
+
+
+def holds_any(text: Column, chars: Iterable[str]) -> Column:
+    """Whether ``text`` holds one of ``chars``; of many, whether it holds a character that
+    starts with the same bytes as one of them.
+
+    A search for bytes costs a hundredth of a pattern, so a step that can only change texts
+    with certain characters asks for those first.  Few ``chars`` may be longer texts.
+    """
+    wanted = sorted(set(chars))
+    if len(wanted) <= FEW:
+        return reduce(or_, [F.contains(text, F.lit(one)) for one in wanted])
+    starts = {one.encode()[:2] for one in wanted}
+    if len(starts) > FEW:
+        starts = {start[:1] for start in starts}
+    return reduce(or_, [F.contains(text.cast("binary"), F.lit(start)) for start in sorted(starts)])
+
+
+def where_held(c: Column, chars: Iterable[str], step: Callable[[Column], Column]) -> Column:
+    """``step`` for texts that hold one of ``chars``; for a step that leaves all others alone."""
+    return let(c, lambda text: F.when(holds_any(text, chars), step(text)).otherwise(text))
+
+
+def char_span(first: str, last: str) -> list[str]:
+    """All characters from ``first`` to ``last``."""
+    return [chr(code) for code in range(ord(first), ord(last) + 1)]
+
+
 # The white space Python strips.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -72,23 +108,25 @@ def strip(c: Column) -> Column:
 
 def regex_chain(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """Apply ordered ``(pattern, replacement)`` rules, each on the last one's output."""
+    rules = list(rules)
+    # Each question is a level of nested functions, which the analyzer resolves one a round.
+    held = required_texts if len(rules) <= FEW else _only_literal
     for pattern, replacement in rules:
-        c = _replaced(c, pattern, java_replacement(replacement))
+        c = _replaced(c, pattern, java_replacement(replacement), held(pattern))
     return c
 
 
-def _replaced(c: Column, pattern: str, replacement: str) -> Column:
-    """One rule; texts without the characters that all its matches hold are left alone."""
-    held = required_literal(pattern)
+def _only_literal(pattern: str) -> list[str] | None:
+    literal = required_literal(pattern)
+    return None if literal is None else [literal]
+
+
+def _replaced(c: Column, pattern: str, replacement: str, held: list[str] | None) -> Column:
+    """One rule; texts without any of the characters that a match must hold are left alone."""
     java = java_pattern(pattern)
-    if held is None:
+    if held is None or len(held) > FEW:
         return F.regexp_replace(c, java, replacement)
-    return let(
-        c,
-        lambda text: F.when(
-            F.contains(text, F.lit(held)), F.regexp_replace(text, java, replacement)
-        ).otherwise(text),
-    )
+    return where_held(c, held, lambda text: F.regexp_replace(text, java, replacement))
 
 
 # Stands around matches while a text is cut; a character of no script.
@@ -113,11 +151,12 @@ def rewrite_matches(c: Column, pattern: str, fn: Callable[[Column], Column]) ->
     so the work per row grows with the matches, not with the characters.
     """
 
-    def joined(parts: Column) -> Column:
+    def joined(marked: Column) -> Column:
         new = F.transform(
-            parts, lambda part, i: F.when(i % 2 == 1, F.coalesce(fn(part), F.lit(""))).otherwise(part)
+            F.split(marked, MARK, -1),
+            lambda part, i: F.when(i % 2 == 1, F.coalesce(fn(part), F.lit(""))).otherwise(part),
         )
-        return F.when(F.size(parts) > 1, F.array_join(new, "")).otherwise(parts[0])
+        return F.when(F.contains(marked, F.lit(MARK)), F.array_join(new, "")).otherwise(marked)
 
     def with_marks_inside(text: Column) -> Column:
         between = F.split(text, pattern, -1)
@@ -130,7 +169,7 @@ def rewrite_matches(c: Column, pattern: str, fn: Callable[[Column], Column]) ->
         return F.array_join(merged, "")
 
     def rewritten(text: Column) -> Column:
-        cut = let(cut_at(text, pattern, f"{MARK}$0{MARK}"), joined)
+        cut = let(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), joined)
         return F.when(F.contains(text, F.lit(MARK)), with_marks_inside(text)).otherwise(cut)
 
     return let(c, rewritten)
@@ -160,7 +199,9 @@ def _range(first: str, last: str) -> str:
 
 def char_class(chars: Iterable[str]) -> str:
     """Pattern for one of ``chars``, cheap for many of them too."""
-    return _grouped([(r[0], r[1], _range(*r)) for r in char_ranges(chars)], "[{}]", "")
+    ranges = char_ranges(chars)
+    pattern = _grouped([(first, last, _range(first, last)) for first, last in ranges], "[{}]", "")
+    return f"(?:(?=[{_range(ranges[0][0], ranges[-1][1])}]){pattern})" if len(ranges) > GROUP else pattern
 
 
 def _grouped(parts: list[tuple[str, str, str]], form: str, joint: str) -> str:
@@ -218,7 +259,8 @@ def dict_replace(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
         kept = sorted(table, key=lambda key: not table[key])
         # Characters without a partner, at the end, are dropped.
         return F.translate(c, "".join(kept), "".join(table[key] for key in kept))
-    return rewrite_matches(c, key_pattern(table), literal_lookup(table))
+    held = table if len(table) <= FEW else {key[0] for key in table}
+    return where_held(c, held, lambda text: rewrite_matches(text, key_pattern(table), literal_lookup(table)))
 
 
 def literal_lookup(table: Mapping[str, str]) -> Callable[[Column], Column]:
@@ -245,7 +287,7 @@ def squeeze(
     ``not_after``.
     """
     # The repetition is tested first: it fails at once almost everywhere.
-    first = "(.)" if chars == "." else "((?s:.))"
+    first = "(.)(?=\\1)" if chars == "." else "((?s:.))(?=\\1)"
     member = "" if chars == "." else f"(?<={chars})"
     guard = f"(?<!{not_after}(?s:.))" if not_after else ""
     pattern = f"{JAVA_FLAGS}{first}(?=\\1{{{min_run - 1}}}){member}{guard}\\1+"

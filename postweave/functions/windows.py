@@ -17,9 +17,9 @@ DELIMITERS = ".,!?^~"
 
 BEGIN, END = "[CLS]", "[SEP]"
 WORD_CHARS = r"\p{L}\p{M}\p{N}_"
-# A tag, a word, or one mark.  (Frequent letters first: they are tried in order.)
+# A word, a tag, or one mark.  (Spaces and frequent letters first: they are tried in order.)
 TOKEN = (
-    rf"\[[A-Z_]+\]|(?:[a-z]++|[가-힣]++|[{WORD_CHARS}]++)++|(?! )[^{WORD_CHARS}\p{{Z}}\s]"
+    rf"(?! )(?:(?:[a-z]++|[가-힣]++|[{WORD_CHARS}]++)++|\[[A-Z_]+\]|[^{WORD_CHARS}\p{{Z}}\s])"
 )
 
 
@@ -46,7 +46,14 @@ def visible_length(c: Column) -> Column:
 
 
 def is_long(c: Column, max_tokens: int) -> Column:
-    return visible_length(c) >= long_border(max_tokens)
+    border = long_border(max_tokens)
+
+    def long(text: Column) -> Column:
+        # The start of most long texts is long enough; a tag that is cut there does not count.
+        start = F.regexp_replace(F.left(text, F.lit(2 * border)), r"\[[A-Z_]*$", "")
+        return (F.length(text) >= border) & ((visible_length(start) >= border) | (visible_length(text) >= border))
+
+    return let(c, long)
 
 
 def route(df: DataFrame, text: str, max_tokens: int, out: str = "is_long") -> DataFrame:
@@ -118,13 +125,18 @@ def window_spans(length: Column, size: int, overlap: int = OVERLAP, clamp_tail:
 
 def windows(toks: Column, size: int, overlap: int = OVERLAP, clamp_tail: bool = False) -> Column:
     """Overlapping windows over a token array."""
-    return let(
-        toks,
-        lambda t: F.transform(
+
+    def cut(t: Column) -> Column:
+        several = F.transform(
             window_spans(F.size(t), size, overlap, clamp_tail),
             lambda w: F.slice(t, w["start"] + 1, w["stop"] - w["start"]),
-        ),
-    )
+        )
+        if size < 2 * overlap:
+            return several
+        # Most sentences are one window, which is all of their tokens.
+        return F.when(F.size(t).between(1, size - overlap), F.array(t)).otherwise(several)
+
+    return let(toks, cut)
 
 
 def text_windows(c: Column, options: WindowOptions) -> Column:

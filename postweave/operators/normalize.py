@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +32,20 @@ def before_folding(c: Column, rules: RuleSet) -> Column:
     return hangul.compose(steps.unify_marks(c, rules.punct))
 
 
-def after_folding(c: Column, rules: RuleSet) -> Column:
-    """Comment steps from folding on: all native."""
-    c = steps.squeeze_long_runs(steps.unify_letters(c, rules.single_en))
-    c = steps.fix_words(c, rules)
-    c = F.lower(steps.tidy_jamo(c))
-    c = steps.unify_crying(steps.shorten_vowels(steps.sort_marks(c)))
-    c = steps.tag_symbols(c, rules)
-    c = steps.keep_known_chars(c)
-    c = steps.drop_i_between_syllables(steps.join_spaced_letters(c))
-    c = steps.tidy_marks(steps.tag_structured(c, rules))
-    c = steps.collapse_tags(c, rules.tags)
-    return hangul.compose(steps.upper_tags(steps.laugh_z(c)))
+def after_folding(rules: RuleSet) -> list[Callable[[Column], Column]]:
+    """Comment steps from folding on, in order: all native."""
+    return [
+        lambda c: steps.squeeze_long_runs(steps.unify_letters(c, rules.single_en)),
+        lambda c: steps.fix_words(c, rules),
+        lambda c: F.lower(steps.tidy_jamo(c)),
+        lambda c: steps.unify_crying(steps.shorten_vowels(steps.sort_marks(c))),
+        lambda c: steps.tag_symbols(c, rules),
+        steps.keep_known_chars,
+        lambda c: steps.drop_i_between_syllables(steps.join_spaced_letters(c)),
+        lambda c: steps.tidy_marks(steps.tag_structured(c, rules)),
+        lambda c: steps.collapse_tags(c, rules.tags),
+        lambda c: hangul.compose(steps.upper_tags(steps.laugh_z(c))),
+    ]
 
 
 def normalize(
@@ -60,7 +64,9 @@ def normalize(
     if comment:
         out = out.withColumn(comment, before_folding(F.col(comment), rules))
         out = fold_column(out, comment, dict(rules.single_ko))
-        out = out.withColumn(comment, after_folding(F.col(comment), rules))
+        # One at a time: the analyzer resolves one level of nested functions in each of its rounds.
+        for step in after_folding(rules):
+            out = out.withColumn(comment, step(F.col(comment)))
     if nickname:
         out = out.withColumn(nickname, nickname_chain(F.col(nickname), rules))
     return out

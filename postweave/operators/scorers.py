@@ -86,8 +86,12 @@ class LexiconScorer(Scorer):
         def among(window: Column, wanted: list[str]) -> Column:
             return F.filter(window, lambda t: t.isin(wanted))
 
-        def logits(window: Column) -> Column:
-            return let(among(window, known), lambda found: F.array(*[total(found, k) for k in range(self.n_classes)]))
+        # What zero logits give: the vector of a window without a known token.
+        uniform = F.array(*[F.lit(1.0 / self.n_classes)] * self.n_classes)
+
+        def probs(found: Column) -> Column:
+            logits = F.array(*[total(found, k) for k in range(self.n_classes)])
+            return F.when(F.size(found) == 0, uniform).otherwise(softmax(logits))
 
         def total(found: Column, class_id: int) -> Column:
             # Tokens of equal weight share a set, looked up by hash.
@@ -101,7 +105,7 @@ class LexiconScorer(Scorer):
             ]
             return reduce(lambda a, b: a + b, parts, F.lit(0))
 
-        return F.transform(windows, lambda w: softmax(logits(w)))
+        return F.transform(windows, lambda w: let(among(w, known), probs))
 
     def mean_probs(self, df: DataFrame, key: str, windows: str, out: str) -> DataFrame:
         if self.inline:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postweave.functions import hangul, steps
-from postweave.functions.regex import java_pattern, required_literal
+from postweave.functions.regex import java_pattern, required_literal, required_texts
 from postweave.functions.text import (
     MARK,
     collapse_tag,
@@ -322,3 +322,49 @@ def test_many_keys_cost_about_what_few_do(spark):
 
 def test_replacement_templates():
     assert java_replacement(r"\1x\g<2>0$\\") == "$1x$2\\0\\$\\\\"
+
+
+@pytest.mark.parametrize(
+    "step",
+    [
+        hangul.compose, steps.unify_spaces, steps.close_jamo_gaps, steps.drop_ones_between_syllables, steps.split_laughter,
+        steps.space_jamo, steps.drop_lone_vowels, steps.unify_crying, steps.laugh_z, steps.upper_tags,
+        steps.drop_i_between_syllables, lambda c: steps.unify_letters(c, [("[ɑⲁ]+", "a")]),
+    ],
+)
+def test_patterns_run_only_where_a_text_holds_their_characters(spark, step):
+    rows = spark.createDataFrame([("x",)], "c STRING").select(step(F.col("c")).alias("c"))
+    plan = rows._jdf.queryExecution().analyzed().toString().lower()
+    assert "contains(" in plan
+
+
+def test_required_texts():
+    assert required_texts("[ɑⲁ]+") == ["ɑ", "ⲁ"]
+    assert required_texts("(?:[❤💕])+") == ["❤", "💕"]
+    assert required_texts("ab|cd+") == ["ab", "cd"]
+    assert sorted(required_texts("(?i)(?:하하{2,}|ab)+")) == ["AB", "Ab", "aB", "ab", "하"]
+    for unsure in ("a|b*", "a|", "[^ab]", "[a-c]", "[ab]?", "(?i)ask", "(ab)+", "[0-9]+(?:kg|km)"):
+        assert required_texts(unsure) is None
+
+
+def test_many_rules_with_their_own_characters_are_resolved(spark):
+    """Each step is resolved by itself: the rounds of the analyzer do not add up over the chain."""
+    rules = RuleSet(
+        monde=[(f"m{i}x", f"n{i}") for i in range(12)], sentence=[(f"s{i}x", f"t{i}") for i in range(12)],
+        special=[(f"p{i}x", f"q{i}") for i in range(24)], base=[(f"b{i}x", f"c{i}") for i in range(24)],
+    )
+    rows = spark.createDataFrame([(1, "m7x s11x p9x b0x")], "id LONG, comment STRING")
+    assert normalize(rows, rules, nickname=None).first()["comment"] == "n7 t11 q9 c0"
+
+
+def test_chunks_are_joined_as_one_chunk_after_the_other(apply):
+    """Held against the chain of matches that each start where the last one ended."""
+    values = [v.strip() for v in texts("ab가 \n!.,@❤&#ㅣ(", n=3000, longest=12)]
+
+    def walked(c):
+        c = F.regexp_replace(c, r"([(\[{)\]}])", " $1")
+        chunk = java_pattern(rf"\G\s*+({steps._IN_CHUNK}(?:{steps._AFTER_CHUNK}*[!?@.,❤])?)\s*+")
+        c = F.rtrim(F.regexp_replace(F.regexp_replace(c, steps._SPACED, "$1$2"), chunk, "$1 "))
+        return F.regexp_replace(c, r"([(\[{]) | ([)\]}])", "$1$2")
+
+    assert apply(steps.join_spaced_letters, values) == apply(walked, values)
